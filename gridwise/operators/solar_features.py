@@ -125,10 +125,29 @@ def lookback_matrix(
     features: DataFrame, columns: list[str] = FEATURES, lookback: int = LOOKBACK, bounded: bool = False
 ) -> DataFrame:
     """The last `lookback` feature rows of each site as one array, oldest row first; shorter sites give no row."""
-    recent = last_n_rows(features.select(SITE, "ts", *columns), lookback, bounded)
-    rows = F.sort_array(F.collect_list(F.struct("ts", F.array(*columns).alias("x"))))
+    return last_lookback(features.select(SITE, "ts", F.array(*columns).alias("x")), lookback, bounded)
+
+
+def last_lookback(rows: DataFrame, lookback: int = LOOKBACK, bounded: bool = False) -> DataFrame:
+    """`lookback_matrix` for feature rows already held in an array `x`."""
+    recent = last_n_rows(rows.select(SITE, "ts", "x"), lookback, bounded)
+    listed = F.sort_array(F.collect_list(F.struct("ts", "x")))
     return (
-        recent.groupBy(SITE).agg(rows.alias("rows"), F.max("ts").alias("last_ts"))
+        recent.groupBy(SITE).agg(listed.alias("rows"), F.max("ts").alias("last_ts"))
         .where(F.size("rows") == lookback)
         .select(SITE, "last_ts", F.flatten(F.transform("rows", lambda r: r["x"])).alias("lookback"))
     )
+
+
+def all_lookbacks(rows: DataFrame, horizon: int, lookback: int = LOOKBACK, bounded: bool = False) -> DataFrame:
+    """For every row with a full past and future: `lookback` and the irradiance of the next hours as `y1`, `y2`, ..."""
+
+    def build(df: DataFrame, w: WindowSpec) -> DataFrame:
+        past = F.collect_list("x").over(w.rowsBetween(-(lookback - 1), 0))
+        ahead = {f"y{h}": F.lead("GHI", h).over(w) for h in range(1, horizon + 1)}
+        return df.withColumns({"past": past, **ahead})
+
+    built = over_series(rows.select(SITE, "ts", "GHI", "x"), build, lookback - 1, horizon, bounded)
+    full = built.where((F.size("past") == lookback) & F.col(f"y{horizon}").isNotNull())
+    targets = [f"y{h}" for h in range(1, horizon + 1)]
+    return full.select(SITE, "ts", F.flatten("past").alias("lookback"), *targets)

@@ -36,8 +36,8 @@ def tariff_bounds(df: DataFrame) -> DataFrame:
 def tariff_sequence(conditions: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     """24 frames of 14 values per site, the last frame at the current hour.
 
-    `prices(site_id, recent)` holds the prices of the hours up to the current one, latest first, as an array. A lag that
-    it does not reach is the average price. Values are scaled by 1/10 like the average.
+    `prices(site_id, recent)` holds the prices up to the current hour as an array, latest (the current one) first. A lag
+    that it does not reach is the average price. Values are scaled by 1/10 like the average.
     """
     if prices is None:
         joined = conditions.withColumn("recent", F.array().cast("array<double>"))
@@ -52,7 +52,7 @@ def tariff_sequence(conditions: DataFrame, prices: DataFrame | None = None) -> D
     for name, column, period in (("hour", "frame_hour", 24), ("day", "dow", 7), ("month", "month", 12)):
         waves[f"{name}_sin"], waves[f"{name}_cos"] = cyclic_encode(column, period)
     lags = {
-        f"tariff_lag_{k}": F.coalesce(F.try_element_at("recent", (back + k).cast("int")) / 10.0, average)
+        f"tariff_lag_{k}": F.coalesce(F.try_element_at("recent", (back + k + 1).cast("int")) / 10.0, average)
         for k in TARIFF_LAGS
     }
     columns = {

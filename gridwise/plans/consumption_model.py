@@ -1,2 +1,156 @@
-def consumption_24h(*a):
-    raise NotImplementedError
+"""Consumption forecast with fitted models: a base model on 14 features, a correction from its last 24 errors, and a
+24-step recursion in which every site is one row and each step scores all sites at once."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark import StorageLevel
+from pyspark.ml import Model
+from pyspark.ml.feature import RobustScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from gridwise.functions.arrays import append_value, left_pad_first
+from gridwise.functions.scalars import add_hours
+from gridwise.operators.consumption_features import KEEP, consumption_features, next_hour_features
+from gridwise.operators.forecasts import (
+    CONSUMPTION_HORIZON, consumption_history, explode_steps, floor_profile_fallback, last_value_fallback,
+)
+from gridwise.operators.resample import hourly_profile
+from gridwise.operators.series import site_window
+from gridwise.schemas import CONSUMPTION_FEATURES, SITE
+from gridwise.session import use_checkpoint_dir
+from gridwise.sources.models import load_models, save_models
+
+# Errors the correction looks at.
+SEQUENCE = 24
+# Recursion steps between checkpoints.
+STEPS_PER_CHECKPOINT = 8
+SEED = 7
+
+
+@dataclass
+class ConsumptionModels:
+    base: Model
+    # Without these two the base prediction stands alone.
+    scaler: Model | None = None
+    correction: Model | None = None
+    sequence: int = SEQUENCE
+
+    def save(self, spark: SparkSession, folder: str) -> None:
+        parts = {"base": self.base}
+        if self.correction is not None:
+            parts.update({"scaler": self.scaler, "correction": self.correction})
+        save_models(spark, folder, parts, {"sequence": self.sequence})
+
+    def middle_and_width(self) -> tuple[float, float]:
+        return float(self.scaler.median[0]), float(self.scaler.range[0]) or 1.0
+
+
+def load_consumption_models(spark: SparkSession, folder: str) -> ConsumptionModels:
+    parts, values = load_models(spark, folder)
+    return ConsumptionModels(parts["base"], parts.get("scaler"), parts.get("correction"), values.get("sequence", SEQUENCE))
+
+
+def base_consumption(rows: DataFrame, base: Model) -> DataFrame:
+    """Adds the base prediction as `base`."""
+    assembled = VectorAssembler(inputCols=CONSUMPTION_FEATURES, outputCol="features").transform(rows)
+    return base.transform(assembled).drop("features", *CONSUMPTION_FEATURES)
+
+
+def fit_consumption(features: DataFrame) -> ConsumptionModels:
+    assembled = VectorAssembler(inputCols=CONSUMPTION_FEATURES, outputCol="features").transform(features)
+    base = GBTRegressor(
+        featuresCol="features", labelCol="kw", predictionCol="base", maxIter=8, maxDepth=4, maxBins=32, seed=SEED
+    ).fit(assembled)
+    errors = base_consumption(features, base).select(SITE, "ts", "kw", (F.col("kw") - F.col("base")).alias("error"))
+    vectors = VectorAssembler(inputCols=["error"], outputCol="e").transform(errors)
+    scaler = RobustScaler(inputCol="e", outputCol="e_scaled", withCentering=True).fit(vectors)
+    models = ConsumptionModels(base, scaler)
+
+    scaled = errors.withColumn("error", _scaled(models))
+    w = site_window(scaled)
+    past = F.collect_list("error").over(w.rowsBetween(-SEQUENCE, -1))
+    train = scaled.withColumn("past", past).where(F.size("past") == SEQUENCE)
+    train = train.select("error", array_to_vector("past").alias("errors"))
+    models.correction = LinearRegression(
+        featuresCol="errors", labelCol="error", predictionCol="next_error", solver="normal", regParam=0.1
+    ).fit(train)
+    return models
+
+
+def _scaled(models: ConsumptionModels):
+    middle, width = models.middle_and_width()
+    return (F.col("error") - middle) / width
+
+
+def residual_sequence(features: DataFrame, models: ConsumptionModels) -> DataFrame:
+    """Per site: the last 48 values (`hist`), and the last 24 scaled errors of the base model (`errors`), padded on the
+    left with the first one; zeros without a correction model."""
+    scored = base_consumption(features, models.base).select(SITE, "ts", "kw", (F.col("kw") - F.col("base")).alias("error"))
+    w = site_window(scored)
+    # The window runs backwards: the row with rank 1 is the last one.
+    rank = F.row_number().over(w.orderBy(F.col("ts").desc(), F.col("kw").desc()))
+    error = _scaled(models) if models.correction is not None else F.lit(0.0)
+    recent = scored.withColumns({"back": rank, "error": error}).where(F.col("back") <= KEEP)
+    rows = F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("k"), "kw", "error")))
+    listed = recent.groupBy(SITE).agg(rows.alias("rows"), F.max("ts").alias("last_ts"))
+    return listed.select(
+        SITE,
+        "last_ts",
+        F.transform("rows", lambda r: r["kw"]).alias("hist"),
+        left_pad_first(F.transform("rows", lambda r: r["error"]), models.sequence).alias("errors"),
+    )
+
+
+def residual_correct(df: DataFrame, models: ConsumptionModels) -> DataFrame:
+    """Adds `hybrid`: the base prediction plus the expected error, never below 0; the scaled error joins the sequence."""
+    if models.correction is None:
+        return df.withColumn("hybrid", F.col("base"))
+    middle, width = models.middle_and_width()
+    scored = models.correction.transform(df.withColumn("sequence", array_to_vector("errors")).withColumnRenamed("errors", "seen"))
+    error = F.greatest(F.col("next_error") * width + middle, -F.col("base"))
+    return scored.withColumns({
+        "hybrid": F.col("base") + error,
+        "errors": append_value(F.col("seen"), F.col("next_error"), keep=models.sequence),
+    }).drop("seen", "sequence", "next_error")
+
+
+def recursive_24h(features: DataFrame, profiles: DataFrame, models: ConsumptionModels) -> DataFrame:
+    """24 hours per site; each hour is predicted from a history that ends with the previous predictions.
+
+    One row per site with short arrays, so a step is a projection: nothing is shuffled in the loop. The plan is cut by a
+    checkpoint every few steps.
+    """
+    use_checkpoint_dir(features.sparkSession)
+    state = residual_sequence(features, models).join(profiles.select(SITE, "profile"), SITE)
+    state = state.withColumn("forecast", F.array().cast("array<double>"))
+    keep = [SITE, "last_ts", "profile"]
+    if models.correction is not None:
+        models.correction.setFeaturesCol("sequence")
+    for step in range(1, CONSUMPTION_HORIZON + 1):
+        ts = add_hours("last_ts", step)
+        hist = F.col("hist")
+        inputs = state.withColumns(next_hour_features(hist, F.element_at(hist, 1), ts))
+        scored = residual_correct(base_consumption(inputs, models.base), models)
+        value = F.greatest(last_value_fallback(F.col("hybrid"), hist), F.lit(0.0))
+        scored = scored.withColumn("value", floor_profile_fallback(value, F.col("profile"), F.hour(ts)))
+        state = scored.select(
+            *keep,
+            "errors",
+            append_value(hist, F.col("value"), keep=KEEP).alias("hist"),
+            append_value(F.col("forecast"), F.col("value")).alias("forecast"),
+        )
+        if step % STEPS_PER_CHECKPOINT == 0 and step < CONSUMPTION_HORIZON:
+            state = state.checkpoint()
+    return explode_steps(state, "forecast", CONSUMPTION_HORIZON)
+
+
+def consumption_24h(raw: DataFrame) -> DataFrame:
+    """Fit on the histories of all sites and forecast each of them."""
+    series = consumption_history(raw)
+    features = consumption_features(series).persist(StorageLevel.MEMORY_AND_DISK)
+    models = fit_consumption(features)
+    return recursive_24h(features, hourly_profile(series), models)

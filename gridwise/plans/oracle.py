@@ -363,7 +363,7 @@ _FRAME_WAVES = {
     for name, expr, period in (("hour", "h", 24), ("day", "dow", 7), ("month", "month", 12))
     for fn in ("sin", "cos")
 }
-_FRAME_LAGS = {f"tariff_lag_{k}": f"coalesce(recent[23 - frame + {k}], hist_avg) / 10e0" for k in (1, 2, 3, 6, 12)}
+_FRAME_LAGS = {f"tariff_lag_{k}": f"coalesce(recent[23 - frame + {k} + 1], hist_avg) / 10e0" for k in (1, 2, 3, 6, 12)}
 SQL["tariff_frames"] = f"""WITH {CONDITIONS},
 past AS (
   SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts DESC) AS k FROM conditions WHERE hist_avg IS NOT NULL),

@@ -1,2 +1,190 @@
-def solar_3h(*a):
-    raise NotImplementedError
+"""Solar forecast with fitted models: scale, look back 12 rows, stack base models, select, one model per hour.
+
+Everything is fitted on all sites together. The feature table is kept once and read by each fit.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark import StorageLevel
+from pyspark.ml import Model
+from pyspark.ml.feature import RobustScaler, UnivariateFeatureSelector, VectorAssembler, VectorSlicer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from gridwise.functions.scalars import add_hours
+from gridwise.operators.forecasts import SOLAR_HORIZON, solar_energy
+from gridwise.operators.series import micros
+from gridwise.operators.solar_features import all_lookbacks, last_lookback, solar_features
+from gridwise.operators.validate import MIN_READINGS_EFFECTIVE, LOOKBACK, min_rows
+from gridwise.schemas import FEATURES, SITE
+from gridwise.sources.models import load_models, save_models
+
+# Features kept by each of the three selection tests.
+TOP_PER_TEST = 32
+BINS = 8
+SEED = 7
+
+
+@dataclass
+class SolarModels:
+    scaler: Model
+    target: Model
+    horizons: list[Model]
+    bases: list[Model] = field(default_factory=list)
+    selected: list[int] | None = None
+
+    def save(self, spark: SparkSession, folder: str) -> None:
+        parts = {"scaler": self.scaler, "target": self.target}
+        parts.update({f"base_{i}": m for i, m in enumerate(self.bases)})
+        parts.update({f"hour_{h}": m for h, m in enumerate(self.horizons, 1)})
+        save_models(spark, folder, parts, {"selected": self.selected})
+
+
+def load_solar_models(spark: SparkSession, folder: str) -> SolarModels:
+    """Base models and the selection are optional."""
+    parts, values = load_models(spark, folder)
+    bases = [parts[k] for k in sorted(k for k in parts if k.startswith("base_"))]
+    horizons = [parts[f"hour_{h}"] for h in range(1, SOLAR_HORIZON + 1)]
+    return SolarModels(parts["scaler"], parts["target"], horizons, bases, values["selected"])
+
+
+def assemble(features: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=FEATURES, outputCol="raw_features").transform(features)
+
+
+def scale_features(features: DataFrame, scaler: Model) -> DataFrame:
+    """(site_id, ts, GHI, x) with x the scaled features as an array."""
+    scaled = scaler.transform(assemble(features))
+    return scaled.select(SITE, "ts", "GHI", vector_to_array("x_scaled").alias("x"))
+
+
+def scale_target(windows: DataFrame, target: Model) -> DataFrame:
+    """`label_h` for each hour, in the scale the models are fitted on."""
+    middle, width = _middle_and_width(target)
+    labels = {f"label_{h}": (F.col(f"y{h}") - middle) / width for h in range(1, SOLAR_HORIZON + 1)}
+    return windows.withColumns(labels)
+
+
+def _middle_and_width(scaler: Model) -> tuple[float, float]:
+    return float(scaler.median[0]), float(scaler.range[0]) or 1.0
+
+
+def stack_meta(df: DataFrame, bases: list[Model]) -> DataFrame:
+    """`stacked`: the lookback vector with one prediction per base model appended."""
+    if not bases:
+        return df.withColumnRenamed("features", "stacked")
+    for model in bases:
+        df = model.transform(df)
+    meta = [model.getPredictionCol() for model in bases]
+    stacked = VectorAssembler(inputCols=["features", *meta], outputCol="stacked").transform(df)
+    return stacked.drop("features", *meta)
+
+
+def hstack_select(df: DataFrame, selected: list[int] | None) -> DataFrame:
+    if selected is None:
+        return df.withColumnRenamed("stacked", "chosen")
+    sliced = VectorSlicer(inputCol="stacked", outputCol="chosen", indices=selected).transform(df)
+    return sliced.drop("stacked")
+
+
+def fit_bases(train: DataFrame) -> list[Model]:
+    """Two forests of different depth, a ridge and a lasso. The linear ones need one pass over the data."""
+    common = {"featuresCol": "features", "labelCol": "label_1"}
+    forest = {**common, "numTrees": 8, "maxBins": 16, "subsamplingRate": 0.7}
+    linear = {**common, "solver": "normal", "regParam": 0.1}
+    estimators = [
+        RandomForestRegressor(**forest, maxDepth=4, seed=SEED, predictionCol="meta_forest"),
+        RandomForestRegressor(**forest, maxDepth=6, seed=SEED + 1, predictionCol="meta_deep_forest"),
+        LinearRegression(**linear, elasticNetParam=0.0, predictionCol="meta_ridge"),
+        LinearRegression(**linear, elasticNetParam=1.0, predictionCol="meta_lasso"),
+    ]
+    return [e.fit(train) for e in estimators]
+
+
+def mutual_information(df: DataFrame, vector: str, label: str) -> DataFrame:
+    """Mutual information of each element with the label, both cut into 8 bins: (pos, mi).
+
+    Counts per (element, bin, label bin) are combined before the shuffle; their number does not depend on the rows.
+    """
+
+    def binned(x):
+        return F.least(F.greatest(F.floor(x * 2) + BINS // 2, F.lit(0)), F.lit(BINS - 1)).cast("int")
+
+    cells = (
+        df.select(F.posexplode(F.transform(vector_to_array(vector), binned)).alias("pos", "bin"), binned(F.col(label)).alias("y"))
+        .groupBy("pos", "bin", "y").agg(F.count("*").alias("n"))
+    )
+    w = Window.partitionBy("pos")
+    total, in_bin, in_y = F.sum("n").over(w), F.sum("n").over(w.partitionBy("pos", "bin")), F.sum("n").over(w.partitionBy("pos", "y"))
+    terms = cells.withColumn("term", F.col("n") / total * F.log(F.col("n") * total / (in_bin * in_y)))
+    return terms.groupBy("pos").agg(F.sum("term").alias("mi"))
+
+
+def select_features(train: DataFrame, always: list[int]) -> list[int]:
+    """Union of the best elements by F-test, by mutual information and by boosted-tree importance."""
+    f_test = UnivariateFeatureSelector(
+        featuresCol="stacked", labelCol="label_1", outputCol="by_f", selectionMode="numTopFeatures"
+    ).setFeatureType("continuous").setLabelType("continuous").setSelectionThreshold(TOP_PER_TEST)
+    by_f = f_test.fit(train).selectedFeatures
+    # A fixed number of rows: the best elements only.
+    by_mi = [r["pos"] for r in mutual_information(train, "stacked", "label_1").orderBy(F.desc("mi"), "pos").take(TOP_PER_TEST)]
+    trees = GBTRegressor(featuresCol="stacked", labelCol="label_1", maxIter=4, maxDepth=3, maxBins=16, seed=SEED).fit(train)
+    weights = trees.featureImportances
+    by_tree = [int(i) for i in weights.indices[weights.values.argsort()[::-1]][:TOP_PER_TEST]]
+    return sorted({*map(int, by_f), *by_mi, *by_tree, *always})
+
+
+def fit_solar(features: DataFrame) -> SolarModels:
+    """Fit on a feature table. Base models see the earlier half of the time range, the rest the later half."""
+    scaler = RobustScaler(inputCol="raw_features", outputCol="x_scaled", withCentering=True).fit(assemble(features))
+    rows = scale_features(features, scaler)
+    target_rows = VectorAssembler(inputCols=["GHI"], outputCol="y").transform(features.select("GHI"))
+    target = RobustScaler(inputCol="y", outputCol="y_scaled", withCentering=True).fit(target_rows)
+
+    windows = scale_target(all_lookbacks(rows, SOLAR_HORIZON), target)
+    windows = windows.withColumn("features", array_to_vector("lookback")).drop("lookback")
+    windows = windows.persist(StorageLevel.MEMORY_AND_DISK)
+    middle = windows.agg(F.percentile_approx(micros("ts"), 0.5)).first()[0]
+    early, late = windows.where(micros("ts") <= middle), windows.where(micros("ts") > middle)
+
+    bases = fit_bases(early)
+    stacked = stack_meta(late, bases).persist(StorageLevel.MEMORY_AND_DISK)
+    width = LOOKBACK * len(FEATURES)
+    selected = select_features(stacked, always=list(range(width, width + len(bases))))
+    chosen = hstack_select(stacked, selected)
+    horizons = [
+        GBTRegressor(
+            featuresCol="chosen", labelCol=f"label_{h}", predictionCol=f"hour_{h}", maxIter=8, maxDepth=3, maxBins=16, seed=SEED
+        ).fit(chosen)
+        for h in range(1, SOLAR_HORIZON + 1)
+    ]
+    stacked.unpersist()
+    windows.unpersist()
+    return SolarModels(scaler, target, horizons, bases, selected)
+
+
+def solar_direct_3h(features: DataFrame, models: SolarModels) -> DataFrame:
+    """(site_id, step, ts, ghi) for the three hours after the last row of each site."""
+    rows = scale_features(features, models.scaler)
+    last = last_lookback(rows).withColumn("features", array_to_vector("lookback")).drop("lookback")
+    scored = hstack_select(stack_meta(last, models.bases), models.selected)
+    for model in models.horizons:
+        scored = model.transform(scored)
+    middle, width = _middle_and_width(models.target)
+    predicted = F.array(*[
+        F.greatest(F.col(model.getPredictionCol()) * width + middle, F.lit(0.0)) for model in models.horizons
+    ])
+    steps = scored.select(SITE, "last_ts", F.posexplode(predicted).alias("pos", "ghi"))
+    step = (F.col("pos") + 1).cast("int")
+    return steps.select(SITE, step.alias("step"), add_hours("last_ts", step).alias("ts"), "ghi")
+
+
+def solar_3h(readings: DataFrame, panels: DataFrame) -> DataFrame:
+    """Fit on all readings and forecast every site with enough of them."""
+    accepted, _ = min_rows(readings, MIN_READINGS_EFFECTIVE)
+    features = solar_features(accepted).persist(StorageLevel.MEMORY_AND_DISK)
+    models = fit_solar(features)
+    return solar_energy(solar_direct_3h(features, models), panels)
