@@ -1,0 +1,152 @@
+import datetime as dt
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from gridwise.functions import arrays
+from gridwise.operators import forecasts, resample
+from gridwise.operators.consumption_features import consumption_features, next_hour_features
+from gridwise.operators.series import site_window
+from gridwise.schemas import CONSUMPTION, CONSUMPTION_FEATURES, SITE
+
+START = dt.datetime(2024, 2, 27, 21, 40)
+
+
+def series_rows(site, n, minutes, seed=0):
+    rng = np.random.default_rng(seed)
+    return [(site, START + dt.timedelta(minutes=minutes * i), float(rng.uniform(0.1, 4))) for i in range(n)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, CONSUMPTION)
+
+
+def pandas_hourly(rows):
+    s = pd.Series([r[2] for r in rows], index=pd.to_datetime([r[1] for r in rows])).sort_index()
+    return s.resample("1h").mean().ffill().bfill()
+
+
+CASES = {
+    1: series_rows(1, 100, 60),
+    2: series_rows(2, 200, 15),
+    3: series_rows(3, 300, 1),
+    4: series_rows(4, 20, 30),
+    5: series_rows(5, 30, 60)[:10] + series_rows(5, 30, 60)[20:],
+    6: [(6, START, 1.0)],
+    7: [(7, START, float(i)) for i in range(30)],
+    8: series_rows(8, 20, 46),
+    9: series_rows(9, 24, 20) + [(9, START + dt.timedelta(days=20), 2.0)],
+}
+EXPECT_RULE = {1: (False, False), 2: (True, False), 3: (True, False), 4: (False, True), 5: (False, False),
+               6: (False, False), 7: (False, True), 8: (False, False), 9: (False, True)}
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    return frame(spark, [r for rows in CASES.values() for r in rows]).cache()
+
+
+def test_rule(mixed):
+    got = {r[SITE]: (r["rule_a"], r["rule_b"]) for r in resample.needs_resample(mixed).collect()}
+    assert got == EXPECT_RULE
+
+
+@pytest.mark.parametrize("route", [resample.hourly_series, resample.hourly_series_of_tail])
+def test_series_after_rule(mixed, route):
+    got = route(mixed).toPandas()
+    for site, rows in CASES.items():
+        mine = got[got[SITE] == site].sort_values(["ts", "kw"])
+        if any(EXPECT_RULE[site]):
+            want = pandas_hourly(rows)
+            assert list(mine["ts"]) == list(want.index)
+            np.testing.assert_allclose(mine["kw"], want)
+        else:
+            want = sorted(rows, key=lambda r: (r[1], r[2]))
+            assert [tuple(r) for r in mine.itertuples(index=False)] == [(site, pd.Timestamp(t), v) for _, t, v in want]
+
+
+def test_fill_with_empty_hours_and_null_start(spark):
+    hours = [0, 1, 2, 5, 9]
+    values = [None, None, 3.0, None, 7.0]
+    rows = [(1, dt.datetime(2024, 1, 1, h), v) for h, v in zip(hours, values)]
+    got = [r["kw"] for r in resample.resample_hourly(frame(spark, rows)).orderBy("ts").collect()]
+    assert got == [3.0] * 9 + [7.0]
+
+
+def test_spine_leaves_gaps_empty(spark):
+    rows = [(1, dt.datetime(2024, 1, 1, h), float(h)) for h in (0, 3)]
+    got = [r["kw"] for r in resample.hour_spine(frame(spark, rows)).orderBy("ts").collect()]
+    assert got == [0.0, None, None, 3.0]
+
+
+def test_profile_defaults_floor_and_null_hours(spark):
+    day = dt.datetime(2024, 1, 1)
+    rows = [(1, day.replace(hour=3), 2.0), (1, day.replace(hour=3, minute=30), 4.0), (1, day.replace(hour=4), 0.0),
+            (1, day.replace(hour=5), None)]
+    profile = resample.hourly_profile(frame(spark, rows)).first()["profile"]
+    assert profile[3] == 3.0 and profile[4] == 0.01 and math.isnan(profile[5]) and profile[6] == 0.1
+    steps = forecasts.profile_forecast(frame(spark, rows)).orderBy("step").collect()
+    assert len(steps) == 24 and steps[0]["kwh"] == 0.1 and steps[0]["ts"] == day.replace(hour=6)
+    # Last reading at 05:00: step 24 is 05:00 again, whose mean is missing and shown as 0.
+    assert steps[23]["kwh"] == 0.0 and steps[21]["kwh"] == 3.0 and steps[22]["kwh"] == 0.01
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 30, 60])
+def test_feature_table_matches_pandas(spark, n):
+    rows = series_rows(1, n, 60, seed=n)
+    got = consumption_features(frame(spark, rows)).orderBy("ts").toPandas()
+    kw = pd.Series([r[2] for r in rows])
+    for k in (1, 2, 3, 6, 12, 24, 48):
+        np.testing.assert_allclose(got[f"lag_{k}"], kw.shift(k).fillna(kw[0]))
+    for k in (6, 24):
+        np.testing.assert_allclose(got[f"rolling_mean_{k}"], kw.rolling(k, min_periods=1).mean().shift(1).bfill().fillna(0))
+    np.testing.assert_allclose(got["rolling_std_24"], kw.rolling(24, min_periods=1).std().shift(1).fillna(0))
+    assert list(got.columns) == [SITE, "ts", "kw", *CONSUMPTION_FEATURES]
+    assert list(got["weekday"]) == [float(r[1].weekday()) for r in rows]
+
+
+def test_missing_feature_columns_are_zero(spark):
+    got = consumption_features(frame(spark, series_rows(1, 3, 60)), ["lag_1", "Voltage"])
+    assert got.columns == [SITE, "ts", "kw", "lag_1", "Voltage"] and got.select("Voltage").distinct().first()[0] == 0.0
+
+
+@pytest.mark.parametrize("n", [1, 5, 24, 48])
+def test_features_of_the_next_hour(spark, n):
+    values = [float(x) for x in np.random.default_rng(n).uniform(0, 3, n)]
+    df = spark.createDataFrame([(values, START)], "hist array<double>, ts timestamp_ntz")
+    got = df.select(*[v.alias(k) for k, v in next_hour_features(F.col("hist"), F.element_at("hist", 1), F.col("ts")).items()]).first()
+    for k in (1, 2, 3, 6, 12, 24, 48):
+        assert got[f"lag_{k}"] == (values[-k] if n >= k else values[0])
+    assert got["rolling_mean_6"] == pytest.approx(np.mean(values[-6:]))
+    assert got["rolling_std_24"] == pytest.approx(np.std(values[-24:]) if n > 1 else 0)
+    assert (got["hour"], got["day"], got["month"], got["weekday"]) == (21, 27, 2, 1)
+
+
+def test_array_helpers(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), ([],), ([1.0, 2.0, 3.0, 4.0],)], "a array<double>")
+    a = F.col("a")
+    rows = df.select(arrays.pad_to(a, 3), arrays.left_pad_first(a, 3), arrays.append_value(a, F.lit(9.0), 3), arrays.mean_of(a)).collect()
+    assert [list(r) for r in rows] == [
+        [[1, 2, 2], [1, 1, 2], [1, 2, 9], 1.5],
+        [[0, 0, 0], [0, 0, 0], [9], 0],
+        [[1, 2, 3], [2, 3, 4], [3, 4, 9], 2.5],
+    ]
+
+
+def test_last_2000_rows_and_minimum(spark):
+    rows = series_rows(1, 2300, 60) + series_rows(2, 23, 60)
+    got = forecasts.consumption_history(frame(spark, rows))
+    assert got.groupBy(SITE).count().collect() == [(1, 2000)]
+    assert got.agg(F.min("ts")).first()[0] == START + dt.timedelta(hours=300)
+
+
+def test_fallbacks(spark):
+    profile = F.array(*[F.lit(float(h)) for h in range(24)])
+    df = spark.createDataFrame([(0.005, 3), (2.5, 3), (float("nan"), 4), (None, 5)], "p double, h int")
+    hist = F.array(F.lit(1.0), F.lit(8.0))
+    value = forecasts.last_value_fallback(F.col("p"), hist)
+    got = [r[0] for r in df.select(forecasts.floor_profile_fallback(value, profile, F.col("h"))).collect()]
+    assert got == [3.0, 2.5, 8.0, 8.0]
