@@ -44,15 +44,22 @@ def site_inputs(solar: DataFrame, consumption: DataFrame, tariff: DataFrame) ->
         F.max(F.when(first, F.col("kwh"))).alias("energy_1h"),
         F.max(F.when(first, label())).alias("energy_label"),
         first_k_sum(NEXT_HOURS).alias("consumption_3h"),
+        _by_step(F.col("step"), F.col("ts"), F.col("kwh"), where=F.col("step") <= HORIZON).alias("uses"),
         F.lit(1).alias("has_energy"),
     )
-    tar = tariff_stats(tariff).withColumn("has_tariff", F.lit(1))
+    tar = tariff_stats(tariff, prices=_by_step(F.col("step"), F.col("tariff"))).withColumn("has_tariff", F.lit(1))
     joined = sol.join(con, SITE, "full").join(tar, SITE, "full")
     flags = {c: F.coalesce(c, F.lit(0)) for c in ("has_solar", "has_energy", "has_tariff")}
     joined = joined.withColumns(flags)
     return joined.withColumn("inputs_ready", F.col("has_solar") + F.col("has_energy") + F.col("has_tariff"))
 
 
+def _by_step(*columns: Column, where: Column | None = None) -> Column:
+    """The rows of a site as an array of structs in step order; a forecast has at most 24."""
+    row = F.struct(*columns)
+    return F.sort_array(F.collect_list(row if where is None else F.when(where, row)))
+
+
 def first_k_sum(k: int) -> Column:
     return F.sum(F.when(F.col("step") <= k, F.col("kwh")))
 
@@ -115,15 +122,18 @@ def balance_full_outer(solar: DataFrame, consumption: DataFrame) -> DataFrame:
 
     For sites with both forecasts. The time comes from consumption, else from solar.
     """
-    both = solar.select(SITE).distinct().join(consumption.select(SITE), SITE, "left_semi")
     sol = solar.select(SITE, "step", F.col("ts").alias("solar_ts"), "energy_kwh")
     con = consumption.where(F.col("step") <= NEXT_HOURS).select(SITE, "step", F.col("ts").alias("use_ts"), "kwh")
-    joined = sol.join(con, [SITE, "step"], "full").join(both, SITE, "left_semi")
-    ts = F.coalesce("use_ts", "solar_ts")
+    w = Window.partitionBy(SITE)
+    joined = (
+        sol.join(con, [SITE, "step"], "full")
+        .withColumns({"solar_steps": F.count("energy_kwh").over(w), "use_steps": F.count("kwh").over(w)})
+        .where("solar_steps > 0 AND use_steps > 0")
+    )
     return joined.select(
         SITE,
         "step",
-        label(ts).alias("label"),
+        label(F.coalesce("use_ts", "solar_ts")).alias("label"),
         F.coalesce("energy_kwh", F.lit(0.0)).alias("solar_kwh"),
         F.coalesce("kwh", F.lit(0.0)).alias("use_kwh"),
     )
@@ -194,6 +204,18 @@ def lowest_cost_hour(consumption: DataFrame, tariff: DataFrame) -> DataFrame:
     return costs.select(SITE, F.col("low.step").alias("step"), label("low.ts").alias("label"), F.col("low.cost").alias("cost"))
 
 
+def lowest_cost_of_arrays(uses: Column, prices: Column) -> Column:
+    """`lowest_cost_hour` for a site held in one row: struct (cost, step, ts) of the first cheapest step."""
+    costs = F.zip_with(
+        uses,
+        prices,
+        lambda use, price: F.struct(
+            (use["kwh"] * price["tariff"]).alias("cost"), use["step"].alias("step"), use["ts"].alias("ts")
+        ),
+    )
+    return F.array_min(F.filter(costs, lambda c: c["cost"].isNotNull()))
+
+
 # Title, text format and class of each recommendation.
 TEXTS = {
     "sell": (
@@ -238,11 +260,10 @@ TEXTS = {
 def recommendations(solar: DataFrame, consumption: DataFrame, tariff: DataFrame) -> DataFrame:
     """Up to five rows per site from four independent rules, in `priority` order.
 
-    All rules read one row per site, so they are one pass with an exploded array instead of a union of scans.
+    All rules read one row per site, so each forecast is computed once and the rules are an exploded array.
     """
     inputs = next_hour_decision(solar, consumption, tariff)
-    costs = lowest_cost_hour(consumption, tariff).select(SITE, F.col("label").alias("cost_label"), "cost")
-    rows = inputs.join(costs, SITE, "left")
+    rows = inputs.withColumn("low", lowest_cost_of_arrays(F.col("uses"), F.col("prices")))
     has_tariff = F.col("has_tariff") == 1
     surplus = F.col("state") == "surplus"
     rules = [
@@ -253,7 +274,7 @@ def recommendations(solar: DataFrame, consumption: DataFrame, tariff: DataFrame)
         (2, "peak_solar", F.col("has_solar") == 1, [label("best_solar.ts"), "best_solar.energy_kwh"]),
         (3, "cheap_tariff", has_tariff, [hh_label("cheap_hour"), "min_tariff"]),
         (4, "peak_tariff", has_tariff, [hh_label("peak_hour"), "max_tariff"]),
-        (5, "low_cost", F.col("cost").isNotNull(), ["cost_label", "cost"]),
+        (5, "low_cost", F.col("low").isNotNull(), [label("low.ts"), "low.cost"]),
     ]
     records = []
     for priority, key, applies, values in rules:

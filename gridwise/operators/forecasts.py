@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridwise.functions.arrays import pad_to
 from gridwise.functions.scalars import add_hours, ghi_to_kwh, irradiance_category, round_stable, safe_number
@@ -10,7 +10,7 @@ from gridwise.operators.resample import (
     PROFILE_FLOOR, hourly_profile, hourly_series_of_tail, profile_lookup,
 )
 from gridwise.operators.series import last_n_rows
-from gridwise.operators.validate import MIN_CONSUMPTION, default_panels, min_rows
+from gridwise.operators.validate import MIN_CONSUMPTION, default_panels
 from gridwise.schemas import SITE
 
 # History used per site and the horizons in hours.
@@ -22,8 +22,11 @@ SOLAR_HORIZON = 3
 
 def consumption_history(raw: DataFrame) -> DataFrame:
     """Sites with enough rows, their last 2000 rows, resampled to hours where they are denser than that."""
-    accepted, _ = min_rows(raw, MIN_CONSUMPTION)
-    return hourly_series_of_tail(last_n_rows(accepted.select(SITE, "ts", "kw"), MAX_CONSUMPTION_ROWS))
+    recent = last_n_rows(raw.select(SITE, "ts", "kw"), MAX_CONSUMPTION_ROWS)
+    # The cut keeps more rows than the minimum, so counting after it accepts the same sites without a join.
+    n = F.count("*").over(Window.partitionBy(SITE))
+    accepted = recent.withColumn("n", n).where(F.col("n") >= MIN_CONSUMPTION).drop("n")
+    return hourly_series_of_tail(accepted)
 
 
 def floor_profile_fallback(prediction: Column, profile: Column, hour: Column, last_good: Column | None = None) -> Column:

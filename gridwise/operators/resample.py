@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from gridwise.functions.scalars import null_to_zero
 from gridwise.operators.series import gap_diff, gap_seconds, order_columns, site_window, span_hours
@@ -93,12 +93,15 @@ def ffill_bfill(series: DataFrame, column: str = "kw") -> DataFrame:
     Only leading rows are left after the forward fill, so the backward fill is the first value of the whole site. That
     frame is evaluated once per site, where a frame from each row to the end would be quadratic.
     """
-    w = Window.partitionBy(SITE).orderBy("ts")
+    return series.withColumn(column, _filled(column, Window.partitionBy(SITE).orderBy("ts")))
+
+
+def _filled(column: str, w: WindowSpec) -> Column:
     forward = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     first = F.first(column, ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
-    return series.withColumn(column, F.coalesce(forward, first))
+    return F.coalesce(forward, first)
 
 
 def resample_hourly(df: DataFrame) -> DataFrame:
@@ -119,21 +122,31 @@ def hourly_series(df: DataFrame) -> DataFrame:
 def hourly_series_of_tail(df: DataFrame) -> DataFrame:
     """`hourly_series` for input already cut to the last N rows per site.
 
-    The rows of a site are together after the cut and few, so the rule is a window over them and nothing is joined;
-    only the resampled sites shuffle once more.
+    After the cut the rows of a site are together and few, so the rule is a window over them, and both kinds of site go
+    through one plan: the group key is the hour for sites to resample and the row itself for the others. Every step is
+    keyed by site, so nothing is shuffled again and nothing is joined.
     """
-    w = Window.partitionBy(SITE)
+    whole = Window.partitionBy(SITE)
     ordered = site_window(df)
-    marked = df.withColumns({
-        "n": F.count("*").over(w),
-        "span_hours": span_hours(F.min("ts").over(w), F.max("ts").over(w)),
+    marked = df.select(SITE, "ts", "kw").withColumns({
+        "n": F.count("*").over(whole),
+        "hours": span_hours(F.min("ts").over(whole), F.max("ts").over(whole)),
+        "row": F.row_number().over(ordered),
         "gap_s": gap_seconds(ordered),
     })
-    dense = too_dense(F.col("n"), F.col("span_hours"))
-    short = F.coalesce(F.median("gap_s").over(w) < SHORT_GAP_S, F.lit(False))
-    marked = marked.withColumn("resample", dense | short).select(SITE, "ts", "kw", "resample")
-    resampled = resample_hourly(marked.where("resample"))
-    return resampled.unionByName(marked.where("NOT resample").drop("resample"))
+    short = F.coalesce(F.median("gap_s").over(whole) < SHORT_GAP_S, F.lit(False))
+    marked = marked.withColumn("resample", too_dense(F.col("n"), F.col("hours")) | short)
+    flag = F.col("resample")
+    grouped = (
+        marked.withColumns({"ts": F.when(flag, hour_of("ts")).otherwise(F.col("ts")), "row": F.when(flag, 0).otherwise(F.col("row"))})
+        .groupBy(SITE, "resample", "ts", "row").agg(F.avg("kw").alias("kw"))
+    )
+    w = whole.orderBy("ts", "row")
+    until = F.coalesce(F.lead("ts").over(w) - F.expr("INTERVAL 1 HOUR"), F.col("ts"))
+    # A forward fill over the rows that exist; the empty hours in between repeat the row before them.
+    filled = grouped.withColumns({"until": F.when(flag, until).otherwise(F.col("ts")), "kw": F.when(flag, _filled("kw", w)).otherwise(F.col("kw"))})
+    hours = F.explode(F.sequence("ts", "until", F.expr("INTERVAL 1 HOUR")))
+    return filled.select(SITE, hours.alias("ts"), "kw")
 
 
 def hourly_profile(series: DataFrame) -> DataFrame:

@@ -84,16 +84,17 @@ def argmin_first(value: str, step: str = "step") -> Column:
     return F.min(F.struct(F.col(value), F.col(step).alias("k")))["k"]
 
 
-def tariff_stats(forecast: DataFrame) -> DataFrame:
+def tariff_stats(forecast: DataFrame, **extra: Column) -> DataFrame:
     """Per site: lowest, highest and mean price, spread, and the steps and hours of the first extremes.
 
-    `peak_index` and `off_peak_index` count from 0, steps from 1.
+    `peak_index` and `off_peak_index` count from 0, steps from 1. `extra` aggregates are computed along.
     """
     high = F.max(F.struct("tariff", (-F.col("step")).alias("back"), "hour")).alias("high")
     low = F.min(F.struct("tariff", "step", "hour")).alias("low")
     first = F.min(F.struct("step", "tariff")).alias("next")
     return (
-        forecast.groupBy(SITE).agg(high, low, first, F.avg("tariff").alias("avg_tariff"))
+        forecast.groupBy(SITE)
+        .agg(high, low, first, F.avg("tariff").alias("avg_tariff"), *[c.alias(name) for name, c in extra.items()])
         .select(
             SITE,
             F.col("low.tariff").alias("min_tariff"),
@@ -105,6 +106,7 @@ def tariff_stats(forecast: DataFrame) -> DataFrame:
             F.col("high.hour").alias("peak_hour"),
             F.col("low.hour").alias("cheap_hour"),
             F.col("next.tariff").alias("next_tariff"),
+            *extra,
         )
     )
 

@@ -10,10 +10,9 @@ from pyspark.ml import Model
 from pyspark.ml.feature import RobustScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridwise.functions.arrays import append_value, left_pad_first
-from gridwise.functions.scalars import add_hours
 from gridwise.operators.consumption_features import KEEP, consumption_features, next_hour_features
 from gridwise.operators.forecasts import (
     CONSUMPTION_HORIZON, consumption_history, explode_steps, floor_profile_fallback, last_value_fallback,
@@ -105,44 +104,52 @@ def residual_sequence(features: DataFrame, models: ConsumptionModels) -> DataFra
     )
 
 
-def residual_correct(df: DataFrame, models: ConsumptionModels) -> DataFrame:
-    """Adds `hybrid`: the base prediction plus the expected error, never below 0; the scaled error joins the sequence."""
+def residual_correct(models: ConsumptionModels) -> tuple[Column, Column]:
+    """The base prediction plus the expected error, never below 0, and the sequence with the new scaled error."""
+    base, errors = F.col("base"), F.col("errors")
     if models.correction is None:
-        return df.withColumn("hybrid", F.col("base"))
+        return base, errors
     middle, width = models.middle_and_width()
-    scored = models.correction.transform(df.withColumn("sequence", array_to_vector("errors")).withColumnRenamed("errors", "seen"))
-    error = F.greatest(F.col("next_error") * width + middle, -F.col("base"))
-    return scored.withColumns({
-        "hybrid": F.col("base") + error,
-        "errors": append_value(F.col("seen"), F.col("next_error"), keep=models.sequence),
-    }).drop("seen", "sequence", "next_error")
+    error = F.greatest(F.col("next_error") * width + middle, -base)
+    return base + error, append_value(errors, F.col("next_error"), keep=models.sequence)
 
 
 def recursive_24h(features: DataFrame, profiles: DataFrame, models: ConsumptionModels) -> DataFrame:
     """24 hours per site; each hour is predicted from a history that ends with the previous predictions.
 
     One row per site with short arrays, so a step is a projection: nothing is shuffled in the loop. The plan is cut by a
-    checkpoint every few steps.
+    checkpoint every few steps. Every step has the same expressions, which are built once.
     """
     use_checkpoint_dir(features.sparkSession)
-    state = residual_sequence(features, models).join(profiles.select(SITE, "profile"), SITE)
-    state = state.withColumn("forecast", F.array().cast("array<double>"))
-    keep = [SITE, "last_ts", "profile"]
+    state = residual_sequence(features, models).join(profiles.select(SITE, "profile"), SITE).select(
+        SITE, "last_ts", F.col("last_ts").alias("now"), "profile", "errors", "hist",
+        F.array().cast("array<double>").alias("forecast"),
+    )
+    hist, hour = F.col("hist"), F.col("now") + F.expr("INTERVAL 1 HOUR")
+    inputs = next_hour_features(hist, F.element_at(hist, 1), hour)
+    # The assembler also keeps the optimizer from merging the steps into one expression, which would repeat `hist` in
+    # each of the inputs and grow with a power of the steps.
+    stages = [VectorAssembler(inputCols=CONSUMPTION_FEATURES, outputCol="features"), models.base]
     if models.correction is not None:
-        models.correction.setFeaturesCol("sequence")
+        stages.append(models.correction.copy().setFeaturesCol("sequence"))
+        inputs["sequence"] = array_to_vector("errors")
+    hybrid, errors = residual_correct(models)
+    kept = F.greatest(last_value_fallback(hybrid, hist), F.lit(0.0))
+    value = floor_profile_fallback(kept, F.col("profile"), F.hour(hour))
+    following = [
+        F.col(SITE),
+        F.col("last_ts"),
+        hour.alias("now"),
+        F.col("profile"),
+        errors.alias("errors"),
+        append_value(hist, F.col("value"), keep=KEEP).alias("hist"),
+        append_value(F.col("forecast"), F.col("value")).alias("forecast"),
+    ]
     for step in range(1, CONSUMPTION_HORIZON + 1):
-        ts = add_hours("last_ts", step)
-        hist = F.col("hist")
-        inputs = state.withColumns(next_hour_features(hist, F.element_at(hist, 1), ts))
-        scored = residual_correct(base_consumption(inputs, models.base), models)
-        value = F.greatest(last_value_fallback(F.col("hybrid"), hist), F.lit(0.0))
-        scored = scored.withColumn("value", floor_profile_fallback(value, F.col("profile"), F.hour(ts)))
-        state = scored.select(
-            *keep,
-            "errors",
-            append_value(hist, F.col("value"), keep=KEEP).alias("hist"),
-            append_value(F.col("forecast"), F.col("value")).alias("forecast"),
-        )
+        state = state.withColumns(inputs)
+        for stage in stages:
+            state = stage.transform(state)
+        state = state.withColumn("value", value).select(*following)
         if step % STEPS_PER_CHECKPOINT == 0 and step < CONSUMPTION_HORIZON:
             state = state.checkpoint()
     return explode_steps(state, "forecast", CONSUMPTION_HORIZON)

@@ -293,6 +293,7 @@ def next_hour_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def energy_balance_3h(spark: SparkSession, folder: str) -> DataFrame:
+    """Site balance, and hour by hour where a site has both forecasts."""
     solar, consumption, tariff = standins.all_three(spark, folder)
     totals = decisions.balance_3h(decisions.site_inputs(solar, consumption, tariff))
     hours = decisions.balance_full_outer(solar, consumption)
