@@ -320,6 +320,6 @@ def tariff_chart(tariff: DataFrame) -> DataFrame:
     return tariff.select(SITE, am_pm("hour").alias("time"), round_stable("tariff", 4).alias("tariff"))
 
 
-def next_hour_chart(inputs: DataFrame) -> DataFrame:
-    both = inputs.where("has_solar = 1 AND has_energy = 1")
-    return both.unpivot(SITE, ["solar_1h", "energy_1h"], "source", "kwh")
+def next_hour_chart(next_hour: DataFrame) -> DataFrame:
+    """From `join_next_hour` rows: solar and consumption as two bars per site."""
+    return next_hour.unpivot(SITE, ["solar_kwh", "use_kwh"], "source", "kwh")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from gridwise.functions.scalars import null_to_zero
-from gridwise.operators.series import gap_diff, gap_seconds, order_columns, site_window, span_hours
+from gridwise.operators.series import gap_diff, gap_seconds, last_n_rows, site_window, span_hours
 from gridwise.schemas import SITE
 
 # The resampling rule and the profile defaults.
@@ -171,13 +171,8 @@ def profile_lookup(profile: Column | str, hour: Column, default: float = PROFILE
     return F.coalesce(F.try_element_at(profile, (hour + 1).cast("int")), F.lit(default))
 
 
-def history_array(series: DataFrame, keep: int) -> DataFrame:
+def history_array(series: DataFrame, keep: int, bounded: bool = False) -> DataFrame:
     """The last `keep` values of each site as `hist`, oldest first; nulls count as 0."""
-    recent = Window.partitionBy(SITE).orderBy(*[F.col(c).desc() for c in order_columns(series)])
-    return (
-        series.withColumn("back", F.row_number().over(recent)).where(F.col("back") <= keep)
-        .groupBy(SITE).agg(
-            F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("k"), null_to_zero("kw").alias("kw")))).alias("rows")
-        )
-        .select(SITE, F.transform("rows", lambda r: r["kw"]).alias("hist"))
-    )
+    recent = last_n_rows(series.select(SITE, "ts", "kw"), keep, bounded)
+    rows = F.sort_array(F.collect_list(F.struct("ts", null_to_zero("kw").alias("kw"))))
+    return recent.groupBy(SITE).agg(rows.alias("rows")).select(SITE, F.transform("rows", lambda r: r["kw"]).alias("hist"))

@@ -451,12 +451,12 @@ SELECT site_id, step, strftime(ts, {STAMP}) AS label, {r6("energy_kwh")} AS ener
   {r6("lo")} AS min_tariff, {clock("hi_hour")} AS dearest_hour, {r6("hi")} AS max_tariff
 FROM best FULL JOIN hours USING (site_id)"""
 SQL["chart_tables"] = f"""WITH {ALL}, {DECISION}
-SELECT site_id, 'solar_ghi' AS chart, strftime(ts, '%H:%M') AS label, {r6("ghi_wm2")} AS y FROM sol
-UNION ALL SELECT site_id, 'solar_kwh', strftime(ts, '%H:%M'), {r6("energy_kwh")} FROM sol
+SELECT site_id, 'ghi_wm2' AS chart, strftime(ts, '%H:%M') AS label, {r6("ghi_wm2")} AS y FROM sol
+UNION ALL SELECT site_id, 'energy_kwh', strftime(ts, '%H:%M'), {r6("energy_kwh")} FROM sol
 UNION ALL SELECT site_id, 'consumption', strftime(ts, {STAMP}), {r6("kwh")} FROM con
 UNION ALL SELECT site_id, 'tariff', {ampm("hour")}, {r6("round(tariff + 1e-9, 4)")} FROM tar
-UNION ALL SELECT site_id, 'next_hour', 'solar_1h', {r6("solar_1h")} FROM decided WHERE has_solar = 1 AND has_energy = 1
-UNION ALL SELECT site_id, 'next_hour', 'energy_1h', {r6("energy_1h")} FROM decided WHERE has_solar = 1 AND has_energy = 1"""
+UNION ALL SELECT site_id, 'next_hour', 'solar_kwh', {r6("solar_1h")} FROM decided WHERE has_solar = 1 AND has_energy = 1
+UNION ALL SELECT site_id, 'next_hour', 'use_kwh', {r6("energy_1h")} FROM decided WHERE has_solar = 1 AND has_energy = 1"""
 SQL["recommendations"] = f"""WITH {ALL}, {DECISION},
 cost AS (SELECT con.site_id, con.step, con.ts, kwh * tariff AS cost FROM con JOIN tar USING (site_id, step)),
 low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY cost, step) AS rn FROM cost) WHERE rn = 1),

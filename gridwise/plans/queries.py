@@ -94,12 +94,10 @@ def sensor_range_checks(spark: SparkSession, folder: str) -> DataFrame:
     """Every reading with its panel (or the defaults): failed rules and clipped irradiance."""
     joined = validate.default_panels(driver.readings(spark, folder), driver.panels(spark, folder))
     rules = {**validate.SENSOR_RANGES, **validate.PANEL_RANGES}
-    passed, failed = validate.range_checks(joined, rules)
-    both = passed.withColumn("failed", F.array().cast("array<string>")).unionByName(failed)
-    return shown(both.select(
+    return shown(joined.select(
         SITE,
         "ts",
-        F.concat_ws(",", "failed").alias("failed"),
+        F.concat_ws(",", validate.failed_rules(rules)).alias("failed"),
         scalars.clip("GHI", *validate.SENSOR_RANGES["GHI"]).alias("ghi_clipped"),
         "area_m2",
         "efficiency",
@@ -322,20 +320,17 @@ def best_windows(spark: SparkSession, folder: str) -> DataFrame:
 def chart_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The tables behind the solar, consumption, tariff and next-hour charts, in one long table."""
     solar, consumption, tariff = standins.all_three(spark, folder)
-    inputs = decisions.site_inputs(solar, consumption, tariff)
-    one, two = decisions.solar_chart(solar), decisions.consumption_chart(consumption)
-    three, four = decisions.tariff_chart(tariff), decisions.next_hour_chart(inputs)
+    both = decisions.join_next_hour(solar, consumption).select(SITE, "solar_kwh", F.col("kwh").alias("use_kwh"))
     parts = [
-        one.select(SITE, F.lit("solar_ghi").alias("chart"), F.col("hour").alias("label"), F.col("ghi_wm2").alias("y")),
-        one.select(SITE, F.lit("solar_kwh"), "hour", "energy_kwh"),
-        two.select(SITE, F.lit("consumption"), "hour", "kwh"),
-        three.select(SITE, F.lit("tariff"), "time", "tariff"),
-        four.select(SITE, F.lit("next_hour"), "source", "kwh"),
+        decisions.solar_chart(solar).unpivot([SITE, "hour"], ["ghi_wm2", "energy_kwh"], "chart", "y"),
+        decisions.consumption_chart(consumption).withColumn("chart", F.lit("consumption")).withColumnRenamed("kwh", "y"),
+        decisions.tariff_chart(tariff).toDF(SITE, "hour", "y").withColumn("chart", F.lit("tariff")),
+        decisions.next_hour_chart(both).toDF(SITE, "hour", "y").withColumn("chart", F.lit("next_hour")),
     ]
     out = parts[0]
     for part in parts[1:]:
-        out = out.union(part)
-    return shown(out)
+        out = out.unionByName(part)
+    return shown(out.withColumnRenamed("hour", "label"))
 
 
 def ml_solar_3h(spark: SparkSession, folder: str) -> DataFrame:
