@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridwise.llm import html_text, language, licenses, token_count, topk
+from gridwise.llm import html_text, language, licenses, simhash, token_count, topk
 from gridwise.llm.common import read, ship
 
 
@@ -23,6 +23,13 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    docs = read(ship(spark), sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs, words_per_shingle=4, distance=4, seed=42)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that every document names or holds."""
     return licenses.recognise(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -51,5 +58,5 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_exact_top_k, op6_licenses, op7_token_count, op8_language)
+    f.__name__: f for f in (op1_html_text, op2_exact_top_k, op5_simhash, op6_licenses, op7_token_count, op8_language)
 }
