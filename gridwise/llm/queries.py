@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridwise.llm import html_text, language, licenses, simhash, token_count, topk
+from gridwise.llm import html_text, language, licenses, secret_scan, simhash, token_count, topk
 from gridwise.llm.common import read, ship
 
 
@@ -57,6 +57,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    found = secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(kind) for kind in secret_scan.BASE],
+        F.sha2(secret_scan.joined(F.col("base_spans")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_exact_top_k, op5_simhash, op6_licenses, op7_token_count, op8_language)
+    f.__name__: f for f in (op1_html_text, op2_exact_top_k, op5_simhash, op6_licenses, op7_token_count, op8_language, op9_secrets)
 }
