@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridwise.llm import html_text, language, licenses, secret_scan, simhash, token_count, topk
+from gridwise.llm import decontaminate, html_text, language, licenses, secret_scan, simhash, token_count, topk
 from gridwise.llm.common import read, ship
 
 
@@ -23,6 +23,12 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold."""
+    found = decontaminate.contaminated(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "start_word", "n_words")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     docs = read(ship(spark), sf_dir, "documents").select("doc_id", "text")
@@ -68,5 +74,5 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_exact_top_k, op5_simhash, op6_licenses, op7_token_count, op8_language, op9_secrets)
+    f.__name__: f for f in (op1_html_text, op2_exact_top_k, op4_decontaminate, op5_simhash, op6_licenses, op7_token_count, op8_language, op9_secrets)
 }

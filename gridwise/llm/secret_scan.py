@@ -62,11 +62,10 @@ def located(text: Column, pattern: str, group: int, kind: str, rank: int) -> Col
 
 def base_spans(text: Column) -> Column:
     """Base spans by start, then kind."""
-    kinds = [
-        F.filter(located(text, pattern, group, kind, rank), lambda s, least=least: s.size >= least)
-        for rank, (kind, (pattern, group, least)) in enumerate(BASE.items())
-    ]
-    return F.array_sort(F.concat(*kinds))
+    def long_enough(rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
+        return F.filter(located(text, pattern, group, kind, rank), lambda s: s.size >= least)
+
+    return F.array_sort(F.concat(*[long_enough(rank, kind, *rule) for rank, (kind, rule) in enumerate(BASE.items())]))
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
