@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridwise.llm import decontaminate, html_text, language, licenses, secret_scan, simhash, token_count, topk
+from gridwise.llm import bpe, decontaminate, html_text, language, licenses, secret_scan, simhash, token_count, topk
 from gridwise.llm.common import read, ship
 
 
@@ -73,6 +75,32 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Encode the texts, decode the ids again, and give digests of both."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, at = lists.flatten().to_numpy().astype("<u4"), 0
+            sizes = [len(x) for x in lists]
+            digests = []
+            for n in sizes:
+                digests.append(hashlib.sha256(flat[at : at + n].tobytes()).hexdigest())
+                at += n
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests), batch.column(2)], names=["doc_id", "n_tokens", "ids_sha256", "decoded"])
+
+    found = decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded binary")
+    return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and what they decode to."""
+    return token_digests(read(ship(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_exact_top_k, op4_decontaminate, op5_simhash, op6_licenses, op7_token_count, op8_language, op9_secrets)
+    f.__name__: f for f in (op1_html_text, op2_exact_top_k, op4_decontaminate, op5_simhash, op6_licenses, op7_token_count, op8_language, op9_secrets, op10_byte_bpe)
 }
