@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridwise.llm import bpe, decontaminate, html_text, language, licenses, secret_scan, simhash, token_count, topk
+from gridwise.llm import bpe, decontaminate, html_text, language, licenses, secret_scan, simhash, suffix_dedup, token_count, topk
 from gridwise.llm.common import read, ship
 
 
@@ -25,6 +25,15 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 400 bytes that occur elsewhere."""
+    docs = read(ship(spark), sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.removed(docs, [
+        F.col("n_bytes"), (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    ], length=400)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents hold."""
     found = decontaminate.contaminated(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
@@ -102,5 +111,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_exact_top_k, op4_decontaminate, op5_simhash, op6_licenses, op7_token_count, op8_language, op9_secrets, op10_byte_bpe)
+    f.__name__: f for f in (op1_html_text, op2_exact_top_k, op3_suffix_dedup, op4_decontaminate, op5_simhash, op6_licenses, op7_token_count, op8_language, op9_secrets, op10_byte_bpe)
 }
