@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, functions as F, Window
 
 from gridwise.llm.common import by_bytes, once
 
-#: Bounds of what is learned from: so many different texts of a language, so many bytes of them together.
+#: Bounds of what is learned from: the languages with the most different texts, so many different texts of each, so many
+#: bytes of them together.
+LANGUAGES = 256
 TEXTS_PER_LANGUAGE = 64
 BYTES_PER_LANGUAGE = 1 << 15
 BLOCK = 2048
@@ -57,8 +59,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Samples:
     ).select("l", F.substring("t", 1, BYTES_PER_LANGUAGE).alias("t"), F.xxhash64("t").alias("h"))
     sizes = rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).withColumn(
         "most", F.least(F.lit(1.0), 8.0 * TEXTS_PER_LANGUAGE / F.col("n"))
-    )
-    near = rows.join(sizes, "l").where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("most"))
+    ).orderBy(F.desc("n"), "l").limit(LANGUAGES)
+    near = rows.join(F.broadcast(sizes), "l").where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("most"))
     order = Window.partitionBy("l").orderBy("h", "t")
     kept = near.select("l", "t", "h").distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= TEXTS_PER_LANGUAGE)
     found: dict[str, list[bytes]] = {}
