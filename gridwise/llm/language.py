@@ -112,16 +112,18 @@ class Parser:
         tables, roots, at = [], [], 0
         for sample in samples.texts:
             moves = suffix_automaton(sample)
-            # An entry is twice the next state's place, plus one where a phrase ends and the byte starts the next one.
+            # An entry is four times the next state's place, plus the phrases that end: one where the byte starts the next
+            # phrase, two where no phrase can hold it, so that it is one by itself.
             table = np.full((len(moves), width), -1, np.int64)
             for state, row in enumerate(moves):
                 for byte, to in row.items():
                     if byte != 10:
                         table[state, self.symbol[byte]] = to
             start = np.where(table[0] < 0, 0, table[0])
-            ends = table < 0
-            table = np.where(ends, start[None, :], table)
-            tables.append((((table + at) * width) << 1 | ends).astype(np.int32 if (at + len(moves)) * width < 1 << 29 else np.int64))
+            ends = (table < 0).astype(np.int64)
+            ends[1:, table[0] < 0] = 2
+            table = np.where(ends > 0, start[None, :], table)
+            tables.append((((table + at) * width) << 2 | ends).astype(np.int32 if (at + len(moves)) * width < 1 << 28 else np.int64))
             roots.append(at * width)
             at += len(moves)
         self.table = np.concatenate(tables).ravel()
@@ -143,8 +145,8 @@ class Parser:
         count = np.zeros(state.shape, self.table.dtype)
         for step, n in enumerate(active.tolist()):
             entry = self.table.take(state[:, :n] + grid[step, :n])
-            count[:, :n] += entry & 1
-            state[:, :n] = entry >> 1
+            count[:, :n] += entry & 3
+            state[:, :n] = entry >> 2
         count += state != self.roots[:, None]  # the open phrase at the end of a block
         np.add.at(out, [p[1] for p in parts], count.T)
         return out
