@@ -7,35 +7,45 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gridwise.functions.arrays import pad_to
 from gridwise.functions.scalars import add_hours, ghi_to_kwh, irradiance_category, round_stable, safe_number
 from gridwise.operators.resample import (
-    PROFILE_FLOOR, hourly_profile, hourly_series_of_tail, profile_lookup,
+    PROFILE_FLOOR, hourly_profile, hourly_series, hourly_series_of_tail, profile_lookup,
 )
 from gridwise.operators.series import last_n_rows
-from gridwise.operators.validate import MIN_CONSUMPTION, default_panels
+from gridwise.operators.validate import MIN_CONSUMPTION, default_panels, min_rows
 from gridwise.schemas import SITE
 
-# History used per site and the horizons in hours.
-MAX_CONSUMPTION_ROWS = 2000
-DEFAULT_PREVIEW_ROWS = 500
+# Rows of a site that one request of the service looks at, and the horizons in hours.
+REQUEST_ROWS = 2000
 CONSUMPTION_HORIZON = 24
 SOLAR_HORIZON = 3
 
 
-def consumption_history(raw: DataFrame) -> DataFrame:
-    """Sites with enough rows, their last 2000 rows, resampled to hours where they are denser than that."""
-    recent = last_n_rows(raw.select(SITE, "ts", "kw"), MAX_CONSUMPTION_ROWS)
+def consumption_history(raw: DataFrame, last: int | None = None) -> DataFrame:
+    """Sites with enough rows, resampled to hours where they are denser than that.
+
+    All rows count; `last` asks for the last rows of each site only, at least the minimum, as one request does.
+    """
+    rows = raw.select(SITE, "ts", "kw")
+    if last is None:
+        accepted, _ = min_rows(rows, MIN_CONSUMPTION)
+        return hourly_series(accepted)
+    if last < MIN_CONSUMPTION:
+        raise ValueError(f"a forecast needs at least {MIN_CONSUMPTION} rows")
+    recent = last_n_rows(rows, last)
     # The cut keeps more rows than the minimum, so counting after it accepts the same sites without a join.
     n = F.count("*").over(Window.partitionBy(SITE))
     accepted = recent.withColumn("n", n).where(F.col("n") >= MIN_CONSUMPTION).drop("n")
     return hourly_series_of_tail(accepted)
 
 
-def floor_profile_fallback(prediction: Column, profile: Column, hour: Column, last_good: Column | None = None) -> Column:
+def consumption_rejected(raw: DataFrame) -> DataFrame:
+    """Sites without a consumption forecast: site_id, n, reason."""
+    return min_rows(raw.select(SITE, "ts", "kw"), MIN_CONSUMPTION)[1]
+
+
+def floor_profile_fallback(prediction: Column, profile: Column, hour: Column) -> Column:
     """Predictions at the floor are replaced by the site's mean for that hour of day."""
     raw = F.greatest(prediction, F.lit(PROFILE_FLOOR))
-    usual = profile_lookup(profile, hour)
-    if last_good is not None:
-        usual = F.coalesce(usual, last_good)
-    return F.when(raw <= PROFILE_FLOOR, usual).otherwise(raw)
+    return F.when(raw <= PROFILE_FLOOR, profile_lookup(profile, hour)).otherwise(raw)
 
 
 def last_value_fallback(prediction: Column, hist: Column) -> Column:

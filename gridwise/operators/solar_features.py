@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from gridwise.functions.scalars import (
     calendar_parts, clear_sky_index, cyclic_encode, dni_dhi_ratio, solar_elevation, PERIODS,
@@ -15,8 +17,19 @@ from gridwise.schemas import (
 
 # Weights below this no longer change a double, so the moving average ends its history there.
 EMA_WEIGHT = 1e-17
-# Rows back that the longest span needs: the first power of two whose weight is below EMA_WEIGHT.
-EMA_REACH = 256
+
+
+def ema_readings(spans: list[int]) -> int:
+    """Readings back after which the longest span's weight is below EMA_WEIGHT."""
+    return math.ceil(math.log(EMA_WEIGHT) / math.log(1 - 2 / (max(spans) + 1)))
+
+
+def ema_reach(spans: list[int]) -> int:
+    """Rows that a cut series must carry for the averages: as many again, for rows without a reading in between."""
+    return 2 * ema_readings(spans)
+
+
+EMA_REACH = ema_reach(EMA_SPANS)
 MODE_REACH = max(MODE_WIDTHS) // 2
 
 
@@ -78,26 +91,37 @@ def mode_sums() -> dict[str, Column]:
 
 
 def ewm_mean(df: DataFrame, w: WindowSpec, column: str = "GHI", spans: list[int] = EMA_SPANS) -> DataFrame:
-    """Exponential moving averages: y0 = x0, then y = a x + (1 - a) y_prev with a = 2 / (span + 1).
+    """Exponential moving averages: y = x at the first reading, then y = c y_prev + (1 - c) x.
+
+    With a = 2 / (span + 1) and a reading g rows after the one before, c is (1 - a)^g / ((1 - a)^g + a), which is 1 - a
+    where no row is missing. Rows without a reading keep the last average; before the first reading there is none.
 
-    Unrolled, y is the sum of (1 - a)^k z[t - k] with z0 = x0 and z = a x after that. Doubling the number of summed terms
-    per step needs one lag per step: 8 lags sum 256 terms, where a frame would visit 256 rows for each row.
+    y is c y_prev + d, and two such steps are one step again, so doubling the number of joined steps needs one lag per
+    step, where a frame would visit every row of the history for each row.
     """
-    alpha = {f"{column}_ema_{span}": 2.0 / (span + 1) for span in spans}
-    is_first = F.row_number().over(w) == 1
-    df = df.withColumn("is_first", is_first)
-    df = df.withColumns({
-        name: F.when(F.col("is_first"), F.col(column)).otherwise(F.col(column) * a) for name, a in alpha.items()
-    }).drop("is_first")
+    alpha = {span: 2.0 / (span + 1) for span in spans}
+    keys = [SITE, "block"] if "block" in df.columns else [SITE]
+    # Readings alone, so that a lag is the reading before; they stay in the partitions of the site.
+    readings = Window.partitionBy(*keys, F.isnull(column)).orderBy("ema_row")
+    df = df.withColumn("ema_row", F.row_number().over(w)).withColumn("ema_gap", F.col("ema_row") - F.lag("ema_row").over(readings))
+    steps = {}
+    for span, a in alpha.items():
+        kept = F.pow(F.lit(1 - a), F.col("ema_gap"))
+        steps[f"ema_c_{span}"] = F.coalesce(F.when(F.col("ema_gap") == 1, F.lit(1 - a)).otherwise(kept / (kept + a)), F.lit(0.0))
+    df = df.withColumns(steps).withColumns({f"ema_d_{s}": (1 - F.col(f"ema_c_{s}")) * F.col(column) for s in spans})
     reach = 1
-    while reach < EMA_REACH:
-        df = df.withColumns({
-            name: F.col(name) + F.coalesce(F.lag(name, reach).over(w), F.lit(0.0)) * (1 - a) ** reach
-            for name, a in alpha.items()
-            if (1 - a) ** reach > EMA_WEIGHT
-        })
+    while reach < ema_readings(spans):
+        joined = {}
+        for span, a in alpha.items():
+            if (1 - a) ** reach > EMA_WEIGHT:
+                c, d = F.col(f"ema_c_{span}"), F.col(f"ema_d_{span}")
+                joined[f"ema_d_{span}"] = d + c * F.coalesce(F.lag(d, reach).over(readings), F.lit(0.0))
+                joined[f"ema_c_{span}"] = c * F.coalesce(F.lag(c, reach).over(readings), F.lit(0.0))
+        df = df.withColumns(joined)
         reach *= 2
-    return df
+    last = lambda s: F.last(F.when(F.col(column).isNotNull(), F.col(f"ema_d_{s}")), ignorenulls=True)
+    df = df.withColumns({f"{column}_ema_{s}": last(s).over(w.rowsBetween(Window.unboundedPreceding, 0)) for s in spans})
+    return df.drop("ema_row", "ema_gap", *[f"ema_{x}_{s}" for x in "cd" for s in spans])
 
 
 def solar_features(

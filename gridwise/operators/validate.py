@@ -8,7 +8,6 @@ from gridwise.functions.scalars import nan_to_null
 from gridwise.schemas import FEATURES, SENSORS, SITE
 
 # Smallest series each forecast accepts. 24 of the 36 readings are lost to the longest lag.
-MIN_READINGS = 30
 LOOKBACK = 12
 LONGEST_LAG = 24
 MIN_READINGS_EFFECTIVE = LONGEST_LAG + LOOKBACK
@@ -60,6 +59,14 @@ def require_complete(readings: DataFrame) -> DataFrame:
     return readings.withColumns({c: nan_to_null(c) for c in SENSORS}).dropna(subset=["ts", *SENSORS])
 
 
+def missing_sensor() -> Column:
+    """Whether a reading lacks its time or a sensor."""
+    lacking = F.col("ts").isNull()
+    for c in SENSORS:
+        lacking = lacking | nan_to_null(c).isNull()
+    return lacking
+
+
 def failed_rules(ranges: dict[str, tuple[float, float]]) -> Column:
     """Names of the columns that are missing or out of range, in rule order."""
     checks = [
@@ -75,6 +82,16 @@ def range_checks(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> tuple
     return checked.where(F.size("failed") == 0).drop("failed"), checked.where(F.size("failed") > 0)
 
 
+def priced(conditions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conditions with an average price, and the sites without one (site_id, n, reason).
+
+    TARIFF_RANGES are the limits of manual input; conditions from tables are clipped and taken as they are.
+    """
+    known = F.col("hist_avg").isNotNull()
+    rejected = conditions.where(~known).groupBy(SITE).agg(F.count("*").alias("n"))
+    return conditions.where(known), rejected.withColumn("reason", F.lit("no average price"))
+
+
 def fill_missing_features(df: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
     """Absent feature columns and nulls become 0; the columns come out in the given order."""
     have = set(df.columns)

@@ -10,7 +10,7 @@ from pyspark.ml import Model
 from pyspark.ml.feature import RobustScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gridwise.functions.arrays import append_value, left_pad_first
 from gridwise.operators.consumption_features import KEEP, consumption_features, next_hour_features
@@ -18,7 +18,6 @@ from gridwise.operators.forecasts import (
     CONSUMPTION_HORIZON, consumption_history, explode_steps, floor_profile_fallback, last_value_fallback,
 )
 from gridwise.operators.resample import hourly_profile
-from gridwise.operators.series import site_window
 from gridwise.schemas import CONSUMPTION_FEATURES, SITE
 from gridwise.session import use_checkpoint_dir
 from gridwise.sources.models import load_models, save_models
@@ -88,12 +87,11 @@ def _scaled(models: ConsumptionModels):
 def residual_sequence(features: DataFrame, models: ConsumptionModels) -> DataFrame:
     """Per site: the last 48 values (`hist`), and the last 24 scaled errors of the base model (`errors`), padded on the
     left with the first one; zeros without a correction model."""
-    scored = base_consumption(features, models.base).select(SITE, "ts", "kw", (F.col("kw") - F.col("base")).alias("error"))
-    w = site_window(scored)
-    # The window runs backwards: the row with rank 1 is the last one.
-    rank = F.row_number().over(w.orderBy(F.col("ts").desc(), F.col("kw").desc()))
-    error = _scaled(models) if models.correction is not None else F.lit(0.0)
-    recent = scored.withColumns({"back": rank, "error": error}).where(F.col("back") <= KEEP)
+    # The window runs backwards: the row with rank 1 is the last one. Only the last rows are scored.
+    rank = F.row_number().over(Window.partitionBy(SITE).orderBy(F.col("ts").desc(), F.col("kw").desc()))
+    last = features.withColumn("back", rank).where(F.col("back") <= KEEP)
+    scored = base_consumption(last, models.base).withColumn("error", F.col("kw") - F.col("base"))
+    recent = scored.withColumn("error", _scaled(models) if models.correction is not None else F.lit(0.0))
     rows = F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("k"), "kw", "error")))
     listed = recent.groupBy(SITE).agg(rows.alias("rows"), F.max("ts").alias("last_ts"))
     return listed.select(

@@ -157,13 +157,14 @@ series AS (
   UNION ALL SELECT raw.site_id, ts, kw FROM raw JOIN rule USING (site_id) WHERE NOT (rule_a OR rule_b))"""
 
 
-def history(all_rows: str) -> str:
-    """`all_rows` (an `everything` relation) cut to accepted sites and their last 2000 rows, then resampled."""
+def history(all_rows: str, last: int | None = None) -> str:
+    """`all_rows` (an `everything` relation) cut to accepted sites, and to their last rows if asked, then resampled."""
+    cut = f" AND back <= {last}" if last else ""
     return f"""{all_rows.replace("raw AS", "everything AS", 1)},
 raw AS (
   SELECT site_id, ts, kw FROM (
     SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts DESC) AS back, count(*) OVER (PARTITION BY site_id) AS n
-    FROM everything) WHERE n >= 24 AND back <= 2000),
+    FROM everything) WHERE n >= 24{cut}),
 {SERIES}"""
 
 
@@ -208,7 +209,7 @@ CONDITIONS = """conditions AS (
   FROM events),
 tin AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts DESC) AS back FROM conditions)
-  WHERE back = 1 AND hist_avg BETWEEN 1 AND 20 AND temperature BETWEEN -10 AND 50)"""
+  WHERE back = 1 AND hist_avg IS NOT NULL)"""
 SCORES = f"""{CONDITIONS},
 scores AS (
   SELECT *, sin(step * (demand + 1e0) + hour) * 2e0 AS raw
@@ -267,9 +268,28 @@ SQL["solar_ratios"] = _solar(ratios())
 SQL["solar_lags"] = _solar(lags())
 SQL["solar_rolling"] = _solar(rolling())
 SQL["solar_ewm"] = _solar(ewm())
+_READINGS_WITH_GAPS = READINGS.replace('value * 5e0 AS "GHI"', "CASE WHEN event_type <> 'signup' THEN value * 5e0 END AS \"GHI\"")
+
+
+def _ewm_gaps(span: int) -> str:
+    """Fold over the readings so far; each is weighted by the rows since the one before."""
+    a = 2 / (span + 1)
+    kept = f"pow({1 - a!r}e0, no - before)"
+    step = f"struct_pack(c := CASE WHEN before IS NULL THEN 0e0 ELSE {kept} / ({kept} + {a!r}e0) END, x := \"GHI\")"
+    past = f"list({step}) OVER ({W} ROWS BETWEEN 2000 PRECEDING AND CURRENT ROW)"
+    return f"list_reduce({past}, lambda y, z: struct_pack(c := 0e0, x := z.c * y.x + (1e0 - z.c) * z.x)).x"
+
+
+SQL["solar_ewm_gaps"] = f"""WITH {_READINGS_WITH_GAPS},
+numbered AS (SELECT site_id, ts, "GHI", row_number() OVER ({W}) AS no FROM readings),
+seen AS (SELECT *, lag(no) OVER ({W}) AS before FROM numbered WHERE "GHI" IS NOT NULL),
+averages AS (SELECT site_id, ts, {named({f"e{s}": _ewm_gaps(s) for s in (3, 12, 48)})} FROM seen)
+SELECT site_id, ts, {rounded({f"GHI_ema_{s}": f"last_value(e{s} IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" for s in (3, 12, 48)})}
+FROM numbered LEFT JOIN averages USING (site_id, ts)"""
 SQL["solar_modes"] = _solar(modes())
 SQL["solar_features"] = f"""WITH {features_cte()}
 SELECT site_id, ts, {rounded({c: f'"{c}"' for c in ("GHI", *feature_exprs())})} FROM features WHERE n > 24"""
+SQL["long_site_features"] = SQL["solar_features"].replace("user_id AS site_id", "user_id % 10 AS site_id", 1)
 SQL["solar_lookback"] = f"""WITH {features_cte()},
 recent AS (
   SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts) - 1 AS i FROM (
@@ -300,6 +320,22 @@ FROM events WHERE event_type <> 'error'"""
 SQL["ingest_json"] = f"""WITH {READINGS}
 SELECT site_id, date_trunc('minute', ts) AS ts, {rounded({c: f'"{c}"' for c in ("GHI", *BASE)})}
 FROM readings WHERE "DHI" <> 0"""
+SQL["ingest_requests"] = f"""WITH {READINGS},
+numbered AS (
+  SELECT *, row_number() OVER ({W}) AS no, count(*) OVER (PARTITION BY site_id) AS n FROM readings),
+newest AS (SELECT *, least(no + 9, n) // 5 * 5 AS request, n // 5 * 5 AS panel FROM numbered)
+SELECT site_id, ts, {rounded({"GHI": '"GHI" * (1e0 + request / 100e0)', "DHI": '"DHI"', "BP": '"BP"',
+  "area_m2": "CAST(panel AS DOUBLE)",
+  "efficiency": "CASE WHEN panel % 15 / 10e0 > 0 AND panel % 15 / 10e0 <= 1 THEN panel % 15 / 10e0 ELSE 0.2e0 END"})}
+FROM newest WHERE request >= no"""
+SQL["forecast_rejections"] = f"""WITH {CONDITIONS.split("tin AS")[0].rstrip().rstrip(",")},
+parts AS (
+  SELECT user_id * 10 + CASE WHEN day(ts) % 4 = 0 THEN 0 ELSE 1 END AS site_id, event_type <> 'signup' AS complete FROM events),
+counts AS (SELECT site_id, count(*) AS n, CAST(sum(CASE WHEN complete THEN 1 ELSE 0 END) AS BIGINT) AS whole FROM parts GROUP BY site_id)
+SELECT site_id, 'solar' AS forecast, whole AS n, 'too few rows' AS reason FROM counts WHERE whole < 36
+UNION ALL SELECT site_id, 'consumption', n, 'too few rows' FROM counts WHERE n < 24
+UNION ALL SELECT site_id, 'tariff', CAST(1 AS BIGINT), 'no average price' FROM (
+  SELECT site_id, arg_max(coalesce(hist_avg, -1), ts) AS last_price FROM conditions GROUP BY site_id) WHERE last_price = -1"""
 SQL["hourly_resample"] = f"WITH {HOUSES}, {hourly('raw', 'full_hours')} SELECT site_id, ts, {r6('kw')} AS kw FROM full_hours"
 SQL["hourly_series"] = f"WITH {FEEDERS}, {SERIES} SELECT site_id, ts, {r6('kw')} AS kw FROM series"
 SQL["resample_rule"] = f"""WITH {BOTH}, {RULE}
@@ -330,6 +366,8 @@ SELECT site_id, step, strftime(ts, {STAMP}) AS label, {r6("kwh")} AS kwh,
   {r6("round(sum(kwh) OVER (PARTITION BY site_id) + 1e-9, 4)")} AS total_kwh FROM con"""
 SQL["feeder_forecast"] = f"""WITH {history(FEEDERS)}, {FORECAST}
 SELECT site_id, step, strftime(ts, {STAMP}) AS label, {r6("kwh")} AS kwh FROM con"""
+SQL["service_window_forecast"] = f"""WITH {history(FEEDERS, 2000)}, {FORECAST}
+SELECT site_id, step, strftime(ts, {STAMP}) AS label, {r6("kwh")} AS kwh FROM con"""
 SQL["consumption_totals"] = f"WITH {CON} SELECT site_id, {r6('round(sum(kwh) + 1e-9, 4)')} AS total_kwh FROM con GROUP BY site_id"
 SQL["last_n_readings"] = f"""WITH {CON},
 feeders AS (

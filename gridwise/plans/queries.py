@@ -11,9 +11,9 @@ from gridwise.operators import decisions, forecasts, resample, series, solar_fea
 from gridwise.operators.consumption_features import consumption_features
 from gridwise.plans import standins
 from gridwise.plans.consumption_model import consumption_24h
-from gridwise.plans.solar_model import solar_3h
+from gridwise.plans.solar_model import solar_3h, solar_rejected
 from gridwise.plans.tariff_model import tariff_12h
-from gridwise.schemas import CONSUMPTION_FEATURES, CYCLIC, EMA_FEATURES, FEATURES, LAG_FEATURES, SENSORS, SITE
+from gridwise.schemas import CYCLIC, EMA_FEATURES, SENSORS, SITE
 from gridwise.sources import columns, driver, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,20 @@ def solar_ewm(spark: SparkSession, folder: str) -> DataFrame:
     return shown(df.select(SITE, "ts", *EMA_FEATURES))
 
 
+def solar_ewm_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Averages over readings of which those of one kind are missing."""
+    spans = [3, 12, 48]
+    readings = driver.readings(spark, folder, missing="signup").select(SITE, "ts", "GHI")
+    df = series.over_series(readings, lambda d, w: sf.ewm_mean(d, w, spans=spans), before=sf.ema_reach(spans))
+    return shown(df.select(SITE, "ts", *[f"GHI_ema_{s}" for s in spans]))
+
+
+def long_site_features(spark: SparkSession, folder: str) -> DataFrame:
+    """The features of ten long series, cut into blocks of 600 rows."""
+    readings = driver.readings(spark, folder).withColumn(SITE, F.col(SITE) % 10)
+    return shown(sf.solar_features(readings, rows_per_block=600))
+
+
 def solar_modes(spark: SparkSession, folder: str) -> DataFrame:
     reach = sf.MODE_REACH
     df = _windowed(spark, folder, lambda d, w: d.withColumns(sf.centred_means(w)), before=reach, after=reach)
@@ -129,6 +143,40 @@ def ingest_json(spark: SparkSession, folder: str) -> DataFrame:
     return shown(readers.solar_rows(rows))
 
 
+def ingest_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Solar requests whose histories overlap and whose panels change: the newest of each site and time, next to its panel.
+
+    Every fifth reading of a site sends a request with the last ten; later requests report one percent more irradiance.
+    """
+    w = Window.partitionBy(SITE).orderBy("ts")
+    numbered = driver.readings(spark, folder).withColumns({"no": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(SITE))})
+    sent = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.col("no") + i), lambda k: (k % 5 == 0) & (k <= F.col("n")))
+    rows = numbered.withColumn("request", F.explode(sent)).withColumn("GHI", F.col("GHI") * (1 + F.col("request") / 100))
+    row = F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("datetime"), *SENSORS)
+    grouped = rows.groupBy(SITE, "request").agg(F.collect_list(row).alias("historical_data"))
+    request = F.to_json(F.struct(
+        SITE, "historical_data", F.col("request").cast("double").alias("panel_area_m2"),
+        (F.col("request") % 15 / 10.0).cast("double").alias("panel_efficiency"),
+    ))
+    parsed = grouped.select("request", F.from_json(request, readers.SOLAR_REQUEST).alias("r")).select("request", "r.*")
+    readings, panels = readers.solar_requests(parsed, ["request"])
+    return shown(validate.default_panels(readings, panels).select(SITE, "ts", "GHI", "DHI", "BP", "area_m2", "efficiency"))
+
+
+def forecast_rejections(spark: SparkSession, folder: str) -> DataFrame:
+    """Sites that get no solar, consumption or tariff forecast, with the reason. A quarter of a household's days is a site."""
+    def part(df: DataFrame) -> DataFrame:
+        return df.withColumn(SITE, F.col(SITE) * 10 + F.when(F.dayofmonth("ts") % 4 == 0, 0).otherwise(1))
+
+    found = {
+        "solar": solar_rejected(part(driver.readings(spark, folder, missing="signup"))),
+        "consumption": forecasts.consumption_rejected(part(driver.consumption(spark, folder))),
+        "tariff": validate.priced(driver.tariff_input(spark, folder))[1],
+    }
+    parts = [df.select(SITE, F.lit(name).alias("forecast"), F.col("n").cast("long").alias("n"), "reason") for name, df in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def hourly_resample(spark: SparkSession, folder: str) -> DataFrame:
     return shown(resample.resample_hourly(driver.consumption(spark, folder)))
 
@@ -177,12 +225,18 @@ def profile_forecast(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def feeder_forecast(spark: SparkSession, folder: str) -> DataFrame:
-    """The same for feeders, whose last 2000 rows are denser than hourly and get resampled."""
+    """The same for feeders, whose rows are denser than hourly and get resampled."""
     history = forecasts.consumption_history(driver.feeder_consumption(spark, folder))
     forecast = forecasts.profile_forecast(history)
     return shown(forecast.select(SITE, "step", scalars.horizon_label("ts").alias("label"), "kwh"))
 
 
+def service_window_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    """Forecast of feeders from the rows that one request of the service looks at, the last 2000."""
+    history = forecasts.consumption_history(driver.feeder_consumption(spark, folder), last=forecasts.REQUEST_ROWS)
+    return shown(forecasts.profile_forecast(history).select(SITE, "step", scalars.horizon_label("ts").alias("label"), "kwh"))
+
+
 def consumption_totals(spark: SparkSession, folder: str) -> DataFrame:
     return shown(forecasts.consumption_total(standins.consumption(spark, folder)))
 
@@ -238,7 +292,7 @@ def tariff_frames(spark: SparkSession, folder: str) -> DataFrame:
     conditions = driver.tariff_conditions(spark, folder)
     prices = conditions.select(SITE, "ts", F.col("historical_avg_tariff").alias("kw")).where("kw IS NOT NULL")
     recent = resample.history_array(prices, 36).select(SITE, F.reverse("hist").alias("recent"))
-    valid, _ = validate.range_checks(driver.tariff_input(spark, folder), validate.TARIFF_RANGES)
+    valid, _ = validate.priced(driver.tariff_input(spark, folder))
     return shown(tf.tariff_sequence(valid, recent))
 
 
@@ -351,6 +405,8 @@ QUERIES: dict[str, Query] = {
     "solar_lags": solar_lags,
     "solar_rolling": solar_rolling,
     "solar_ewm": solar_ewm,
+    "solar_ewm_gaps": solar_ewm_gaps,
+    "long_site_features": long_site_features,
     "solar_modes": solar_modes,
     "solar_features": solar_features,
     "solar_lookback": solar_lookback,
@@ -358,6 +414,8 @@ QUERIES: dict[str, Query] = {
     "sensor_range_checks": sensor_range_checks,
     "ingest_csv": ingest_csv,
     "ingest_json": ingest_json,
+    "ingest_requests": ingest_requests,
+    "forecast_rejections": forecast_rejections,
     "hourly_resample": hourly_resample,
     "hourly_series": hourly_series,
     "resample_rule": resample_rule,
@@ -366,6 +424,7 @@ QUERIES: dict[str, Query] = {
     "consumption_features": consumption_feature_table,
     "profile_forecast": profile_forecast,
     "feeder_forecast": feeder_forecast,
+    "service_window_forecast": service_window_forecast,
     "consumption_totals": consumption_totals,
     "last_n_readings": last_n_readings,
     "sorted_readings": sorted_readings,

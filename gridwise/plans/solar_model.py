@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gridwise.functions.scalars import add_hours
 from gridwise.operators.forecasts import SOLAR_HORIZON, solar_energy
-from gridwise.operators.series import micros
+from gridwise.operators.series import last_n_rows, micros
 from gridwise.operators.solar_features import all_lookbacks, last_lookback, solar_features
-from gridwise.operators.validate import MIN_READINGS_EFFECTIVE, LOOKBACK, min_rows
+from gridwise.operators.validate import LOOKBACK, MIN_READINGS_EFFECTIVE, min_rows, missing_sensor, require_complete
 from gridwise.schemas import FEATURES, SITE
 from gridwise.sources.models import load_models, save_models
 
@@ -168,8 +168,9 @@ def fit_solar(features: DataFrame) -> SolarModels:
 
 def solar_direct_3h(features: DataFrame, models: SolarModels) -> DataFrame:
     """(site_id, step, ts, ghi) for the three hours after the last row of each site."""
-    rows = scale_features(features, models.scaler)
-    last = last_lookback(rows).withColumn("features", array_to_vector("lookback")).drop("lookback")
+    # The few rows that are scored are cut out before they are scaled.
+    recent = last_n_rows(features.select(SITE, "ts", "GHI", *FEATURES), LOOKBACK)
+    last = last_lookback(scale_features(recent, models.scaler), bounded=True).withColumn("features", array_to_vector("lookback")).drop("lookback")
     scored = hstack_select(stack_meta(last, models.bases), models.selected)
     for model in models.horizons:
         scored = model.transform(scored)
@@ -182,9 +183,16 @@ def solar_direct_3h(features: DataFrame, models: SolarModels) -> DataFrame:
     return steps.select(SITE, step.alias("step"), add_hours("last_ts", step).alias("ts"), "ghi")
 
 
+def solar_rejected(readings: DataFrame) -> DataFrame:
+    """Sites without a solar forecast: site_id, n, reason. Readings that lack a sensor don't count."""
+    counted = readings.select(SITE, F.when(missing_sensor(), 0).otherwise(1).alias("complete"))
+    counts = counted.groupBy(SITE).agg(F.sum("complete").alias("n"))
+    return counts.where(F.col("n") < MIN_READINGS_EFFECTIVE).withColumn("reason", F.lit("too few rows"))
+
+
 def solar_3h(readings: DataFrame, panels: DataFrame) -> DataFrame:
-    """Fit on all readings and forecast every site with enough of them."""
-    accepted, _ = min_rows(readings, MIN_READINGS_EFFECTIVE)
+    """Fit on all readings and forecast every site with enough of them; `solar_rejected` has the others."""
+    accepted, _ = min_rows(require_complete(readings), MIN_READINGS_EFFECTIVE)
     features = solar_features(accepted).persist(StorageLevel.MEMORY_AND_DISK)
     models = fit_solar(features)
     return solar_energy(solar_direct_3h(features, models), panels)

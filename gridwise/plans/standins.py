@@ -12,7 +12,7 @@ from gridwise.functions.scalars import add_hours, clear_sky_index, solar_elevati
 from gridwise.operators.forecasts import SOLAR_HORIZON, consumption_history, profile_forecast, solar_energy
 from gridwise.operators.series import last_row
 from gridwise.operators.tariff import HORIZON, price_forecast
-from gridwise.operators.validate import range_checks, TARIFF_RANGES
+from gridwise.operators.validate import priced
 from gridwise.schemas import SITE
 from gridwise.sources import driver
 
@@ -41,8 +41,8 @@ def consumption(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tariff_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """For sites whose last conditions are in range."""
-    valid, _ = range_checks(driver.tariff_input(spark, folder), TARIFF_RANGES)
+    """For sites whose last conditions name an average price."""
+    valid, _ = priced(driver.tariff_input(spark, folder))
     steps = valid.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(HORIZON))))
     raw = F.sin(F.col("step") * (F.col("demand") + 1.0) + F.col("hour")) * 2.0
     return steps.withColumn("raw", raw)

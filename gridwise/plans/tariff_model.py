@@ -12,7 +12,7 @@ from gridwise.operators.series import last_n_rows, last_row, over_series
 from gridwise.operators.tariff import (
     FRAME_COLUMNS, FRAMES, HORIZON, TARIFF_LAGS, price_forecast, tariff_bounds, tariff_sequence,
 )
-from gridwise.operators.validate import TARIFF_RANGES, range_checks
+from gridwise.operators.validate import priced
 from gridwise.schemas import SITE
 
 # One current price and the reach of the longest lag of the first frame.
@@ -82,7 +82,7 @@ def tariff_scores(current: DataFrame, prices: DataFrame, model: Model) -> DataFr
 
 
 def tariff_12h(conditions: DataFrame) -> DataFrame:
-    """Fit on all past conditions and forecast every site whose latest ones are in range."""
-    current, _ = range_checks(tariff_bounds(last_row(conditions)), TARIFF_RANGES)
+    """Fit on all past conditions and forecast every site whose latest ones name an average price."""
+    current, _ = priced(tariff_bounds(last_row(conditions)))
     model = fit_tariff(conditions)
     return price_forecast(tariff_scores(current, recent_prices(conditions), model))

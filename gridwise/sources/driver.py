@@ -19,12 +19,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def readings(spark: SparkSession, folder: str) -> DataFrame:
+def readings(spark: SparkSession, folder: str, missing: str | None = None) -> DataFrame:
+    """Readings of all households; those of the kind `missing` lack their irradiance."""
     value, event = F.col("value"), F.col("event_id")
     return table(spark, folder, "events").select(
         F.col("user_id").alias(SITE),
         "ts",
-        (value * 5).alias("GHI"),
+        (F.when(F.col("event_type") != missing, value * 5) if missing else value * 5).alias("GHI"),
         (value * 3.5).alias("DNI"),
         F.when(F.col("event_type") == "error", 0.0).otherwise(value * 1.25).alias("DHI"),
         (event % 20 + 15).cast("double").alias("T_amb"),

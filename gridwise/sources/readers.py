@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gridwise.functions.scalars import nan_to_null
-from gridwise.operators.forecasts import DEFAULT_PREVIEW_ROWS
 from gridwise.operators.series import last_n_rows
 from gridwise.operators.tariff import tariff_bounds
 from gridwise.operators.validate import parse_ts_drop_bad
@@ -26,10 +25,10 @@ def _text_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.csv(path, header=True)
 
 
-def solar_rows(raw: DataFrame) -> DataFrame:
+def solar_rows(raw: DataFrame, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """Text or typed rows with a `datetime` to readings; unreadable times are dropped, unreadable numbers are null."""
     sensors = [nan_to_null(F.col(c).try_cast("double")).alias(c) for c in SENSORS]
-    return parse_ts_drop_bad(raw).select(SITE, "ts", *sensors)
+    return parse_ts_drop_bad(raw).select(SITE, "ts", *sensors, *keep)
 
 
 def read_solar_csv(spark: SparkSession, path: str | list[str], site_id: int | None = None) -> DataFrame:
@@ -38,12 +37,13 @@ def read_solar_csv(spark: SparkSession, path: str | list[str], site_id: int | No
 
 
 def read_consumption_csv(
-    spark: SparkSession, path: str | list[str], site_id: int | None = None, last: int = DEFAULT_PREVIEW_ROWS
+    spark: SparkSession, path: str | list[str], site_id: int | None = None, last: int | None = None
 ) -> DataFrame:
-    """The last rows of each site as (site_id, ts, kw); headers in any case, spaces allowed."""
+    """All rows as (site_id, ts, kw), or the `last` ones of each site; headers in any case, spaces allowed."""
     raw = normalise_header(_text_csv(spark, path))
     require_columns(raw, [time_column(raw), "global_active_power"])
-    return last_n_rows(resolve_columns(_with_site(raw, site_id)), last)
+    rows = resolve_columns(_with_site(raw, site_id))
+    return rows if last is None else last_n_rows(rows, last)
 
 
 def read_tariff_csv(spark: SparkSession, path: str | list[str], site_id: int | None = None) -> DataFrame:
@@ -56,6 +56,7 @@ def read_tariff_csv(spark: SparkSession, path: str | list[str], site_id: int | N
     return tariff_bounds(raw.groupBy(SITE).agg(last).select(SITE, "last.*"))
 
 
+# The fields of a solar request.
 SOLAR_REQUEST = T.StructType([
     T.StructField(SITE, T.LongType()),
     T.StructField("historical_data", T.ArrayType(T.StructType(RAW_READINGS.fields[1:]))),
@@ -64,14 +65,29 @@ SOLAR_REQUEST = T.StructType([
 ])
 
 
-def read_solar_json(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """Requests, one per line, to readings and panels."""
-    requests = spark.read.schema(SOLAR_REQUEST).json(path)
-    rows = requests.select(SITE, F.explode("historical_data").alias("row")).select(SITE, "row.*")
+def solar_requests(requests: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Readings and panels from requests whose place in time is given by the columns `order`.
+
+    Each request carries its own history, so histories overlap: a site has one row for each time and one panel, those of
+    its newest request that has them. A panel area that isn't positive or an efficiency outside of (0, 1] counts as missing.
+    """
+    place = F.struct(*order)
+    rows = requests.select(SITE, place.alias("place"), F.posexplode("historical_data").alias("row_no", "row"))
+    parsed = solar_rows(rows.select(SITE, "row.*", F.struct("place", "row_no").alias("place")), keep=["place"])
+    newest = parsed.groupBy(SITE, "ts").agg(F.max_by(F.struct(*SENSORS), "place").alias("row"))
+    area, efficiency = F.col("panel_area_m2"), F.col("panel_efficiency")
     panels = requests.select(
-        SITE, F.col("panel_area_m2").alias("area_m2"), F.col("panel_efficiency").alias("efficiency")
+        SITE, place.alias("place"), F.when(area > 0, area).alias("area_m2"),
+        F.when((efficiency > 0) & (efficiency <= 1), efficiency).alias("efficiency"),
     )
-    return solar_rows(rows), panels.select(*PANELS.names)
+    latest = panels.groupBy(SITE).agg(F.max_by(F.struct("area_m2", "efficiency"), "place").alias("panel"))
+    return newest.select(SITE, "ts", "row.*"), latest.select(SITE, "panel.*").select(*PANELS.names)
+
+
+def read_solar_json(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Requests, one per line, to readings and panels; later files and lines are newer."""
+    requests = spark.read.schema(SOLAR_REQUEST).json(path).select("*", "_metadata.file_path", "_metadata.file_block_start")
+    return solar_requests(requests.withColumn("line", F.monotonically_increasing_id()), ["file_path", "file_block_start", "line"])
 
 
 def read_consumption_json(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:

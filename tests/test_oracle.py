@@ -9,6 +9,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry_point  # noqa: E402
+from gridwise.plans import queries as registered  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 QUERIES = entry_point.queries()
@@ -38,7 +39,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_only_fitted_queries_lack_sql():
-    assert set(QUERIES) - set(SQL) == {"ml_solar_3h", "ml_consumption_24h", "ml_tariff_12h"}
+    assert set(registered.QUERIES) - set(SQL) == {"ml_solar_3h", "ml_consumption_24h", "ml_tariff_12h"}
 
 
 @pytest.mark.parametrize("name, steps", [("ml_solar_3h", 3), ("ml_consumption_24h", 24), ("ml_tariff_12h", 12)])
