@@ -20,13 +20,18 @@ START = dt.datetime(2024, 6, 1)
 
 @pytest.fixture(scope="module")
 def readings(spark):
-    """Clear days: irradiance follows the hour, with a site-specific factor."""
+    """Days of changing cloud: a sine arch between sunrise and sunset, with a site-specific height."""
     rows = []
     for site in (1, 2, 3, 4):
         for i in range(24 * 8):
             ts = START + dt.timedelta(hours=i)
-            ghi = max(0.0, 90 - abs(ts.hour - 12) * 7.5) * 10 * (0.6 + 0.1 * site) * (1 + 0.05 * math.sin(i * site))
-            rows.append((site, ts, ghi, ghi * 0.7, ghi * 0.25, 28.0 + math.sin(i), 55.0, 3.5, 5.2, 180.0, 15.0, 1013.0))
+            arch = math.sin(math.pi * (ts.hour - 5) / 14) if 5 < ts.hour < 19 else 0.0
+            cloud = 0.2 + 0.15 * math.cos(0.7 * i + site)
+            ghi = (450.0 + 110 * site) * arch * (1 - cloud)
+            rows.append((
+                site, ts, ghi, ghi * (1 - cloud), ghi * cloud, 11.0 + 6 * arch, 81.0 - 20 * arch, 2.0 + arch, 4.1 + cloud,
+                (40.0 * site + i) % 360, 22.0 - site, 987.0 + 3 * math.sin(i / 9),
+            ))
     rows += [(9, START + dt.timedelta(hours=i), *[1.0] * 10) for i in range(35)]
     return spark.createDataFrame(rows, READINGS).cache()
 
@@ -81,8 +86,9 @@ def consumption(spark):
     for site in (1, 2, 3):
         for i in range(24 * 6):
             h = (START + dt.timedelta(hours=i)).hour
-            load = 0.5 + 0.75 * (math.exp(-((h - 8) ** 2) / 8) + math.exp(-((h - 19) ** 2) / 8)) * site
-            rows.append((site, START + dt.timedelta(hours=i), round(load, 3)))
+            # A long plateau by day, an evening step from six to ten, and a ripple over the days.
+            load = 0.3 + 0.25 * (9 <= h < 18) + 0.6 * site * (18 <= h < 22) + 0.02 * math.sin(i / 5)
+            rows.append((site, START + dt.timedelta(hours=i), load))
     rows += [(5, START + dt.timedelta(hours=i), 1.0) for i in range(24)]
     series = consumption_history(spark.createDataFrame(rows, CONSUMPTION))
     features = consumption_features(series).cache()
