@@ -369,6 +369,42 @@ SELECT site_id, step, strftime(ts, {STAMP}) AS label, {r6("kwh")} AS kwh FROM co
 SQL["service_window_forecast"] = f"""WITH {history(FEEDERS, 2000)}, {FORECAST}
 SELECT site_id, step, strftime(ts, {STAMP}) AS label, {r6("kwh")} AS kwh FROM con"""
 SQL["consumption_totals"] = f"WITH {CON} SELECT site_id, {r6('round(sum(kwh) + 1e-9, 4)')} AS total_kwh FROM con GROUP BY site_id"
+BASE_ERRORS = f"""{history(HOUSES)},
+based AS (
+  SELECT site_id, ts, kw, (coalesce(lag(kw, 1) OVER ({W}), first_value(kw) OVER ({W}))
+      + coalesce(lag(kw, 24) OVER ({W}), first_value(kw) OVER ({W}))) / 2e0 AS base,
+    row_number() OVER (PARTITION BY site_id ORDER BY ts DESC) AS back, count(*) OVER (PARTITION BY site_id) AS n,
+    max(ts) OVER (PARTITION BY site_id) AS last_ts
+  FROM series)"""
+SQL["residual_errors"] = f"""WITH {BASE_ERRORS}
+SELECT b.site_id, b.last_ts, CAST(pos AS INTEGER) AS pos, {r6("(kw - base - 0.1e0) / 2e0")} AS error
+FROM based b JOIN (SELECT unnest(range(24)) AS pos) p ON b.back = least(24 - pos, b.n)"""
+SQL["recursion_24h"] = f"""WITH RECURSIVE {BASE_ERRORS}, {PROFILE},
+day_before AS (SELECT site_id, CAST(25 - back AS INTEGER) AS step, kw FROM based WHERE back <= 24),
+steps AS (
+  SELECT site_id, last_ts, 0 AS step, kw AS v, (kw - base - 0.1e0) / 2e0 AS e FROM based WHERE back = 1
+  UNION ALL
+  SELECT s.site_id, s.last_ts, s.step + 1,
+    CASE WHEN greatest((s.v + d.kw) / 2e0 + greatest(s.e / 2e0 * 2e0 + 0.1e0, -(s.v + d.kw) / 2e0), 0.01e0) <= 0.01e0 THEN p.kw
+      ELSE (s.v + d.kw) / 2e0 + greatest(s.e / 2e0 * 2e0 + 0.1e0, -(s.v + d.kw) / 2e0) END, s.e / 2e0
+  FROM steps s JOIN day_before d ON d.site_id = s.site_id AND d.step = s.step + 1
+  JOIN profile p ON p.site_id = s.site_id AND p.hour = (hour(s.last_ts) + s.step + 1) % 24)
+SELECT site_id, CAST(step AS INTEGER) AS step, last_ts + to_hours(CAST(step AS INTEGER)) AS ts, {r6("round(v + 1e-9, 4)")} AS kwh
+FROM steps WHERE step > 0"""
+_PRICED = CONDITIONS.split("tin AS")[0].rstrip().rstrip(",")
+_SHARE = """least(greatest((price - hist_avg * (0.8e0 - demand * 0.1e0)) / (hist_avg * (0.4e0 + demand * 0.2e0)), 0.01e0), 0.99e0)"""
+SQL["tariff_training"] = f"""WITH {_PRICED},
+priced AS (
+  SELECT *, {", ".join(f"coalesce(lag(hist_avg, {k}) OVER ({W}), hist_avg) / 10e0 AS lag_{k}" for k in (1, 12))},
+    row_number() OVER ({W}) AS no FROM conditions WHERE hist_avg IS NOT NULL),
+pairs AS (
+  SELECT p.*, CAST(q.no - p.no AS INTEGER) AS step, q.hist_avg AS price
+  FROM priced p JOIN priced q ON p.site_id = q.site_id AND q.no > p.no AND q.no <= p.no + 12)
+SELECT site_id, ts, step, {rounded({
+    "label": f"ln({_SHARE} / (1e0 - {_SHARE}))",
+    "ahead_sin": f"sin(((hour + step) % 24) * {2 * math.pi!r}e0 / 24e0)", "ahead_cos": f"cos(((hour + step) % 24) * {2 * math.pi!r}e0 / 24e0)",
+    "tariff_lag_1": "lag_1", "tariff_lag_12": "lag_12", "temperature_norm": "(temperature - 20e0) / 30e0", "hist_avg_norm": "hist_avg / 10e0"})}
+FROM pairs"""
 SQL["last_n_readings"] = f"""WITH {CON},
 feeders AS (
   SELECT user_id % 10 AS site_id, ts, value / 25e0 AS kw,

@@ -10,9 +10,9 @@ from gridwise.functions import arrays, scalars
 from gridwise.operators import decisions, forecasts, resample, series, solar_features as sf, tariff as tf, validate
 from gridwise.operators.consumption_features import consumption_features
 from gridwise.plans import standins
-from gridwise.plans.consumption_model import consumption_24h
+from gridwise.plans.consumption_model import consumption_24h, recursive_24h, residual_sequence
 from gridwise.plans.solar_model import solar_3h, solar_rejected
-from gridwise.plans.tariff_model import tariff_12h
+from gridwise.plans.tariff_model import tariff_12h, training_rows
 from gridwise.schemas import CYCLIC, EMA_FEATURES, SENSORS, SITE
 from gridwise.sources import columns, driver, readers
 
@@ -241,6 +241,27 @@ def consumption_totals(spark: SparkSession, folder: str) -> DataFrame:
     return shown(forecasts.consumption_total(standins.consumption(spark, folder)))
 
 
+def residual_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """The scaled errors of a base model over each household's last 24 hours, oldest first."""
+    features = consumption_features(forecasts.consumption_history(driver.consumption(spark, folder)))
+    sequences = residual_sequence(features, standins.consumption_models())
+    return shown(sequences.select(SITE, "last_ts", F.posexplode("errors").alias("pos", "error")))
+
+
+def recursion_24h(spark: SparkSession, folder: str) -> DataFrame:
+    """The recursion over 24 hours with a base model and a correction that SQL can repeat."""
+    history = forecasts.consumption_history(driver.consumption(spark, folder))
+    return shown(recursive_24h(consumption_features(history), resample.hourly_profile(history), standins.consumption_models()))
+
+
+def tariff_training(spark: SparkSession, folder: str) -> DataFrame:
+    """Inputs and label of every past condition and step that the tariff model is fitted on."""
+    rows = training_rows(driver.tariff_conditions(spark, folder))
+    return shown(rows.select(
+        SITE, "ts", "step", "label", "ahead_sin", "ahead_cos", "tariff_lag_1", "tariff_lag_12", "temperature_norm", "hist_avg_norm",
+    ))
+
+
 def last_n_readings(spark: SparkSession, folder: str) -> DataFrame:
     """Last ten readings of each feeder, marked with the very last one, and the first steps of a forecast."""
     raw = driver.feeder_consumption(spark, folder)
@@ -426,6 +447,9 @@ QUERIES: dict[str, Query] = {
     "feeder_forecast": feeder_forecast,
     "service_window_forecast": service_window_forecast,
     "consumption_totals": consumption_totals,
+    "residual_errors": residual_errors,
+    "recursion_24h": recursion_24h,
+    "tariff_training": tariff_training,
     "last_n_readings": last_n_readings,
     "sorted_readings": sorted_readings,
     "history_arrays": history_arrays,

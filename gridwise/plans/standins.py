@@ -6,6 +6,7 @@ forward with damping, consumption is the hourly profile, and the tariff score is
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridwise.functions.scalars import add_hours, clear_sky_index, solar_elevation
@@ -13,7 +14,8 @@ from gridwise.operators.forecasts import SOLAR_HORIZON, consumption_history, pro
 from gridwise.operators.series import last_row
 from gridwise.operators.tariff import HORIZON, price_forecast
 from gridwise.operators.validate import priced
-from gridwise.schemas import SITE
+from gridwise.plans.consumption_model import ConsumptionModels
+from gridwise.schemas import CONSUMPTION_FEATURES, SITE
 from gridwise.sources import driver
 
 DAMPING = 0.05
@@ -54,3 +56,35 @@ def tariff(spark: SparkSession, folder: str) -> DataFrame:
 
 def all_three(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return solar(spark, folder), consumption(spark, folder), tariff(spark, folder)
+
+
+class MeanOfLags:
+    """A base model that SQL can repeat: the mean of the last hour and the hour a day before."""
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        # By way of the vector, as a fitted model does: it keeps the steps of the recursion apart in the plan.
+        value = lambda name: vector_to_array("features")[CONSUMPTION_FEATURES.index(name)]
+        return rows.withColumn("base", (value("lag_1") + value("lag_24")) / 2)
+
+
+class HalfOfLastError:
+    """A correction that SQL can repeat: half of the last scaled error."""
+
+    def copy(self) -> HalfOfLastError:
+        return self
+
+    def setFeaturesCol(self, name: str) -> HalfOfLastError:
+        return self
+
+    def transform(self, state: DataFrame) -> DataFrame:
+        return state.withColumn("next_error", F.element_at(vector_to_array("sequence"), -1) / 2)
+
+
+class FixedScale:
+    """Middle and width of the errors."""
+
+    median, range = [0.1], [2.0]
+
+
+def consumption_models() -> ConsumptionModels:
+    return ConsumptionModels(MeanOfLags(), FixedScale(), HalfOfLastError())
