@@ -32,26 +32,36 @@ def site_inputs(solar: DataFrame, consumption: DataFrame, tariff: DataFrame) ->
 
     Full outer joins of three one-row-per-site aggregates, with `has_*` flags and their count.
     """
+    tar = tariff_stats(tariff, prices=_by_step(F.col("step"), F.col("tariff"))).withColumn("has_tariff", F.lit(1))
+    joined = solar_inputs(solar).join(energy_inputs(consumption), SITE, "full").join(tar, SITE, "full")
+    flags = {c: F.coalesce(c, F.lit(0)) for c in ("has_solar", "has_energy", "has_tariff")}
+    joined = joined.withColumns(flags)
+    return joined.withColumn("inputs_ready", F.col("has_solar") + F.col("has_energy") + F.col("has_tariff"))
+
+
+def solar_inputs(solar: DataFrame) -> DataFrame:
+    """What the decisions need from the solar forecast; `makes` has all its steps."""
     first = F.col("step") == 1
-    sol = solar.groupBy(SITE).agg(
+    return solar.groupBy(SITE).agg(
         F.max(F.when(first, F.col("energy_kwh"))).alias("solar_1h"),
         F.max(F.when(first, label())).alias("solar_label"),
         round_stable(F.sum("energy_kwh"), 4).alias("solar_total"),
         first_extreme(F.col("energy_kwh"), F.col("step"), ["ts", "energy_kwh"], True).alias("best_solar"),
+        _by_step(F.col("step"), F.col("ts"), F.col("energy_kwh")).alias("makes"),
         F.lit(1).alias("has_solar"),
     )
-    con = consumption.groupBy(SITE).agg(
+
+
+def energy_inputs(consumption: DataFrame) -> DataFrame:
+    """What the decisions need from the consumption forecast; `uses` has its steps up to the tariff's horizon."""
+    first = F.col("step") == 1
+    return consumption.groupBy(SITE).agg(
         F.max(F.when(first, F.col("kwh"))).alias("energy_1h"),
         F.max(F.when(first, label())).alias("energy_label"),
         first_k_sum(NEXT_HOURS).alias("consumption_3h"),
         _by_step(F.col("step"), F.col("ts"), F.col("kwh"), where=F.col("step") <= HORIZON).alias("uses"),
         F.lit(1).alias("has_energy"),
     )
-    tar = tariff_stats(tariff, prices=_by_step(F.col("step"), F.col("tariff"))).withColumn("has_tariff", F.lit(1))
-    joined = sol.join(con, SITE, "full").join(tar, SITE, "full")
-    flags = {c: F.coalesce(c, F.lit(0)) for c in ("has_solar", "has_energy", "has_tariff")}
-    joined = joined.withColumns(flags)
-    return joined.withColumn("inputs_ready", F.col("has_solar") + F.col("has_energy") + F.col("has_tariff"))
 
 
 def _by_step(*columns: Column, where: Column | None = None) -> Column:
@@ -104,7 +114,7 @@ def next_hour_decision(solar: DataFrame, consumption: DataFrame, tariff: DataFra
     return surplus_deficit(site_inputs(solar, consumption, tariff))
 
 
-def balance_3h(inputs: DataFrame) -> DataFrame:
+def balance_3h(inputs: DataFrame, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """Solar total against the first three consumption hours; a missing side is 0, an exact balance is a surplus."""
     generated = F.coalesce("solar_total", F.lit(0.0))
     used = F.coalesce("consumption_3h", F.lit(0.0))
@@ -114,9 +124,26 @@ def balance_3h(inputs: DataFrame) -> DataFrame:
         used.alias("used_kwh"),
         (generated - used).alias("net_kwh"),
         F.when(generated - used >= 0, "Surplus").otherwise("Deficit").alias("state"),
+        *keep,
     )
 
 
+def balance_hours(inputs: DataFrame) -> DataFrame:
+    """`balance_full_outer` for sites held in one row with `makes` and `uses`; without both, one row of nulls."""
+    uses = F.filter("uses", lambda u: u["step"] <= NEXT_HOURS)
+    number = lambda xs: F.transform(xs, lambda x: x["step"])
+    both = (F.size("makes") > 0) & (F.size(uses) > 0)
+    steps = F.when(both, F.array_distinct(F.concat(number(F.col("makes")), number(uses))))
+    each = inputs.withColumn("step", F.explode_outer(steps))
+    at = lambda name: F.get(F.filter(name, lambda x: x["step"] == F.col("step")), 0)
+    made, used, known = at("makes"), at("uses"), F.col("step").isNotNull()
+    return each.withColumns({
+        "label": label(F.coalesce(used["ts"], made["ts"])),
+        "solar_kwh": F.when(known, F.coalesce(made["energy_kwh"], F.lit(0.0))),
+        "use_kwh": F.when(known, F.coalesce(used["kwh"], F.lit(0.0))),
+    })
+
+
 def balance_full_outer(solar: DataFrame, consumption: DataFrame) -> DataFrame:
     """Hour by hour: solar steps against the first three consumption steps, the shorter side padded with 0.
 
@@ -206,13 +233,11 @@ def lowest_cost_hour(consumption: DataFrame, tariff: DataFrame) -> DataFrame:
 
 def lowest_cost_of_arrays(uses: Column, prices: Column) -> Column:
     """`lowest_cost_hour` for a site held in one row: struct (cost, step, ts) of the first cheapest step."""
-    costs = F.zip_with(
-        uses,
-        prices,
-        lambda use, price: F.struct(
-            (use["kwh"] * price["tariff"]).alias("cost"), use["step"].alias("step"), use["ts"].alias("ts")
-        ),
-    )
+    def cost(use: Column) -> Column:
+        price = F.get(F.filter(prices, lambda p: p["step"] == use["step"]), 0)
+        return F.struct((use["kwh"] * price["tariff"]).alias("cost"), use["step"].alias("step"), use["ts"].alias("ts"))
+
+    costs = F.transform(uses, cost)
     return F.array_min(F.filter(costs, lambda c: c["cost"].isNotNull()))
 
 

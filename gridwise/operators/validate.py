@@ -38,12 +38,17 @@ def parse_ts_drop_bad(df: DataFrame, column: str = "datetime") -> DataFrame:
     return df.withColumn("ts", ts).drop(column).where("ts IS NOT NULL")
 
 
+def row_counts(df: DataFrame) -> DataFrame:
+    """Rows of each site: site_id, n."""
+    return df.groupBy(SITE).agg(F.count("*").alias("n"))
+
+
 def min_rows(df: DataFrame, least: int, reason: str = "too few rows") -> tuple[DataFrame, DataFrame]:
     """Rows of the sites with at least `least` rows, and the sites that were rejected (site_id, n, reason).
 
     The count is an aggregate joined back, not a window, so a site of any length is counted in parts.
     """
-    counts = df.groupBy(SITE).agg(F.count("*").alias("n"))
+    counts = row_counts(df)
     accepted = df.join(counts.where(F.col("n") >= least), SITE, "left_semi")
     rejected = counts.where(F.col("n") < least).withColumn("reason", F.lit(reason))
     return accepted, rejected

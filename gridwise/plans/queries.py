@@ -93,15 +93,10 @@ def solar_lookback(spark: SparkSession, folder: str) -> DataFrame:
 def solar_min_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Length check at the effective minimum per site and at twice that: rows kept, or the reason of the rejection."""
     readings = validate.require_complete(columns.require_columns(driver.readings(spark, folder), ["ts", *SENSORS]))
-    parts = []
-    for least in (validate.MIN_READINGS_EFFECTIVE, 2 * validate.MIN_READINGS_EFFECTIVE):
-        kept, rejected = validate.min_rows(readings.select(SITE), least)
-        parts.append(kept.groupBy(SITE).agg(F.count("*").alias("n")).withColumn("reason", F.lit("ok")).withColumn("least", F.lit(least)))
-        parts.append(rejected.withColumn("least", F.lit(least)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    leasts = F.array(*[F.lit(k * validate.MIN_READINGS_EFFECTIVE) for k in (1, 2)])
+    counts = validate.row_counts(readings.select(SITE)).withColumn("least", F.explode(leasts))
+    reason = F.when(F.col("n") >= F.col("least"), "ok").otherwise("too few rows")
+    return counts.select(SITE, "n", reason.alias("reason"), "least")
 
 
 def sensor_range_checks(spark: SparkSession, folder: str) -> DataFrame:
@@ -367,11 +362,12 @@ def next_hour_join(spark: SparkSession, folder: str) -> DataFrame:
 
 def energy_balance_3h(spark: SparkSession, folder: str) -> DataFrame:
     """Site balance, and hour by hour where a site has both forecasts."""
-    solar, consumption, tariff = standins.all_three(spark, folder)
-    totals = decisions.balance_3h(decisions.site_inputs(solar, consumption, tariff))
-    hours = decisions.balance_full_outer(solar, consumption)
-    joined = totals.join(hours, SITE, "left")
-    return shown(joined.withColumn("time", scalars.time_of_label("label")))
+    inputs = decisions.solar_inputs(standins.solar(spark, folder)).join(
+        decisions.energy_inputs(standins.consumption(spark, folder)), SITE, "full"
+    )
+    totals = decisions.balance_3h(inputs.fillna(0, ["has_solar", "has_energy"]), keep=["makes", "uses"])
+    hours = decisions.balance_hours(totals).drop("makes", "uses")
+    return shown(hours.withColumn("time", scalars.time_of_label("label")))
 
 
 def timeline(spark: SparkSession, folder: str) -> DataFrame:
