@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridwise.llm.common import by_bytes, fresh, once
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 MOST_BUCKETS = 4096
 #: An encoder forgets its words beyond this number, which costs time only.
-MOST_WORDS = 2_000_000
+MOST_WORDS = 500_000
 # Characters whose classes have been settled since long: Latin letters, dashes and quotation marks.
 SETTLED = [*range(0x250), *range(0x2010, 0x2028)]
 SPACES = "\t-\r \x85\xa0"
@@ -108,14 +108,16 @@ class Block:
     def __init__(self, texts: list[str | None], split: Callable[[str], list[str]]) -> None:
         number: defaultdict[str, int] = defaultdict()
         number.default_factory = number.__len__
-        found = [split(t) if t else [] for t in texts]
-        sequences = [np.fromiter(map(number.__getitem__, words), np.int64, len(words)) for words in found]
-        words = [w.encode() for w in number]
-        counts = np.bincount(np.concatenate([np.empty(0, np.int64), *sequences]), minlength=len(words))
+        sequences = []
+        for text in texts:
+            words = split(text) if text else []
+            sequences.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
+        distinct = list(number)
+        counts = np.bincount(np.concatenate([np.empty(0, np.uint32), *sequences]), minlength=len(distinct))
         order = np.argsort(-counts, kind="stable")
-        self.words = [words[i] for i in order]
-        rank = np.empty(len(words), np.int64)
-        rank[order] = np.arange(len(words))
+        self.words = [distinct[i].encode() for i in order]
+        rank = np.empty(len(distinct), np.uint32)
+        rank[order] = np.arange(len(distinct))
         self.sequences = [rank[s] for s in sequences]
 
 
@@ -152,7 +154,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_word = encoder(path, pattern)
-        known: dict[bytes, np.ndarray] = {}
+        known: dict[bytes, bytes] = {}
         for batch in batches:
             all_ids, all_lengths = [], []
             for packed in batch.column(3).to_pylist():
@@ -162,10 +164,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                 for word in unpack_words(packed):
                     got = known.get(word)
                     if got is None:
-                        got = known[word] = np.array(encode_word(word), np.uint32)
+                        got = known[word] = np.array(encode_word(word), "<u4").tobytes()
                     found.append(got)
-                all_ids.append(pack(np.concatenate(found)))
-                all_lengths.append(pack(np.array([len(x) for x in found])))
+                all_ids.append(pack(np.frombuffer(b"".join(found), "<u4")))
+                all_lengths.append(pack(np.array([len(x) // 4 for x in found])))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(all_ids, pa.binary()), pa.array(all_lengths, pa.binary()), batch.column(4)],
                 names=["b1", "b2", "bucket", "ids", "lengths", "ranks"],

@@ -20,8 +20,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows are whole texts, so a batch holds fewer of them than by default.
+ROWS_PER_BATCH = 1000
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package where its folder exists; on other clusters pass it with --py-files."""
+    """Prepare a session for the Python stages.
+
+    Workers find this package where its folder exists; on other clusters pass it with --py-files.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    most = int(spark.conf.get(setting))
+    spark.conf.set(setting, str(min(most, ROWS_PER_BATCH) if most > 0 else ROWS_PER_BATCH))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     context = spark.sparkContext
     paths = context.environment.get("PYTHONPATH", "").split(os.pathsep)
