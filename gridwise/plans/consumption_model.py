@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Model
@@ -19,6 +19,7 @@ from gridwise.operators.forecasts import (
 )
 from gridwise.operators.resample import hourly_profile
 from gridwise.operators.series import site_window
+from gridwise.operators.validate import fill_missing_features
 from gridwise.schemas import CONSUMPTION_FEATURES, SITE
 from gridwise.session import use_checkpoint_dir
 from gridwise.sources.models import load_models, save_models
@@ -37,12 +38,14 @@ class ConsumptionModels:
     scaler: Model | None = None
     correction: Model | None = None
     sequence: int = SEQUENCE
+    # Names in the order in which the base model was fitted.
+    features: list[str] = field(default_factory=lambda: list(CONSUMPTION_FEATURES))
 
     def save(self, spark: SparkSession, folder: str) -> None:
         parts = {"base": self.base}
         if self.correction is not None:
             parts.update({"scaler": self.scaler, "correction": self.correction})
-        save_models(spark, folder, parts, {"sequence": self.sequence})
+        save_models(spark, folder, parts, {"sequence": self.sequence, "features": self.features})
 
     def middle_and_width(self) -> tuple[float, float]:
         return float(self.scaler.median[0]), float(self.scaler.range[0]) or 1.0
@@ -50,13 +53,17 @@ class ConsumptionModels:
 
 def load_consumption_models(spark: SparkSession, folder: str) -> ConsumptionModels:
     parts, values = load_models(spark, folder)
-    return ConsumptionModels(parts["base"], parts.get("scaler"), parts.get("correction"), values.get("sequence", SEQUENCE))
+    return ConsumptionModels(
+        parts["base"], parts.get("scaler"), parts.get("correction"), values.get("sequence", SEQUENCE), values["features"]
+    )
 
 
-def base_consumption(rows: DataFrame, base: Model) -> DataFrame:
-    """Adds the base prediction as `base`."""
-    assembled = VectorAssembler(inputCols=CONSUMPTION_FEATURES, outputCol="features").transform(rows)
-    return base.transform(assembled).drop("features", *CONSUMPTION_FEATURES)
+def base_consumption(rows: DataFrame, base: Model, names: list[str] = CONSUMPTION_FEATURES) -> DataFrame:
+    """Adds the base prediction as `base`; a feature that the rows lack is 0."""
+    kept = [c for c in rows.columns if c not in CONSUMPTION_FEATURES and c not in names]
+    filled = fill_missing_features(rows, names, kept)
+    assembled = VectorAssembler(inputCols=names, outputCol="features").transform(filled)
+    return base.transform(assembled).drop("features", *names)
 
 
 def fit_consumption(features: DataFrame) -> ConsumptionModels:
@@ -91,7 +98,7 @@ def residual_sequence(features: DataFrame, models: ConsumptionModels) -> DataFra
     # The window runs backwards: the row with rank 1 is the last one. Only the last rows are scored.
     rank = F.row_number().over(Window.partitionBy(SITE).orderBy(F.col("ts").desc(), F.col("kw").desc()))
     last = features.withColumn("back", rank).where(F.col("back") <= KEEP)
-    scored = base_consumption(last, models.base).withColumn("error", F.col("kw") - F.col("base"))
+    scored = base_consumption(last, models.base, models.features).withColumn("error", F.col("kw") - F.col("base"))
     recent = scored.withColumn("error", _scaled(models) if models.correction is not None else F.lit(0.0))
     rows = F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("k"), "kw", "error")))
     listed = recent.groupBy(SITE).agg(rows.alias("rows"), F.max("ts").alias("last_ts"))
@@ -128,7 +135,8 @@ def recursive_24h(features: DataFrame, profiles: DataFrame, models: ConsumptionM
     inputs = next_hour_features(hist, F.element_at(hist, 1), hour)
     # The assembler also keeps the optimizer from merging the steps into one expression, which would repeat `hist` in
     # each of the inputs and grow with a power of the steps.
-    stages = [VectorAssembler(inputCols=CONSUMPTION_FEATURES, outputCol="features"), models.base]
+    inputs |= {name: F.lit(0.0) for name in models.features if name not in inputs}
+    stages = [VectorAssembler(inputCols=models.features, outputCol="features"), models.base]
     if models.correction is not None:
         stages.append(models.correction.copy().setFeaturesCol("sequence"))
         inputs["sequence"] = array_to_vector("errors")

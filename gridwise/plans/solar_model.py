@@ -18,7 +18,7 @@ from gridwise.functions.scalars import add_hours
 from gridwise.operators.forecasts import SOLAR_HORIZON, solar_energy
 from gridwise.operators.series import last_n_rows, micros
 from gridwise.operators.solar_features import all_lookbacks, last_lookback, solar_features
-from gridwise.operators.validate import LOOKBACK, MIN_READINGS_EFFECTIVE, min_rows, missing_sensor, require_complete
+from gridwise.operators.validate import LOOKBACK, fill_missing_features, MIN_READINGS_EFFECTIVE, min_rows, missing_sensor, require_complete
 from gridwise.schemas import FEATURES, SITE
 from gridwise.sources.models import load_models, save_models
 
@@ -35,12 +35,14 @@ class SolarModels:
     horizons: list[Model]
     bases: list[Model] = field(default_factory=list)
     selected: list[int] | None = None
+    # Names in the order in which the models were fitted.
+    features: list[str] = field(default_factory=lambda: list(FEATURES))
 
     def save(self, spark: SparkSession, folder: str) -> None:
         parts = {"scaler": self.scaler, "target": self.target}
         parts.update({f"base_{i}": m for i, m in enumerate(self.bases)})
         parts.update({f"hour_{h}": m for h, m in enumerate(self.horizons, 1)})
-        save_models(spark, folder, parts, {"selected": self.selected})
+        save_models(spark, folder, parts, {"selected": self.selected, "features": self.features})
 
 
 def load_solar_models(spark: SparkSession, folder: str) -> SolarModels:
@@ -48,16 +50,16 @@ def load_solar_models(spark: SparkSession, folder: str) -> SolarModels:
     parts, values = load_models(spark, folder)
     bases = [parts[k] for k in sorted(k for k in parts if k.startswith("base_"))]
     horizons = [parts[f"hour_{h}"] for h in range(1, SOLAR_HORIZON + 1)]
-    return SolarModels(parts["scaler"], parts["target"], horizons, bases, values["selected"])
+    return SolarModels(parts["scaler"], parts["target"], horizons, bases, values["selected"], values["features"])
 
 
-def assemble(features: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=FEATURES, outputCol="raw_features").transform(features)
+def assemble(features: DataFrame, names: list[str] = FEATURES) -> DataFrame:
+    return VectorAssembler(inputCols=names, outputCol="raw_features").transform(features)
 
 
-def scale_features(features: DataFrame, scaler: Model) -> DataFrame:
+def scale_features(features: DataFrame, scaler: Model, names: list[str] = FEATURES) -> DataFrame:
     """(site_id, ts, GHI, x) with x the scaled features as an array."""
-    scaled = scaler.transform(assemble(features))
+    scaled = scaler.transform(assemble(features, names))
     return scaled.select(SITE, "ts", "GHI", vector_to_array("x_scaled").alias("x"))
 
 
@@ -168,9 +170,10 @@ def fit_solar(features: DataFrame) -> SolarModels:
 
 def solar_direct_3h(features: DataFrame, models: SolarModels) -> DataFrame:
     """(site_id, step, ts, ghi) for the three hours after the last row of each site."""
-    # The few rows that are scored are cut out before they are scaled.
-    recent = last_n_rows(features.select(SITE, "ts", "GHI", *FEATURES), LOOKBACK)
-    last = last_lookback(scale_features(recent, models.scaler), bounded=True).withColumn("features", array_to_vector("lookback")).drop("lookback")
+    # The few rows that are scored are cut out before they are scaled. They have the columns that the models know.
+    recent = last_n_rows(fill_missing_features(features, models.features, [SITE, "ts", "GHI"]), LOOKBACK)
+    scaled = scale_features(recent, models.scaler, models.features)
+    last = last_lookback(scaled, bounded=True).withColumn("features", array_to_vector("lookback")).drop("lookback")
     scored = hstack_select(stack_meta(last, models.bases), models.selected)
     for model in models.horizons:
         scored = model.transform(scored)

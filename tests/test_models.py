@@ -11,7 +11,7 @@ from gridwise.operators.forecasts import consumption_history
 from gridwise.operators.resample import hourly_profile
 from gridwise.operators.solar_features import solar_features
 from gridwise.plans import consumption_model as cm, solar_model as sm, tariff_model as tm
-from gridwise.schemas import CONSUMPTION, FEATURES, READINGS, SITE
+from gridwise.schemas import CONSUMPTION, CONSUMPTION_FEATURES, FEATURES, READINGS, SITE
 from gridwise.sources import driver
 
 SF = "/root/testdata/sf0.001"
@@ -95,6 +95,18 @@ def consumption(spark):
     return series, features, cm.fit_consumption(features)
 
 
+def test_saved_models_know_their_features(spark, consumption, tmp_path):
+    series, features, models = consumption
+    models.save(spark, str(tmp_path))
+    loaded = cm.load_consumption_models(spark, str(tmp_path))
+    assert loaded.features == CONSUMPTION_FEATURES
+    # Columns in another order and one too many change nothing.
+    mixed = features.select(*features.columns[::-1]).withColumn("lag_99", F.lit(5.0))
+    want = cm.base_consumption(features, models.base).orderBy(SITE, "ts").collect()
+    got = cm.base_consumption(mixed, loaded.base, loaded.features).drop("lag_99").select(*want[0].asDict()).orderBy(SITE, "ts").collect()
+    assert got == want
+
+
 def test_consumption_forecast(spark, consumption, tmp_path):
     series, features, models = consumption
     rows = cm.recursive_24h(features, hourly_profile(series), models).orderBy(SITE, "step").collect()

@@ -139,3 +139,37 @@ def test_all_lookbacks(spark):
     assert len(out) == 40 - 11 - 3
     assert out[0]["lookback"] == [v for i in range(12) for v in (float(i), -float(i))]
     assert (out[0]["y1"], out[0]["y3"]) == (12.0, 14.0)
+
+
+def averaged(spark, values, spans):
+    rows = [(1, START + dt.timedelta(hours=i), v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "site_id long, ts timestamp_ntz, GHI double")
+    out = series.over_series(df, lambda d, w: sf.ewm_mean(d, w, spans=spans), before=sf.ema_reach(spans))
+    return out.orderBy("ts").toPandas()
+
+
+@pytest.mark.parametrize("missing", [[0, 1, 2], [30], [57, 58, 59], [5, 6, 7, 8, 20, 40], []])
+def test_averages_follow_gaps_like_pandas(spark, missing):
+    values = [None if i in missing else float(x) for i, x in enumerate(np.random.default_rng(3).uniform(0, 500, 60))]
+    spans = [3, 12, 24, 48, 100]
+    got = averaged(spark, values, spans)
+    for span in spans:
+        want = pd.Series(values, dtype=float).ewm(span=span, adjust=False).mean()
+        np.testing.assert_allclose(got[f"GHI_ema_{span}"].astype(float), want, rtol=1e-12)
+
+
+def test_averages_of_long_spans_see_the_whole_history(spark):
+    values = [float(x) for x in np.random.default_rng(4).uniform(0, 500, 1500)]
+    got = averaged(spark, values, [48, 100])
+    for span in (48, 100):
+        np.testing.assert_allclose(got[f"GHI_ema_{span}"], pd.Series(values).ewm(span=span, adjust=False).mean(), rtol=1e-12)
+
+
+def test_averages_of_cut_series_with_gaps(spark):
+    rng = np.random.default_rng(5)
+    rows = [(1, START + dt.timedelta(hours=i), None if rng.random() < 0.1 else float(rng.uniform(0, 500))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "site_id long, ts timestamp_ntz, GHI double")
+    build = lambda d, w: sf.ewm_mean(d, w)
+    cut = series.over_series(df, build, before=sf.EMA_REACH, rows_per_block=300).orderBy("ts").toPandas()
+    whole = series.over_series(df, build, before=sf.EMA_REACH).orderBy("ts").toPandas()
+    pd.testing.assert_frame_equal(cut, whole, rtol=1e-11)

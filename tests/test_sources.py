@@ -110,3 +110,21 @@ def test_forecasts_replace_only_their_date(spark, tmp_path, file_format):
     if file_format == "parquet":
         assert writers.read_forecasts(spark, str(tmp_path), "consumption", second).first()["kwh"] == 3.0
         assert writers.read_forecasts(spark, str(tmp_path), "consumption").count() == 2
+
+
+def test_overlapping_solar_requests(spark, tmp_path):
+    def row(i, ghi):
+        return {"datetime": f"{T0 + dt.timedelta(hours=i):%Y-%m-%d %H:%M}", **{c: 1.0 for c in SENSORS}, "GHI": ghi}
+
+    lines = [
+        {"site_id": 1, "historical_data": [row(i, 10.0) for i in range(5)], "panel_area_m2": 12.0, "panel_efficiency": 0.2},
+        {"site_id": 1, "historical_data": [row(i, 20.0) for i in range(1, 6)], "panel_area_m2": -3.0, "panel_efficiency": 1.5},
+        {"site_id": 2, "historical_data": [row(0, 1.0), row(0, 2.0)], "panel_area_m2": 4.0, "panel_efficiency": 1.0},
+        {"site_id": 3, "historical_data": None},
+    ]
+    path = tmp_path / "requests.json"
+    path.write_text("\n".join(map(json.dumps, lines)))
+    readings, panels = readers.read_solar_json(spark, str(path))
+    got = [(r[SITE], r["ts"], r["GHI"]) for r in readings.orderBy(SITE, "ts").collect()]
+    assert got == [(1, T0 + dt.timedelta(hours=i), 20.0 if i else 10.0) for i in range(6)] + [(2, T0, 2.0)]
+    assert [tuple(r) for r in panels.orderBy(SITE).collect()] == [(1, None, None), (2, 4.0, 1.0), (3, None, None)]
