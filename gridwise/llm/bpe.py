@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -68,6 +69,15 @@ def ranks_at(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, map(bytes.strip, file)))}
 
 
+def token_bytes(path: str) -> np.ndarray:
+    """Bytes of each token by its id."""
+    ranks = ranks_at(path)
+    table = np.empty(max(ranks.values(), default=-1) + 1, object)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
+
+
 def encoder(path: str, pattern: str) -> Callable[[bytes], list[int]]:
     """Ids of one word."""
     import tiktoken
@@ -223,9 +233,12 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", decoded: str = "deco
     at = rest.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = once(("tokens", path), lambda: {rank: token for token, rank in ranks_at(path).items()})
+        tokens = once(("tokens", path), lambda: token_bytes(path))
         for batch in batches:
-            found = [None if x is None else b"".join(map(token.__getitem__, x)) for x in (v.as_py() for v in batch.column(at))]
+            lists = batch.column(at)
+            each = tokens[lists.flatten().to_numpy(zero_copy_only=False)]
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).tolist()
+            found = [b"".join(each[a:b].tolist()) if valid else None for a, b, valid in zip([0, *ends], ends, lists.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*rest, decoded])
 
     columns = [f"`{c}`" for c in rest]

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridwise.llm import bpe, decontaminate, html_text, language, licenses, secret_scan, simhash, suffix_dedup, token_count, topk
@@ -94,7 +95,7 @@ def token_digests(docs: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column(1)
             flat, at = lists.flatten().to_numpy().astype("<u4"), 0
-            sizes = [len(x) for x in lists]
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
             digests = []
             for n in sizes:
                 digests.append(hashlib.sha256(flat[at : at + n].tobytes()).hexdigest())
