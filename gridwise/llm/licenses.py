@@ -98,7 +98,9 @@ def sentences_of(text: Column) -> Column:
 
 def identifier(sentence: Column) -> Column:
     known = F.create_map(*[F.lit(x) for id, words in SENTENCES.items() for x in (words, id)])
-    last_line = F.regexp_extract(sentence, r"([^\n]*)\n?$", 1)
+    # Without a pattern, which would try every place of a long line.
+    bare = F.when(F.endswith(sentence, F.lit("\n")), F.substr(sentence, F.lit(1), F.length(sentence) - 1)).otherwise(sentence)
+    last_line = F.substring_index(bare, "\n", -1)
     return F.coalesce(F.element_at(known, normal(sentence)), F.element_at(known, normal(last_line)))
 
 

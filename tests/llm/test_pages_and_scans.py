@@ -116,3 +116,9 @@ def test_scan_of_nothing(spark):
 @pytest.mark.parametrize("text", ["", "abc"])
 def test_digest_of_no_spans(spark, text):
     assert spans_of(spark, [text])[0].base == "" and hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_licenses_between_very_long_lines(spark):
+    text = "word " * 60_000 + "\nReleased under the MIT License.\n" + "x y " * 60_000 + "\nmore\n"
+    row = licenses.recognise(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.sentence_ids, row.licenses) == ("mit-ref", "MIT")
