@@ -34,7 +34,7 @@ BATCH_BYTES = 4 << 20
 #: Windows of a long text are taken in stretches of this many.
 STRETCH = 1 << 19
 #: Bytes of runs in a block, and runs of one anchor beyond which windows are dealt one by one.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 MOST_RUNS = 1024
 PLACE_BITS = 20
 RUNS = "a long, s1 long, s2 long, k1 long, k2 long, first int, n int"
@@ -252,7 +252,7 @@ def single_windows(runs: DataFrame, length: int) -> DataFrame:
 
     each = runs.select("s1", "s2", "data").mapInArrow(run, "w1 long, w2 long, s1 long, s2 long, place int")
     twice = each.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    places = each.join(twice, ["w1", "w2"]).groupBy("s1", "s2").agg(F.collect_set("place").alias("from_"))
+    places = each.join(stored(twice, "windows"), ["w1", "w2"]).groupBy("s1", "s2").agg(F.collect_set("place").alias("from_"))
     return places.select("s1", "s2", "from_", F.col("from_").alias("to_"))
 
 
@@ -272,7 +272,9 @@ def cut_texts(docs: DataFrame, length: int = 400, text: str = "text") -> tuple[D
     runs = all_runs(texts, length)
     content = F.struct("s1", "s2")
     anchors = runs.groupBy("a").agg(F.count("*").alias("c"), F.min(content).alias("low"), F.max(content).alias("high")).where("c > 1")
-    known = stored(runs.join(anchors.select("a", (F.col("low") == F.col("high")).alias("same")), "a"), "runs")
+    # Stored, so that what follows is a join of two shuffles, which Spark can split where an anchor is frequent.
+    anchors = stored(anchors.select("a", (F.col("low") == F.col("high")).alias("same")), "anchors")
+    known = stored(runs.join(anchors, "a"), "runs")
     # Equal runs stand for all their windows; the others are compared window by window, one of each content.
     window_range = lambda a, b: (F.array(a).alias("from_"), F.array(b).alias("to_"))
     whole = known.where("same").select("k1", "k2", "first", *window_range(F.lit(0), F.col("n") - 1))
@@ -282,7 +284,7 @@ def cut_texts(docs: DataFrame, length: int = 400, text: str = "text") -> tuple[D
     )
     asked = contents.select("a", "s1", "s2", "c", "n", "at.*")
     crowded = asked.groupBy("a").agg(F.count("*").alias("different")).where(F.col("different") > MOST_RUNS).select("a", F.lit(True).alias("crowded"))
-    wanted = asked.join(crowded, "a", "left").join(texts.select("k1", "k2", "text"), ["k1", "k2"])
+    wanted = asked.join(stored(crowded, "crowded"), "a", "left").join(texts.select("k1", "k2", "text"), ["k1", "k2"])
     compared = stored(wanted.select(
         "a", "s1", "s2", "c", "n", F.coalesce("crowded", F.lit(False)).alias("crowded"),
         F.substring("text", F.col("first") + 1, F.col("n") + length - 1).alias("data"),
