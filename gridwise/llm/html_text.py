@@ -2,7 +2,8 @@
 
 Every node gets characters per tag, lowered by the share of its characters and tags that stand in links. The node whose
 children's densities have the largest sum is taken; the lowest density between it and the body is the threshold that
-other subtrees on the way must reach to belong to the text.
+other subtrees on the way must reach to belong to the text. Where an article (or else main) element lies on the way, the
+outermost is taken whole instead of the node; the threshold holds for what lies beside it.
 
 Null or empty html gives an empty text; so does a page without text outside of menus, forms and the like. Pages are
 independent rows: nothing is shuffled, and the longest page bounds the memory of a task.
@@ -222,14 +223,13 @@ def main_text(source: str | None) -> str:
         path.append(page.parent[path[-1]])
     threshold = min(density[i] for i in path)
     articles = [i for i in path if page.tag[i] == "article"] or [i for i in path if page.tag[i] == "main"]
-    if articles:
-        ranges = [(articles[-1], page.last[articles[-1]])]
-    else:
-        ranges = [(best, page.last[best])]
-        on_path = set(path)
-        for i in range(body + 1, page.last[body] + 1):
-            if page.parent[i] in on_path and i not in on_path and page.parent[i] != best and density[i] >= threshold > 0 and not off[i]:
-                ranges.append((i, page.last[i]))
+    top = articles[-1] if articles else best
+    ranges = [(top, page.last[top])]
+    on_path = set(path)
+    for i in range(body + 1, page.last[body] + 1):
+        within = top <= i <= page.last[top]
+        if page.parent[i] in on_path and i not in on_path and not within and density[i] >= threshold > 0 and not off[i]:
+            ranges.append((i, page.last[i]))
     keep = bytearray(n)
     for first, last in ranges:
         keep[first : last + 1] = b"\1" * (last + 1 - first)
