@@ -85,7 +85,7 @@ def encoder(path: str, pattern: str) -> Callable[[bytes], list[int]]:
     def make() -> tiktoken.Encoding:
         return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks_at(path), special_tokens={})
 
-    return once(("encoding", path, pattern), make)._encode_single_piece
+    return once("bpe encoding", (path, pattern), make)._encode_single_piece
 
 
 def pack(array: np.ndarray) -> bytes:
@@ -233,7 +233,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", decoded: str = "deco
     at = rest.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = once(("tokens", path), lambda: token_bytes(path))
+        tokens = once("bpe tokens", path, lambda: token_bytes(path))
         for batch in batches:
             lists = batch.column(at)
             each = tokens[lists.flatten().to_numpy(zero_copy_only=False)]

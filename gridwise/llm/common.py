@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-import types
 import sys
+import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -20,18 +22,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows are whole texts, so a batch holds fewer of them than by default.
-ROWS_PER_BATCH = 1000
+#: Rows are whole texts, so a batch is bounded by its bytes.
+BYTES_PER_BATCH = 8 << 20
+DEFAULT_BYTES = "67108864b"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Prepare a session for the Python stages.
+    """Prepare a session for the Python stages: the byte bound of its Arrow batches is lowered where none was chosen.
 
-    Workers find this package where its folder exists; on other clusters pass it with --py-files.
+    Plans read that setting when they run, so it stays. Workers find this package where its folder exists; on other
+    clusters pass it with --py-files.
     """
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    most = int(spark.conf.get(setting))
-    spark.conf.set(setting, str(min(most, ROWS_PER_BATCH) if most > 0 else ROWS_PER_BATCH))
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting) == DEFAULT_BYTES:
+        spark.conf.set(setting, str(BYTES_PER_BATCH))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     context = spark.sparkContext
     paths = context.environment.get("PYTHONPATH", "").split(os.pathsep)
@@ -55,13 +59,34 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def once(key: Any, make: Callable[[], Any]) -> Any:
-    """What `make` gives, made once in each Python worker process."""
+def once(kind: str, key: Any, make: Callable[[], Any]) -> Any:
+    """What `make` gives, made once in each Python worker process and kept until another key of its kind comes.
+
+    The first word of a kind names its operator. Workers are used again by later stages, so what another operator has
+    left behind goes first, and the memory that it took goes back to the system.
+    """
     store = sys.modules.setdefault("_gridwise_llm_once", types.ModuleType("_gridwise_llm_once"))
     kept = store.__dict__.setdefault("kept", {})
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kind in kept and kept[kind][0] == key:
+        return kept[kind][1]
+    operator = kind.split()[0]
+    left = [x for x in kept if x.split()[0] != operator or x == kind]
+    for x in left:
+        del kept[x]
+    if left:
+        hand_back()
+    kept[kind] = key, make()
+    return kept[kind][1]
+
+
+def hand_back() -> None:
+    """Give freed memory back to the system, where it can be asked to."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def by_bytes(batches: Iterable[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:

@@ -177,7 +177,7 @@ def identify(docs: DataFrame, samples: Samples, text: str = "text", label: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        parser = once(("parser", known), lambda: Parser(known)) if known.names else None
+        parser = once("language parser", known, lambda: Parser(known)) if known.names else None
         for batch in by_bytes(batches, at, BATCH_BYTES):
             found = predictions(parser, known.names, batch.column(at).to_pylist())
             added = [pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())]

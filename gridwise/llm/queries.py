@@ -10,7 +10,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridwise.llm import bpe, decontaminate, html_text, language, licenses, secret_scan, simhash, suffix_dedup, token_count, topk
+from gridwise.llm import (
+    alignment, bpe, decontaminate, hard_negatives, html_text, language, licenses, minhash, secret_scan, simhash, suffix_dedup,
+    token_count, topk,
+)
 from gridwise.llm.common import read, ship
 
 
@@ -111,6 +114,32 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read(ship(spark), sf_dir, "documents"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document, by its distinct shingles of four words."""
+    docs = read(ship(spark), sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, words_per_shingle=4)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, next to its five best positives."""
+    vectors = read(ship(spark), sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0, label, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers' tokens of every document."""
+    docs = read(ship(spark), sf_dir, "documents").select("doc_id", "text")
+    found = alignment.alignment(
+        docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True
+    )
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_exact_top_k, op3_suffix_dedup, op4_decontaminate, op5_simhash, op6_licenses, op7_token_count, op8_language, op9_secrets, op10_byte_bpe)
+    f.__name__: f
+    for f in (
+        op1_html_text, op2_exact_top_k, op3_suffix_dedup, op4_decontaminate, op5_simhash, op6_licenses, op7_token_count,
+        op8_language, op9_secrets, op10_byte_bpe, op11_minhash, op12_hard_negatives, op13_alignment,
+    )
 }

@@ -87,7 +87,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", count: str = "n
     rest = [c for c in docs.columns if c not in (text, count)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = once(("counter", path), lambda: Counter(path))
+        counter = once("count tokens", path, lambda: Counter(path))
         for batch in by_bytes(batches, 0, BATCH_BYTES):
             pieces, owner = [], []
             for i, value in enumerate(batch.column(0).to_pylist()):

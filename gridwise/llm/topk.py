@@ -11,7 +11,7 @@ are dealt by a hash of the row, so equal vectors don't meet in one task, and a b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,14 +23,15 @@ DIMENSIONS = 8
 EXACT = float(1 << 53)
 
 
-def quantised(vectors: DataFrame, id: str, vector: str, scale: int) -> DataFrame:
-    """Rows (id, v) with v = floor(scale * component)."""
+def quantised(vectors: DataFrame, id: str, vector: str, scale: int, more: Sequence[str] = ()) -> DataFrame:
+    """Rows (id, v) with v = floor(scale * component), and the columns `more`."""
     x = F.col(f"`{vector}`").cast("array<double>")
     usable = F.col(f"`{id}`").isNotNull() & x.isNotNull() & F.forall(
         x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     )
     return vectors.where(usable).select(
-        F.col(f"`{id}`").cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * F.lit(scale)).cast("double")).alias("v")
+        F.col(f"`{id}`").cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * F.lit(scale)).cast("double")).alias("v"),
+        *[f"`{c}`" for c in more],
     )
 
 
