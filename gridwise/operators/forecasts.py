@@ -26,8 +26,7 @@ def consumption_history(raw: DataFrame, last: int | None = None) -> DataFrame:
     """
     rows = raw.select(SITE, "ts", "kw")
     if last is None:
-        accepted, _ = min_rows(rows, MIN_CONSUMPTION)
-        return hourly_series(accepted)
+        return hourly_series(rows, MIN_CONSUMPTION)
     if last < MIN_CONSUMPTION:
         raise ValueError(f"a forecast needs at least {MIN_CONSUMPTION} rows")
     recent = last_n_rows(rows, last)

@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from gridwise.functions.scalars import null_to_zero
-from gridwise.operators.series import gap_diff, gap_seconds, last_n_rows, site_window, span_hours
+from gridwise.operators.scan import LastKnown
+from gridwise.operators.series import (
+    ROWS_PER_BLOCK, gap_diff, gap_seconds, last_n_rows, micros, scanned, site_window, span_hours,
+)
 from gridwise.schemas import SITE
+from gridwise.session import use_checkpoint_dir
 
 # The resampling rule and the profile defaults.
 DENSE_ROWS = 24
 DENSE_FACTOR = 1.5
 SHORT_GAP_S = 45 * 60
+HALF_HOUR_S = 30 * 60
+HOUR_MICROS = 3_600_000_000
+# Hours that one array holds at most.
+HOURS_PER_BLOCK = 4096
 PROFILE_DEFAULT = 0.1
 PROFILE_FLOOR = 0.01
 
@@ -33,11 +41,19 @@ def series_span(df: DataFrame) -> DataFrame:
 def median_gap(df: DataFrame) -> DataFrame:
     """Exact median of the gaps between consecutive rows, per site.
 
-    Equal gaps are counted first, so the last step holds one entry per distinct gap. Gaps of a site add up to its span,
-    so it has at most sqrt(2 * span in microseconds) distinct ones, however many rows it has.
+    Equal gaps are counted first. Gaps of a site add up to its span, so it has at most sqrt(2 * span in microseconds)
+    distinct ones, however many rows it has; running counts over these tell which gaps stand in the middle.
     """
     gaps = gap_diff(df).where("gap_s IS NOT NULL").groupBy(SITE, "gap_s").agg(F.count("*").alias("times"))
-    return gaps.groupBy(SITE).agg(F.percentile("gap_s", F.lit(0.5), F.col("times")).alias("median_gap_s"))
+    w = Window.partitionBy(SITE)
+    placed = gaps.withColumns({
+        "upto": F.sum("times").over(w.orderBy("gap_s").rowsBetween(Window.unboundedPreceding, 0)), "gaps": F.sum("times").over(w),
+    })
+    middle = [F.min(F.when(F.col("upto") * 2 >= F.col("gaps") + more, F.col("gap_s"))) for more in (0, 1)]
+    # With an even number of gaps the median lies between two of them: the last of the lower half, the first of the upper.
+    return placed.groupBy(SITE).agg(
+        F.when(F.max("gaps") % 2 == 1, middle[1]).otherwise((middle[0] + middle[1]) / 2).alias("median_gap_s")
+    )
 
 
 def too_dense(n: Column, hours: Column) -> Column:
@@ -45,29 +61,85 @@ def too_dense(n: Column, hours: Column) -> Column:
     return (n > DENSE_ROWS) & (hours > 0) & (n > hours * DENSE_FACTOR)
 
 
+def hour_marks(df: DataFrame) -> DataFrame:
+    """Per site and hour: rows, the first and last time, and the times next to the middle of the hour.
+
+    All of these are combined in each task, so a shuffle carries one row per site, hour and task.
+    """
+    late = F.minute("ts") >= 30
+    return df.groupBy(SITE, hour_of("ts").alias("hour")).agg(
+        F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"),
+        F.max(F.when(~late, F.col("ts"))).alias("early"), F.min(F.when(late, F.col("ts"))).alias("late"),
+    )
+
+
+def gap_counts(df: DataFrame) -> DataFrame:
+    """Per site: rows, span, gaps, how many are short (below 45 minutes), the shortest of the others, and what is known of
+    the longest short one. No site's gaps are brought together.
+
+    A gap of 45 minutes or more reaches over the middle or the end of an hour, so the marks of the hours show all of these.
+    The `unseen` gaps, from one row to the next within half an hour, are short, and their lengths stay unknown.
+    """
+    w = Window.partitionBy(SITE).orderBy("hour")
+    across = seconds(F.col("first"), F.lag("last").over(w))
+    inside = seconds(F.col("late"), F.col("early"))
+    marked = hour_marks(df).withColumns({"across": across, "inside": inside})
+    seen = ("across", "inside")
+    long = [F.when(F.col(c) >= SHORT_GAP_S, F.col(c)) for c in seen]
+    short = [F.when(F.col(c) < SHORT_GAP_S, F.col(c)) for c in seen]
+    counted = marked.groupBy(SITE).agg(
+        F.sum("n").alias("n"), F.min("first").alias("first_ts"), F.max("last").alias("last_ts"),
+        (F.sum("n") - F.sum(F.col("across").isNotNull().cast("int") + F.col("inside").isNotNull().cast("int")) - 1).alias("unseen"),
+        F.sum(sum(x.isNotNull().cast("int") for x in long)).alias("long_gaps"),
+        F.min(F.least(*long)).alias("shortest_long_s"), F.max(F.greatest(*short)).alias("longest_short_s"),
+        # Hours of which not every row is the first or the last one.
+        F.max("n").alias("most_in_hour"),
+    )
+    return counted.withColumns({
+        "short_gaps": F.col("n") - 1 - F.col("long_gaps"), "span_hours": span_hours(F.col("first_ts"), F.col("last_ts")),
+    })
+
+
+def seconds(later: Column, sooner: Column) -> Column:
+    return (micros(later) - micros(sooner)) / 1_000_000
+
+
+def median_is_short(longest_short: Column) -> Column:
+    """Rule B from counts: is the median gap below 45 minutes? Only halves of equal size need the gaps next to the middle."""
+    short, long = F.col("short_gaps"), F.col("long_gaps")
+    between = (F.coalesce(longest_short, F.lit(0.0)) + F.col("shortest_long_s")) / 2 < SHORT_GAP_S
+    return F.when(short == long, (short > 0) & between).otherwise(short > long)
+
+
+def undecided() -> Column:
+    """Whether rule B hangs on a gap that the hours don't show: halves of equal size, and unseen gaps that may matter."""
+    limit = 2 * SHORT_GAP_S - F.col("shortest_long_s")
+    unknown = (F.col("short_gaps") == F.col("long_gaps")) & (F.col("unseen") > 0) & (limit > 0) & (limit < HALF_HOUR_S)
+    return F.coalesce(unknown & (F.coalesce("longest_short_s", F.lit(0.0)) < limit), F.lit(False))
+
+
 def needs_resample(df: DataFrame) -> DataFrame:
     """Per site: should the series be resampled to hours? Rule A (dense) or rule B (median gap below 45 minutes).
 
-    Rule B looks at the series after rule A has acted, so gaps are only taken where A did not fire. Those sites have at
-    most 1.5 rows per hour or at most 24 rows (or span nothing at all), which bounds the window whatever the input.
+    One pass over the times, in which only marks of hours are shuffled; what it gives, one row per site, is checkpointed,
+    so that plans which route rows by it don't repeat it. Rows are read again only for sites whose rule hangs on a gap within
+    half an hour. Rule B looks at the series after rule A has acted.
     """
-    span = series_span(df).withColumn("rule_a", too_dense(F.col("n"), F.col("span_hours")))
-    sparse = span.where(~F.col("rule_a") & (F.col("span_hours") > 0)).select(SITE)
-    gaps = (
-        df.select(SITE, "ts").join(sparse, SITE, "left_semi")
-        # An exchange of its own lets Spark split a long site on the other side of the join, where it is dropped.
-        .repartition(SITE)
-        .withColumn("gap_s", gap_seconds(Window.partitionBy(SITE).orderBy("ts")))
-        .groupBy(SITE).agg(F.median("gap_s").alias("sparse_gap_s"))
-    )
-    # A site without span and with more than one row has only zero gaps.
-    no_span = F.when((F.col("n") > 1) & (F.col("span_hours") == 0), 0.0)
-    return (
-        span.join(gaps, SITE, "left")
-        .withColumn("median_gap_s", F.when(~F.col("rule_a"), F.coalesce("sparse_gap_s", no_span)))
-        .withColumn("rule_b", F.coalesce(F.col("median_gap_s") < SHORT_GAP_S, F.lit(False)))
-        .withColumn("resample", F.col("rule_a") | F.col("rule_b"))
-        .drop("sparse_gap_s", "first_ts", "last_ts")
+    use_checkpoint_dir(df.sparkSession)
+    times = df.select(SITE, "ts")
+    sites = gap_counts(times).withColumns({"rule_a": too_dense(F.col("n"), F.col("span_hours")), "open": undecided()})
+    sites = sites.withColumn("open", F.col("open") & ~F.col("rule_a")).checkpoint()
+    longest = F.col("longest_short_s")
+    if not sites.where("open").isEmpty():
+        # Sites that rule A leaves alone have few rows for their span, so their rows fit one window.
+        rows = times.join(sites.where("open").select(SITE), SITE, "left_semi").repartition(SITE)
+        gap = gap_seconds(Window.partitionBy(SITE).orderBy("ts"))
+        exact = rows.withColumn("gap_s", gap).where(F.col("gap_s") < SHORT_GAP_S).groupBy(SITE).agg(F.max("gap_s").alias("exact_s"))
+        sites = sites.join(exact, SITE, "left")
+        longest = F.coalesce("exact_s", "longest_short_s")
+    rule_b = ~F.col("rule_a") & (F.col("n") > 1) & median_is_short(longest)
+    return sites.withColumn("rule_b", F.coalesce(rule_b, F.lit(False))).withColumn("resample", F.col("rule_a") | F.col("rule_b")).select(
+        SITE, "n", "span_hours", "short_gaps", "long_gaps", "most_in_hour", "rule_a", "rule_b", "resample"
     )
 
 
@@ -76,47 +148,80 @@ def hourly_means(df: DataFrame) -> DataFrame:
     return df.groupBy(SITE, hour_of("ts").alias("ts")).agg(F.avg("kw").alias("kw"))
 
 
-def hour_spine(hourly: DataFrame) -> DataFrame:
-    """Every hour from the first to the last; the hours in between come out without a value."""
-    w = Window.partitionBy(SITE).orderBy("ts")
-    last = F.coalesce(F.lead("ts").over(w) - F.expr("INTERVAL 1 HOUR"), F.col("ts"))
-    return (
-        hourly.withColumn("until", last)
-        .withColumn("hour_ts", F.explode(F.sequence("ts", "until", F.expr("INTERVAL 1 HOUR"))))
-        .select(SITE, F.col("hour_ts").alias("ts"), F.when(F.col("hour_ts") == F.col("ts"), F.col("kw")).alias("kw"))
-    )
+def every_hour(rows: DataFrame) -> DataFrame:
+    """Repeat each row (ts, until) for the hours from `ts` to `until`, with `from` the time that it had.
 
+    Gaps become blocks first and blocks hours after it, one after the other, so that a wrong clock doesn't make one row hold
+    an array of millions of hours.
+    """
+    size = F.lit(HOURS_PER_BLOCK * HOUR_MICROS)
+    number = lambda c: ((micros(c) - F.pmod(micros(c), size)) / size).cast("long")
+    start = F.expr(f"TIMESTAMP_NTZ'1970-01-01 00:00:00' + block * INTERVAL '{HOURS_PER_BLOCK}' HOUR")
+    blocks = rows.withColumnRenamed("ts", "from").withColumn("block", F.explode(F.sequence(number("from"), number("until"))))
+    end = start + F.expr(f"INTERVAL '{HOURS_PER_BLOCK}' HOUR") - F.expr("INTERVAL '0.000001' SECOND")
+    inside = F.sequence(F.greatest(F.col("from"), start), F.least(F.col("until"), end), F.expr("INTERVAL 1 HOUR"))
+    return blocks.withColumn("ts", F.explode(inside)).drop("until", "block")
 
-def ffill_bfill(series: DataFrame, column: str = "kw") -> DataFrame:
-    """Fill forward, then fill what is left at the start with the first value. For hourly series: one row per hour.
 
-    Only leading rows are left after the forward fill, so the backward fill is the first value of the whole site. That
-    frame is evaluated once per site, where a frame from each row to the end would be quadratic.
-    """
-    return series.withColumn(column, _filled(column, Window.partitionBy(SITE).orderBy("ts")))
+def until_next(w: WindowSpec) -> Column:
+    """The last hour before the next row; of the last row its own."""
+    return F.coalesce(F.lead("ts").over(w) - F.expr("INTERVAL 1 HOUR"), F.col("ts"))
 
 
-def _filled(column: str, w: WindowSpec) -> Column:
-    forward = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first(column, ignorenulls=True).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    return F.coalesce(forward, first)
+def hour_spine(hourly: DataFrame) -> DataFrame:
+    """Every hour from the first to the last; the hours in between come out without a value."""
+    w = Window.partitionBy(SITE).orderBy("ts")
+    spread = every_hour(hourly.withColumn("until", until_next(w)))
+    return spread.select(SITE, "ts", F.when(F.col("ts") == F.col("from"), F.col("kw")).alias("kw"))
+
+
+def ffill_bfill(series: DataFrame, column: str = "kw", bounded: bool = False, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Fill forward, then fill what is left at the start of a site with its first value. Long sites are cut."""
+    return scanned(series, LastKnown(column), bounded, rows_per_block)
 
 
 def resample_hourly(df: DataFrame) -> DataFrame:
-    return ffill_bfill(hour_spine(hourly_means(df)))
+    """The hours that have rows are filled, and the empty ones repeat the hour before them. They are one row per hour, few
+    enough for one window."""
+    filled = ffill_bfill(hourly_means(df), bounded=True)
+    w = Window.partitionBy(SITE).orderBy("ts")
+    return every_hour(filled.withColumn("until", until_next(w))).select(SITE, "ts", "kw")
 
 
-def hourly_series(df: DataFrame) -> DataFrame:
-    """Resample the sites that need it and leave the others as they are, over full histories.
+def hourly_series(df: DataFrame, least: int = 1) -> DataFrame:
+    """Resample the sites that need it and leave the others as they are, over full histories; sites with fewer rows than
+    `least` give none.
 
-    Dense sites are reduced to hours before anything is joined to them. The rows of the others are few by the rule.
+    One pass for all sites: a row per site and hour carries the mean and the hour's first and last row. Sites to resample go on
+    with the mean, the others with the rows. Where such a site has an hour of more than two rows, these are read again.
+    Every site that is left alone has at most 1.5 rows per hour or at most 24 rows, so windows by site are bounded.
     """
-    flags = needs_resample(df).select(SITE, "resample")
-    dense = hourly_means(df).join(flags.where("resample"), SITE, "left_semi")
-    sparse = df.join(flags.where("NOT resample"), SITE, "left_semi").select(SITE, "ts", "kw")
-    return ffill_bfill(hour_spine(dense)).unionByName(sparse)
+    sites = needs_resample(df).where(F.col("n") >= least)
+    crowded = ~F.col("resample") & (F.col("most_in_hour") > 2)
+    row = F.struct("ts", "kw")
+    hours = df.groupBy(SITE, hour_of("ts").alias("hour")).agg(
+        F.count("*").alias("rows"), F.avg("kw").alias("mean"), F.min(row).alias("first"), F.max(row).alias("last")
+    )
+    mean = F.struct(F.col("hour").alias("ts"), F.col("mean").alias("kw"))
+    kept = F.when(F.col("resample"), F.array(mean)).when(F.col("rows") == 1, F.array("first")).otherwise(F.array("first", "last"))
+    routed = hours.join(sites.where(~crowded).select(SITE, "resample"), SITE)
+    routed = routed.select(SITE, "resample", F.explode(kept).alias("row")).select(SITE, "resample", "row.*")
+    again = sites.where(crowded).select(SITE)
+    if not again.isEmpty():
+        rest = df.join(again, SITE, "left_semi").select(SITE, F.lit(False).alias("resample"), "ts", "kw")
+        routed = routed.unionByName(rest)
+    return _hourly_where_needed(routed)
+
+
+def _hourly_where_needed(rows: DataFrame) -> DataFrame:
+    """Fill and expand the sites whose rows are hours to `resample`; the rows of the others stay as they are."""
+    flag = F.col("resample")
+    ordered = Window.partitionBy(SITE).orderBy("ts")
+    filled = LastKnown("filled").whole(rows.withColumn("filled", F.when(flag, F.col("kw"))), ordered)
+    filled = filled.withColumns({
+        "until": F.when(flag, until_next(ordered)).otherwise(F.col("ts")), "kw": F.when(flag, F.col("filled")).otherwise(F.col("kw")),
+    })
+    return every_hour(filled.drop("filled", "resample")).select(SITE, "ts", "kw")
 
 
 def hourly_series_of_tail(df: DataFrame) -> DataFrame:
@@ -141,12 +246,7 @@ def hourly_series_of_tail(df: DataFrame) -> DataFrame:
         marked.withColumns({"ts": F.when(flag, hour_of("ts")).otherwise(F.col("ts")), "row": F.when(flag, 0).otherwise(F.col("row"))})
         .groupBy(SITE, "resample", "ts", "row").agg(F.avg("kw").alias("kw"))
     )
-    w = whole.orderBy("ts", "row")
-    until = F.coalesce(F.lead("ts").over(w) - F.expr("INTERVAL 1 HOUR"), F.col("ts"))
-    # A forward fill over the rows that exist; the empty hours in between repeat the row before them.
-    filled = grouped.withColumns({"until": F.when(flag, until).otherwise(F.col("ts")), "kw": F.when(flag, _filled("kw", w)).otherwise(F.col("kw"))})
-    hours = F.explode(F.sequence("ts", "until", F.expr("INTERVAL 1 HOUR")))
-    return filled.select(SITE, hours.alias("ts"), "kw")
+    return _hourly_where_needed(grouped.drop("row"))
 
 
 def hourly_profile(series: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 Row-based windows (`lag`, rolling frames) need a site's rows in one sorted partition. That is fine for normal sites, but
 a site with a large share of all rows would be one giant task. `over_series` therefore measures the longest site first.
 Long sites are cut into blocks of equal row count, each carrying the few rows before and after it that the frames can
-reach, so that every window partition has a fixed size and the result is the same.
+reach, so that every window partition has a fixed size and the result is the same. What depends on all rows before, however
+far back, is a scan (`scan.py`): it carries one row per block to the next block.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from gridwise.operators.scan import Scan
 from gridwise.schemas import SITE
 from gridwise.session import use_checkpoint_dir
 
@@ -37,48 +39,65 @@ def long_sites(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame
 
     Runs one count per site (combined before the shuffle) and brings a single row to the driver.
     """
+    return _measured(df, rows_per_block)[0]
+
+
+def _measured(df: DataFrame, rows_per_block: int) -> tuple[DataFrame | None, int]:
+    """`long_sites`, and the rows of the longest site."""
     counts = df.groupBy(SITE).agg(F.count("*").alias("site_rows"))
     seen = counts.agg(F.sum("site_rows").alias("total"), F.max("site_rows").alias("longest")).first()
     limit = max(rows_per_block, (seen["total"] or 0) // MAX_LONG_SITES)
-    if (seen["longest"] or 0) <= limit:
-        return None
-    return counts.where(F.col("site_rows") > limit)
+    longest = seen["longest"] or 0
+    return (counts.where(F.col("site_rows") > limit) if longest > limit else None), longest
 
 
 def over_series(
     df: DataFrame,
     build: Callable[[DataFrame, WindowSpec], DataFrame],
-    before: int,
+    before: int = 0,
     after: int = 0,
     bounded: bool = False,
     rows_per_block: int = ROWS_PER_BLOCK,
+    scan: Scan | None = None,
 ) -> DataFrame:
     """`build(df, window)` adds columns whose frames reach at most `before` rows back and `after` rows ahead.
 
-    `bounded` says that sites are known to be short, for example after `last_n_rows`, and skips measuring them.
+    A `scan` goes first; its columns depend on all rows before and are there for `build`. `bounded` says that sites are
+    known to be short, for example after `last_n_rows`, and skips measuring them.
     """
     order = order_columns(df)
-    long = None if bounded else long_sites(df, rows_per_block)
+    long, longest = (None, 0) if bounded else _measured(df, rows_per_block)
+    whole = Window.partitionBy(SITE).orderBy(*order)
     if long is None:
-        return build(df, Window.partitionBy(SITE).orderBy(*order))
+        return build(scan.whole(df, whole) if scan else df, whole)
 
     # Fewer than MAX_LONG_SITES rows, so the broadcast is bounded whatever the data size.
     long = F.broadcast(long)
-    short_part = (
-        df.join(long, SITE, "left_anti").withColumns({"block": F.lit(0).cast("long"), "core": F.lit(True)})
+    short_part = df.join(long, SITE, "left_anti")
+    short_part = (scan.whole(short_part, whole) if scan else short_part).withColumns(
+        {"block": F.lit(0).cast("long"), "core": F.lit(True)}
     )
-    blocks = _cut_into_blocks(df.join(long.select(SITE), SITE, "left_semi"), order, before, after, rows_per_block)
+    numbered = _numbered(df.join(long.select(SITE), SITE, "left_semi"), order)
+    if scan:
+        home = numbered.withColumn("block", F.floor(F.col("pos") / rows_per_block).cast("long"))
+        scanned = scan.blocks(home.repartition(SITE, "block"), -(-longest // rows_per_block))
+        numbered = scanned.drop("block")
+    blocks = _cut_into_blocks(numbered, before, after, rows_per_block)
     # Hash on both columns: partitioning by site alone would bring the blocks of a long site together again.
     together = short_part.unionByName(blocks).repartition(SITE, "block")
     out = build(together, Window.partitionBy(SITE, "block").orderBy(*order))
     return out.where("core").drop("block", "core")
 
 
-def _cut_into_blocks(rows: DataFrame, order: list[str], before: int, after: int, size: int) -> DataFrame:
-    """Number the rows of each site, then send each row to its block and to the blocks whose frames reach it."""
+def scanned(df: DataFrame, scan: Scan, bounded: bool = False, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """The columns of a scan alone."""
+    return over_series(df, lambda d, w: d, bounded=bounded, rows_per_block=rows_per_block, scan=scan)
+
+
+def _cut_into_blocks(ranked: DataFrame, before: int, after: int, size: int) -> DataFrame:
+    """Send each numbered row to its block and to the blocks whose frames reach it."""
     if max(before, after) > size:
         raise ValueError("a block must be at least as long as the frames")
-    ranked = _numbered(rows, order)
     home = F.floor(F.col("pos") / size).cast("long")
     offset = F.col("pos") - home * size
     last = F.floor((F.col("site_rows") - 1) / size).cast("long")

@@ -2,38 +2,19 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from gridwise.functions.scalars import (
     calendar_parts, clear_sky_index, cyclic_encode, dni_dhi_ratio, solar_elevation, PERIODS,
 )
+from gridwise.operators.scan import Averages, readings_reached
 from gridwise.operators.series import ROWS_PER_BLOCK, last_n_rows, over_series
 from gridwise.operators.validate import LONGEST_LAG, LOOKBACK, drop_incomplete
 from gridwise.schemas import (
     DIFF_LAGS, EMA_SPANS, FEATURES, LAGGED, MODE_WIDTHS, ROLLING, SENSORS, SITE, SOLAR_LAGS,
 )
 
-# Weights below this no longer change a double, so the moving average ends its history there.
-EMA_WEIGHT = 1e-17
-
-
-def ema_readings(spans: list[int]) -> int:
-    """Readings back after which the longest span's weight is below EMA_WEIGHT."""
-    return math.ceil(math.log(EMA_WEIGHT) / math.log(1 - 2 / (max(spans) + 1)))
-
-
-def ema_reach(spans: list[int]) -> int:
-    """Rows that a cut series must carry for the averages: the next power of two.
-
-    Rows without a reading in between use up some of that. With a third of the rows missing the weight that is lost at a
-    block's edge is still below 1e-11 for the longest span of the features.
-    """
-    return 1 << (ema_readings(spans) - 1).bit_length()
-
-
-EMA_REACH = ema_reach(EMA_SPANS)
+AVERAGES = Averages("GHI", tuple(EMA_SPANS))
 MODE_REACH = max(MODE_WIDTHS) // 2
 
 
@@ -95,37 +76,8 @@ def mode_sums() -> dict[str, Column]:
 
 
 def ewm_mean(df: DataFrame, w: WindowSpec, column: str = "GHI", spans: list[int] = EMA_SPANS) -> DataFrame:
-    """Exponential moving averages: y = x at the first reading, then y = c y_prev + (1 - c) x.
-
-    With a = 2 / (span + 1) and a reading g rows after the one before, c is (1 - a)^g / ((1 - a)^g + a), which is 1 - a
-    where no row is missing. Rows without a reading keep the last average; before the first reading there is none.
-
-    y is c y_prev + d, and two such steps are one step again, so doubling the number of joined steps needs one lag per
-    step, where a frame would visit every row of the history for each row.
-    """
-    alpha = {span: 2.0 / (span + 1) for span in spans}
-    keys = [SITE, "block"] if "block" in df.columns else [SITE]
-    # Readings alone, so that a lag is the reading before; they stay in the partitions of the site.
-    readings = Window.partitionBy(*keys, F.isnull(column)).orderBy("ema_row")
-    df = df.withColumn("ema_row", F.row_number().over(w)).withColumn("ema_gap", F.col("ema_row") - F.lag("ema_row").over(readings))
-    steps = {}
-    for span, a in alpha.items():
-        kept = F.pow(F.lit(1 - a), F.col("ema_gap"))
-        steps[f"ema_c_{span}"] = F.coalesce(F.when(F.col("ema_gap") == 1, F.lit(1 - a)).otherwise(kept / (kept + a)), F.lit(0.0))
-    df = df.withColumns(steps).withColumns({f"ema_d_{s}": (1 - F.col(f"ema_c_{s}")) * F.col(column) for s in spans})
-    reach = 1
-    while reach < ema_readings(spans):
-        joined = {}
-        for span, a in alpha.items():
-            if (1 - a) ** reach > EMA_WEIGHT:
-                c, d = F.col(f"ema_c_{span}"), F.col(f"ema_d_{span}")
-                joined[f"ema_d_{span}"] = d + c * F.coalesce(F.lag(d, reach).over(readings), F.lit(0.0))
-                joined[f"ema_c_{span}"] = c * F.coalesce(F.lag(c, reach).over(readings), F.lit(0.0))
-        df = df.withColumns(joined)
-        reach *= 2
-    last = lambda s: F.last(F.when(F.col(column).isNotNull(), F.col(f"ema_d_{s}")), ignorenulls=True)
-    df = df.withColumns({f"{column}_ema_{s}": last(s).over(w.rowsBetween(Window.unboundedPreceding, 0)) for s in spans})
-    return df.drop("ema_row", "ema_gap", *[f"ema_{x}_{s}" for x in "cd" for s in spans])
+    """Exponential moving averages over whole sites; for sites that may be cut, give `over_series` the scan `Averages`."""
+    return Averages(column, tuple(spans)).whole(df, w)
 
 
 def solar_features(
@@ -133,20 +85,23 @@ def solar_features(
 ) -> DataFrame:
     """site_id, ts, GHI and the 77 features in training order, without the incomplete first rows of each site."""
 
+    # The averages go first, while rows are narrow: each of their steps copies the row.
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
-        # The averages go first, while rows are narrow: each of their steps copies the row.
-        df = ewm_mean(df, w)
         df = df.withColumns({**lags_null(w), **diffs(w), **rolling_stats(w), **centred_means(w)})
         return add_ratios(add_calendar(df)).withColumns(mode_sums())
 
     wanted = readings.select(SITE, "ts", *SENSORS)
-    built = over_series(wanted, build, EMA_REACH, MODE_REACH, bounded, rows_per_block)
+    built = over_series(wanted, build, max(LONGEST_LAG, MODE_REACH), MODE_REACH, bounded, rows_per_block, AVERAGES)
     return drop_incomplete(built.select(SITE, "ts", "GHI", *FEATURES))
 
 
 def scoring_readings(readings: DataFrame, rows: int = LOOKBACK) -> DataFrame:
-    """The readings that the last `rows` feature rows of each site depend on; features of these are `bounded`."""
-    return last_n_rows(readings.select(SITE, "ts", *SENSORS), rows + max(EMA_REACH, LONGEST_LAG, MODE_REACH))
+    """The readings that the last `rows` feature rows of each site depend on; features of these are `bounded`.
+
+    For complete readings: a row without irradiance would take the place of one that the averages still depend on.
+    """
+    reach = max(readings_reached(EMA_SPANS), LONGEST_LAG, MODE_REACH)
+    return last_n_rows(readings.select(SITE, "ts", *SENSORS), rows + reach)
 
 
 def lookback_matrix(

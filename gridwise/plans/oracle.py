@@ -286,6 +286,19 @@ seen AS (SELECT *, lag(no) OVER ({W}) AS before FROM numbered WHERE "GHI" IS NOT
 averages AS (SELECT site_id, ts, {named({f"e{s}": _ewm_gaps(s) for s in (3, 12, 48)})} FROM seen)
 SELECT site_id, ts, {rounded({f"GHI_ema_{s}": f"last_value(e{s} IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" for s in (3, 12, 48)})}
 FROM numbered LEFT JOIN averages USING (site_id, ts)"""
+_OUTAGES = _READINGS_WITH_GAPS.replace("user_id AS site_id", "user_id % 10 AS site_id", 1)
+_LONG_GAPS = f"""WITH {_OUTAGES},
+cut AS (SELECT site_id, ts, "DNI", CASE WHEN day(ts) NOT BETWEEN 8 AND 19 THEN "GHI" END AS "GHI" FROM readings),
+numbered AS (SELECT *, row_number() OVER ({W}) AS no FROM cut)"""
+SQL["long_site_averages"] = f"""{_LONG_GAPS},
+seen AS (SELECT *, lag(no) OVER ({W}) AS before FROM numbered WHERE "GHI" IS NOT NULL),
+averages AS (SELECT site_id, no, {named({f"e{s}": _ewm_gaps(s) for s in (3, 12, 48)})} FROM seen)
+SELECT site_id, ts, {r6('"DNI"')} AS "DNI", {rounded({f"GHI_ema_{s}": f"last_value(e{s} IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" for s in (3, 12, 48)})}
+FROM numbered LEFT JOIN averages USING (site_id, no)"""
+SQL["long_site_filled"] = f"""{_LONG_GAPS}
+SELECT site_id, ts, {r6('"DNI"')} AS "DNI", {r6(f"""coalesce(last_value("GHI" IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value("GHI" IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))""")} AS "GHI"
+FROM numbered"""
 SQL["solar_modes"] = _solar(modes())
 SQL["solar_features"] = f"""WITH {features_cte()}
 SELECT site_id, ts, {rounded({c: f'"{c}"' for c in ("GHI", *feature_exprs())})} FROM features WHERE n > 24"""
@@ -340,6 +353,11 @@ SQL["hourly_resample"] = f"WITH {HOUSES}, {hourly('raw', 'full_hours')} SELECT s
 SQL["hourly_series"] = f"WITH {FEEDERS}, {SERIES} SELECT site_id, ts, {r6('kw')} AS kw FROM series"
 SQL["resample_rule"] = f"""WITH {BOTH}, {RULE}
 SELECT site_id, n, {r6("hours")} AS span_hours, rule_a, {r6("med")} AS median_gap_s, rule_b, rule_a OR rule_b AS resample FROM rule"""
+SQL["gap_counts"] = f"""WITH {BOTH},
+gaps AS (SELECT site_id, ts, epoch(ts - lag(ts) OVER ({W})) AS gap FROM raw)
+SELECT site_id, count(*) AS n, count(*) FILTER (gap < 2700) AS short_gaps, count(*) FILTER (gap >= 2700) AS long_gaps,
+  {r6("min(gap) FILTER (gap >= 2700)")} AS shortest_long_s, {r6("epoch(max(ts) - min(ts)) / 3600e0")} AS span_hours
+FROM gaps GROUP BY site_id"""
 SQL["gap_medians"] = f"""WITH {BOTH}, {RULE}
 SELECT site_id, {r6("median(gap)")} AS median_gap_s FROM gaps WHERE gap IS NOT NULL GROUP BY site_id"""
 SQL["hourly_profile"] = f"""WITH {HOUSES}, series AS (SELECT * FROM raw), {PROFILE}

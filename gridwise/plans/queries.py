@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from gridwise.functions import arrays, scalars
 from gridwise.operators import decisions, forecasts, resample, series, solar_features as sf, tariff as tf, validate
 from gridwise.operators.consumption_features import consumption_features
+from gridwise.operators.scan import Averages, LastKnown
 from gridwise.plans import standins
 from gridwise.plans.consumption_model import consumption_24h, recursive_24h, residual_sequence
 from gridwise.plans.solar_model import solar_3h, solar_rejected
@@ -55,16 +56,33 @@ def solar_rolling(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def solar_ewm(spark: SparkSession, folder: str) -> DataFrame:
-    df = _windowed(spark, folder, sf.ewm_mean, before=sf.EMA_REACH)
-    return shown(df.select(SITE, "ts", *EMA_FEATURES))
+    readings = driver.readings(spark, folder).select(SITE, "ts", *SENSORS)
+    return shown(series.scanned(readings, sf.AVERAGES).select(SITE, "ts", *EMA_FEATURES))
 
 
 def solar_ewm_gaps(spark: SparkSession, folder: str) -> DataFrame:
     """Averages over readings of which those of one kind are missing."""
-    spans = [3, 12, 48]
+    averages = Averages("GHI", (3, 12, 48))
     readings = driver.readings(spark, folder, missing="signup").select(SITE, "ts", "GHI")
-    df = series.over_series(readings, lambda d, w: sf.ewm_mean(d, w, spans=spans), before=sf.ema_reach(spans))
-    return shown(df.select(SITE, "ts", *[f"GHI_ema_{s}" for s in spans]))
+    return shown(series.scanned(readings, averages).select(SITE, "ts", *map(averages.name, averages.spans)))
+
+
+def _long_with_outages(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten long series whose irradiance is missing in one kind of reading and in twelve days of each month."""
+    readings = driver.readings(spark, folder, missing="signup").withColumn(SITE, F.col(SITE) % 10).select(SITE, "ts", "GHI", "DNI")
+    return readings.withColumn("GHI", F.when(~F.dayofmonth("ts").between(8, 19), F.col("GHI")))
+
+
+def long_site_averages(spark: SparkSession, folder: str) -> DataFrame:
+    """Averages of long series cut into blocks of 100 rows, with outages that are longer than a block."""
+    averages = Averages("GHI", (3, 12, 48))
+    df = series.scanned(_long_with_outages(spark, folder), averages, rows_per_block=100)
+    return shown(df.select(SITE, "ts", "DNI", *map(averages.name, averages.spans)))
+
+
+def long_site_filled(spark: SparkSession, folder: str) -> DataFrame:
+    """The same series, blocks and outages with missing irradiance filled forward, and backward at a series' start."""
+    return shown(series.scanned(_long_with_outages(spark, folder), LastKnown("GHI"), rows_per_block=100))
 
 
 def long_site_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -181,18 +199,28 @@ def hourly_series(spark: SparkSession, folder: str) -> DataFrame:
     return shown(resample.hourly_series(driver.feeder_consumption(spark, folder)))
 
 
-def resample_rule(spark: SparkSession, folder: str) -> DataFrame:
-    """The rule for households and for feeders (numbered from -1 down)."""
-    houses = driver.consumption(spark, folder)
+def _houses_and_feeders(spark: SparkSession, folder: str) -> DataFrame:
     feeders = driver.feeder_consumption(spark, folder).withColumn(SITE, -1 - F.col(SITE))
-    return shown(resample.needs_resample(houses.unionByName(feeders)))
+    return driver.consumption(spark, folder).unionByName(feeders)
+
+
+def resample_rule(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule for households and for feeders (numbered from -1 down), next to the median gap where rule B looks at it."""
+    both = _houses_and_feeders(spark, folder)
+    rule = resample.needs_resample(both).select(SITE, "n", "span_hours", "rule_a", "rule_b", "resample")
+    median = F.when(~F.col("rule_a"), F.col("median_gap_s")).alias("median_gap_s")
+    return shown(rule.join(resample.median_gap(both), SITE, "left").select(*rule.columns, median))
+
+
+def gap_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Short and long gaps of every household and feeder, and the shortest of the long ones."""
+    counts = resample.gap_counts(_houses_and_feeders(spark, folder).select(SITE, "ts"))
+    return shown(counts.select(SITE, "n", "short_gaps", "long_gaps", "shortest_long_s", "span_hours"))
 
 
 def gap_medians(spark: SparkSession, folder: str) -> DataFrame:
     """Median gap of every household and feeder over its raw rows."""
-    houses = driver.consumption(spark, folder)
-    feeders = driver.feeder_consumption(spark, folder).withColumn(SITE, -1 - F.col(SITE))
-    return shown(resample.median_gap(houses.unionByName(feeders)))
+    return shown(resample.median_gap(_houses_and_feeders(spark, folder)))
 
 
 def hourly_profile(spark: SparkSession, folder: str) -> DataFrame:
@@ -423,6 +451,8 @@ QUERIES: dict[str, Query] = {
     "solar_rolling": solar_rolling,
     "solar_ewm": solar_ewm,
     "solar_ewm_gaps": solar_ewm_gaps,
+    "long_site_averages": long_site_averages,
+    "long_site_filled": long_site_filled,
     "long_site_features": long_site_features,
     "solar_modes": solar_modes,
     "solar_features": solar_features,
@@ -436,6 +466,7 @@ QUERIES: dict[str, Query] = {
     "hourly_resample": hourly_resample,
     "hourly_series": hourly_series,
     "resample_rule": resample_rule,
+    "gap_counts": gap_counts,
     "gap_medians": gap_medians,
     "hourly_profile": hourly_profile,
     "consumption_features": consumption_feature_table,

@@ -61,6 +61,63 @@ def test_rule(mixed):
     assert got == EXPECT_RULE
 
 
+def test_rule_equals_the_median_of_the_gaps(spark):
+    """Random series near the rule's edge: halves of equal size, gaps within half an hour, many rows in an hour."""
+    rng, rows, want = np.random.default_rng(2), [], {}
+    for site in range(400):
+        n, kind = int(rng.integers(1, 9)), site % 4
+        gaps = rng.choice([600, 1199, 1700, 2400, 2699, 2700, 3000, 3600, 3700, 4200, 4800, 5400, 9000], n - 1)
+        if kind == 1:
+            gaps = rng.choice([100, 500, 1700, 3700, 4900], n - 1)
+        if kind == 2:
+            gaps = rng.choice([0, 1500, 3900], n - 1)
+        start = START + dt.timedelta(seconds=int(rng.integers(7200)))
+        times = [start + dt.timedelta(seconds=int(s)) for s in np.concatenate([[0], np.cumsum(gaps)])]
+        rows += [(site, t, 1.0) for t in times]
+        want[site] = bool(n > 1 and np.median(gaps) < 2700)
+    df = frame(spark, rows).repartition(5)
+    got = {r[SITE]: r["rule_b"] for r in resample.needs_resample(df).collect()}
+    assert got == want
+    counts = resample.gap_counts(df.select(SITE, "ts"))
+    assert counts.where(resample.undecided()).count() > 5
+
+
+def planned_scans(df):
+    """File scans of the plan as it stands before it runs; checkpoints and reused results don't count."""
+    return df._jdf.queryExecution().sparkPlan().toString().count("FileScan")
+
+
+def test_one_pass_over_the_readings(spark, tmp_path):
+    """Mixed sites in files: no more scans than one for the hours and one for sites with crowded hours."""
+    path = str(tmp_path / "readings")
+    frame(spark, [r for rows in CASES.values() for r in rows]).write.parquet(path)
+    rows = spark.read.parquet(path)
+    assert planned_scans(resample.needs_resample(rows)) <= 1
+    assert planned_scans(resample.hourly_series(rows)) <= 2
+    assert planned_scans(forecasts.profile_forecast(forecasts.consumption_history(rows))) <= 2
+    assert planned_scans(resample.hourly_series(rows.where("site_id in (1, 2, 3)"))) == 1
+
+
+def test_a_wrong_clock_does_not_make_one_array(spark):
+    """A row of the year 1 and one of today: seventeen million hours, in arrays of a few thousand."""
+    rows = [(1, dt.datetime(1, 1, 1, 5), 2.0), (1, dt.datetime(2024, 1, 1), 3.0), (1, dt.datetime(2024, 1, 1, 2), 4.0)]
+    found = resample.resample_hourly(frame(spark, rows))
+    seen = found.agg(F.count("*"), F.min("ts"), F.max("ts"), F.count_distinct("ts"), F.sum(F.when(F.col("kw") == 2.0, 1))).first()
+    hours = (dt.datetime(2024, 1, 1, 2) - dt.datetime(1, 1, 1, 5)) // dt.timedelta(hours=1) + 1
+    assert seen[0] == seen[3] == hours == seen[4] + 3
+    assert (seen[1], seen[2]) == (dt.datetime(1, 1, 1, 5), dt.datetime(2024, 1, 1, 2))
+
+
+def test_rows_just_before_a_block_ends(spark):
+    """Rows that stay as they are keep their times, also in the last hour of a block of hours."""
+    edge = dt.datetime(1970, 1, 1) + dt.timedelta(hours=resample.HOURS_PER_BLOCK * 115)
+    rows = [(1, edge + dt.timedelta(hours=h, minutes=-1), float(h)) for h in range(-3, 4)]
+    got = resample.hourly_series(frame(spark, rows)).orderBy("ts").collect()
+    assert [(r["ts"], r["kw"]) for r in got] == [(t, v) for _, t, v in rows]
+    hourly = resample.resample_hourly(frame(spark, [(1, edge + dt.timedelta(hours=h), float(h)) for h in (-9000, 9000)])).count()
+    assert hourly == 18001
+
+
 @pytest.mark.parametrize("route", [resample.hourly_series, resample.hourly_series_of_tail])
 def test_series_after_rule(mixed, route):
     got = route(mixed).toPandas()

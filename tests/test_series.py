@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from gridwise.operators import resample, series, solar_features as sf
+from gridwise.operators.scan import Averages, LastKnown
 from gridwise.schemas import FEATURES, READINGS, SENSORS, SITE
 
 START = dt.datetime(2024, 3, 1, 5)
@@ -144,8 +145,7 @@ def test_all_lookbacks(spark):
 def averaged(spark, values, spans):
     rows = [(1, START + dt.timedelta(hours=i), v) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "site_id long, ts timestamp_ntz, GHI double")
-    out = series.over_series(df, lambda d, w: sf.ewm_mean(d, w, spans=spans), before=sf.ema_reach(spans))
-    return out.orderBy("ts").toPandas()
+    return series.scanned(df, Averages("GHI", tuple(spans))).orderBy("ts").toPandas()
 
 
 @pytest.mark.parametrize("missing", [[0, 1, 2], [30], [57, 58, 59], [5, 6, 7, 8, 20, 40], []])
@@ -169,7 +169,53 @@ def test_averages_of_cut_series_with_gaps(spark):
     rng = np.random.default_rng(5)
     rows = [(1, START + dt.timedelta(hours=i), None if rng.random() < 0.1 else float(rng.uniform(0, 500))) for i in range(2000)]
     df = spark.createDataFrame(rows, "site_id long, ts timestamp_ntz, GHI double")
-    build = lambda d, w: sf.ewm_mean(d, w)
-    cut = series.over_series(df, build, before=sf.EMA_REACH, rows_per_block=300).orderBy("ts").toPandas()
-    whole = series.over_series(df, build, before=sf.EMA_REACH).orderBy("ts").toPandas()
-    pd.testing.assert_frame_equal(cut, whole, rtol=1e-11)
+    cut = series.scanned(df, sf.AVERAGES, rows_per_block=300).orderBy("ts").toPandas()
+    whole = series.scanned(df, sf.AVERAGES).orderBy("ts").toPandas()
+    pd.testing.assert_frame_equal(cut, whole, rtol=1e-12)
+
+
+def with_outages(spark):
+    """Two long sites and a short one; outages of 1, 250 and 700 rows, at the start, over blocks' edges and at the end."""
+    rng, rows = np.random.default_rng(6), []
+    for site, n, gaps in ((1, 2400, [(380, 1080), (1199, 1201), (1500, 1750)]), (2, 1300, [(0, 450), (1000, 1300)]), (3, 50, [(0, 3), (20, 30)])):
+        for i in range(n):
+            missing = any(a <= i < b for a, b in gaps) or i % 17 == 5
+            rows.append((site, START + dt.timedelta(hours=i), None if missing else float(rng.uniform(0, 500))))
+    rows += [(4, START + dt.timedelta(hours=i), None) for i in range(500)]
+    return rows, spark.createDataFrame(rows, "site_id long, ts timestamp_ntz, GHI double").repartition(7)
+
+
+@pytest.mark.parametrize("size", [100, 400, 401])
+def test_averages_do_not_depend_on_the_cut(spark, size):
+    rows, df = with_outages(spark)
+    averages = Averages("GHI", (3, 12, 48))
+    cut = series.scanned(df, averages, rows_per_block=size).orderBy(SITE, "ts").toPandas()
+    whole = series.scanned(df, averages, bounded=True).orderBy(SITE, "ts").toPandas()
+    pd.testing.assert_frame_equal(cut, whole, rtol=1e-12)
+    for site in (1, 2, 3, 4):
+        values = pd.Series([r[2] for r in rows if r[0] == site], dtype=float)
+        for span in averages.spans:
+            got = cut.loc[cut[SITE] == site, averages.name(span)].astype(float)
+            np.testing.assert_allclose(got, values.ewm(span=span, adjust=False).mean(), rtol=1e-12)
+
+
+@pytest.mark.parametrize("size", [100, 401, 5000])
+def test_fills_do_not_depend_on_the_cut(spark, size):
+    rows, df = with_outages(spark)
+    got = resample.ffill_bfill(df, "GHI", rows_per_block=size).orderBy(SITE, "ts").toPandas()
+    want = pd.DataFrame(rows, columns=[SITE, "ts", "GHI"]).astype({"GHI": float})
+    want["GHI"] = want.groupby(SITE)["GHI"].transform(lambda x: x.ffill().bfill())
+    pd.testing.assert_series_equal(got["GHI"].astype(float), want["GHI"])
+
+
+def test_blocks_of_a_scan_are_bounded(spark):
+    sizes = []
+
+    class Seen(LastKnown):
+        def blocks(self, df, most):
+            sizes.append((df.groupBy(SITE, "block").count().agg(F.max("count")).first()[0], most))
+            return super().blocks(df, most)
+
+    _, df = with_outages(spark)
+    assert series.scanned(df, Seen("GHI"), rows_per_block=100).count() == df.count()
+    assert sizes == [(100, 24)]
