@@ -10,7 +10,11 @@ values; where more than `REGION` nodes share them, the region goes deeper, each
 2. In all trees, regions that still hold several components are looked at again, at four values: each node's most similar
    partner of another component is a candidate. Crowded regions are dealt into cells, so that each node outside of the
    region's largest component meets every other node of the region in some cell; none is left out for being crowded.
-3. The same again with all remaining pairs of different components whose signatures are near enough.
+3. The same again with all remaining pairs of different components whose signatures are near enough. A pair is looked at
+   in the first tree that it shares a region of.
+
+In all steps, shingles that a node shares with no other node of the regions bound its similarity to any of them; pairs that
+this bound keeps below 0.8 are no candidates. Texts with changes of their own, of which crowds are made, mostly go this way.
 
 So a link is missed only if its signatures share four values in none of the trees, or have fewer than `LEAST_EQUAL` values
 equal: with a similarity of 0.8, 5e-8 and less than 1e-7 of all links, and less with any higher one. What is confirmed is
@@ -22,7 +26,7 @@ component id is the smallest id of a component, null if none of its rows has one
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -112,7 +116,9 @@ def labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def open_regions(rows: DataFrame) -> DataFrame:
-    """Rows of the regions that hold several components, with their number `n`; of regions with the same nodes only one."""
+    """Rows of the regions that hold several components, with their number `n`; of regions with the same nodes only the
+    first."""
+    rows = rows.drop("n")
     marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
     regions = rows.groupBy("t", "h").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), *marks)
     one = regions.where("low < high").groupBy("n", "x0", "x1").agg(F.min(F.struct("t", "h")).alias("r")).select("r.t", "r.h", "n")
@@ -175,25 +181,37 @@ def by_cell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
-def neighbours(t: int, signatures: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def neighbours(t: int, signatures: np.ndarray, size: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs next to each other in the tree's order: each node's longest common prefixes."""
     order = np.lexsort(np.roll(signatures, -SHALLOW * t, axis=1).T[::-1])
     i, j = order[:-1], order[1:]
-    near = (signatures[i] == signatures[j]).sum(axis=1) >= LEAST_EQUAL
+    near = ((signatures[i] == signatures[j]).sum(axis=1) >= LEAST_EQUAL) & within_reach(i, j, size, alone)
     return i[near], j[near]
 
 
-def across(signatures: np.ndarray, comp: np.ndarray, best: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components with enough equal values; with `best` only the most similar one of each node."""
+def within_reach(i: np.ndarray, j: np.ndarray, size: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Whether pairs may have a similarity of 0.8, by the sizes of their sets and the shingles that others have as well."""
+    common = np.minimum(size[i] - alone[i], size[j] - alone[j])
+    return 100 * common >= 80 * (size[i] + size[j] - common)
+
+
+def across(
+    t: int, signatures: np.ndarray, comp: np.ndarray, size: np.ndarray, alone: np.ndarray, best: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components with enough equal values; with `best` only the most similar one of each node, else
+    those that share no region of an earlier tree."""
+    starts = signatures.view("<i8")[:, :t]
     first, second = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for i in range(len(signatures) - 1 + best):
         others = np.flatnonzero(comp != comp[i])
         others = others if best else others[others > i]
+        others = others[within_reach(np.full(len(others), i), others, size, alone)]
         equal = (signatures[others] == signatures[i]).sum(axis=1)
         if best:
             at = others[[equal.argmax()]] if len(equal) and equal.max() >= LEAST_EQUAL else others[:0]
         else:
             at = others[equal >= LEAST_EQUAL]
+            at = at[~(starts[at] == starts[i]).any(axis=1)]
         first.append(np.full(len(at), i))
         second.append(at)
     return np.concatenate(first), np.concatenate(second)
@@ -205,16 +223,17 @@ def candidates(rows: DataFrame, nodes: DataFrame, how: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_cell(batches):
             table = table.combine_chunks()
-            cell, t, node, comp, size = (table.column(c).to_numpy() for c in range(5))
-            signatures = signatures_of(table.column(5))
-            i, j = neighbours(int(t[0]), signatures, comp) if how == "neighbours" else across(signatures, comp, how == "best")
-            low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-            i, j = i[100 * low >= 80 * high], j[100 * low >= 80 * high]
+            cell, trees, node, comp, size, alone = (table.column(c).to_numpy() for c in range(6))
+            signatures, t = signatures_of(table.column(6)), int(trees[0])
+            if how == "neighbours":
+                i, j = neighbours(t, signatures, size, alone)
+            else:
+                i, j = across(t, signatures, comp, size, alone, how == "best")
             u, v = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
             if len(u):
                 yield pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v), "cell": pa.array(np.full(len(u), cell[0]))})
 
-    full = rows.join(nodes.select("node", "n_shingles", "signature"), "node").select("cell", "t", "node", "comp", "n_shingles", "signature")
+    full = rows.join(nodes, "node").select("cell", "t", "node", "comp", "n_shingles", "alone", "signature")
     found = full.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long, cell long")
     return found.groupBy("u", "v").agg(F.min("cell").alias("cell"))
 
@@ -248,18 +267,39 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= 80 * (len(a) + len(b) - common)
 
 
-def links(nodes: DataFrame, texts_of, words_per_shingle: int) -> DataFrame:
-    """Links (u, v) that connect all nodes of a component. `texts_of` gives (node, text) of some nodes."""
+def shingles_alone(texts: DataFrame, words_per_shingle: int) -> DataFrame:
+    """Rows (node, alone): how many of a node's shingles no other text has; nodes without such a shingle are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, 1, BATCH_BYTES):
+            sets = [shingle_set(x, words_per_shingle) for x in batch.column(1).to_pylist()]
+            owner = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            shingles, first, times = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_pydict({
+                "shingle": pa.array(shingles.view(np.int64)), "node": pa.array(owner[first]), "times": pa.array(times),
+            })
+
+    rows = texts.select("node", "text").mapInArrow(run, "shingle long, node long, times long")
+    once_seen = rows.groupBy("shingle").agg(F.sum("times").alias("times"), F.min("node").alias("node")).where("times = 1")
+    return once_seen.groupBy("node").agg(F.count("*").alias("alone"))
+
+
+def links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words_per_shingle: int) -> DataFrame:
+    """Rows (node, root) of the nodes that are linked. `texts_of` gives (node, text) of some nodes."""
     trees = stored(in_trees(nodes, TREES), "trees")
-    some = open_regions(labelled(trees, None))
-    texts = texts_of(some.select("node").distinct())
+    regions = stored(open_regions(labelled(trees, None)).select("t", "h", "node", "n"), "regions")
+    wanted = stored(regions.select("node").distinct(), "wanted")
+    texts = texts_of(wanted)
+    alone = F.coalesce("alone", F.lit(0)).cast("long").alias("alone")
+    marked = nodes.join(wanted, "node").join(shingles_alone(texts, words_per_shingle), "node", "left")
+    marked = stored(marked.select("node", "n_shingles", "signature", alone), "marked")
     asked, known, roots = None, None, None
     for how in ("neighbours", "best", "all"):
         if how == "neighbours":
-            rows = leaves(open_regions(labelled(trees.where(F.col("t") < FIRST_TREES), None)), nodes)
+            rows = leaves(labelled(regions.where(F.col("t") < FIRST_TREES), None), marked)
         else:
-            rows = cells(open_regions(labelled(trees, roots)))
-        pairs = candidates(rows, nodes, how)
+            rows = cells(open_regions(labelled(regions, roots)))
+        pairs = candidates(rows, marked, how)
         if asked is not None:
             pairs = pairs.join(asked, ["u", "v"], "left_anti").select("u", "v", "cell")
         pairs = stored(pairs, "candidates")
