@@ -13,6 +13,7 @@ from gridwise.operators.tariff import HORIZON, tariff_stats
 from gridwise.schemas import SITE
 
 NEXT_HOURS = 3
+NEXT_HOUR = "next_hour"
 
 
 def label(ts: Column | str = "ts") -> Column:
@@ -348,3 +349,33 @@ def tariff_chart(tariff: DataFrame) -> DataFrame:
 def next_hour_chart(next_hour: DataFrame) -> DataFrame:
     """From `join_next_hour` rows: solar and consumption as two bars per site."""
     return next_hour.unpivot(SITE, ["solar_kwh", "use_kwh"], "source", "kwh")
+
+
+def chart_tables(solar: DataFrame, consumption: DataFrame, tariff: DataFrame) -> DataFrame:
+    """All charts in one long table (site_id, chart, label, y). Each forecast is computed once.
+
+    The two bars of the next hour are marked among the rows of their forecasts and stay where a site has both.
+    """
+    first = F.col("step") == 1
+
+    def points(forecast: DataFrame, *charts: tuple[str, Column, Column, Column | None]) -> DataFrame:
+        rows = [
+            (lambda p: p if where is None else F.when(where, p))(F.struct(F.lit(chart).alias("chart"), at.alias("label"), y.alias("y")))
+            for chart, at, y, where in charts
+        ]
+        return forecast.select(SITE, F.explode(F.array_compact(F.array(*rows))).alias("p")).select(SITE, "p.*")
+
+    hour = time_of_label(label())
+    parts = [
+        points(
+            solar, ("ghi_wm2", hour, F.col("ghi_wm2"), None), ("energy_kwh", hour, F.col("energy_kwh"), None),
+            (NEXT_HOUR, F.lit("solar_kwh"), F.col("energy_kwh"), first),
+        ),
+        points(consumption, ("consumption", label(), F.col("kwh"), None), (NEXT_HOUR, F.lit("use_kwh"), F.col("kwh"), first)),
+        points(tariff, ("tariff", am_pm("hour"), round_stable("tariff", 4), None)),
+    ]
+    bar = F.col("chart") == NEXT_HOUR
+    # A site has at most 3, 24 and 12 steps.
+    sources = F.collect_set(F.when(bar, F.col("label"))).over(Window.partitionBy(SITE))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("sources", F.size(sources))
+    return rows.where(~bar | (F.col("sources") == 2)).drop("sources")

@@ -341,6 +341,19 @@ SELECT site_id, ts, {rounded({"GHI": '"GHI" * (1e0 + request / 100e0)', "DHI": '
   "area_m2": "CAST(panel AS DOUBLE)",
   "efficiency": "CASE WHEN panel % 15 / 10e0 > 0 AND panel % 15 / 10e0 <= 1 THEN panel % 15 / 10e0 ELSE 0.2e0 END"})}
 FROM newest WHERE request >= no"""
+_SENSORS = rounded({c: f'"{c}"' for c in ("GHI", *BASE)})
+SQL["solar_files"] = f"""WITH {READINGS}
+SELECT site_id, ts, {_SENSORS}, 'csv' AS file, CAST(NULL AS DOUBLE) AS area_m2 FROM readings
+UNION ALL SELECT site_id, ts, {_SENSORS}, 'json', CASE WHEN site_id % 30 > 0 THEN CAST(site_id % 30 AS DOUBLE) END FROM readings"""
+SQL["consumption_files"] = f"""WITH {HOUSES}
+SELECT site_id, ts, {r6("kw")} AS kw, file FROM raw CROSS JOIN (SELECT unnest(['csv', 'json']) AS file) f WHERE site_id % 7 <> 0"""
+SQL["tariff_files"] = f"""WITH {CONDITIONS}
+SELECT site_id, hour, dow, month, {rounded({c: c for c in ("temperature", "hist_avg", "demand")})}
+FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts DESC) AS back FROM conditions) WHERE back = 1"""
+SQL["written_forecasts"] = f"""WITH {ALL}
+SELECT site_id, 'solar' AS forecast, step, {r6("energy_kwh")} AS y FROM sol
+UNION ALL SELECT site_id, 'consumption', step, {r6("kwh")} FROM con
+UNION ALL SELECT site_id, 'tariff', step, {r6("tariff")} FROM tar"""
 SQL["forecast_rejections"] = f"""WITH {CONDITIONS.split("tin AS")[0].rstrip().rstrip(",")},
 parts AS (
   SELECT user_id * 10 + CASE WHEN day(ts) % 4 = 0 THEN 0 ELSE 1 END AS site_id, event_type <> 'signup' AS complete FROM events),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -15,7 +16,8 @@ from gridwise.plans.consumption_model import consumption_24h, recursive_24h, res
 from gridwise.plans.solar_model import solar_3h, solar_rejected
 from gridwise.plans.tariff_model import tariff_12h, training_rows
 from gridwise.schemas import CYCLIC, EMA_FEATURES, SENSORS, SITE
-from gridwise.sources import columns, driver, readers
+from gridwise.session import shared_folder
+from gridwise.sources import columns, driver, readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -176,6 +178,66 @@ def ingest_requests(spark: SparkSession, folder: str) -> DataFrame:
     return shown(validate.default_panels(readings, panels).select(SITE, "ts", "GHI", "DHI", "BP", "area_m2", "efficiency"))
 
 
+MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def solar_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings written as CSV files and as JSON requests, one for each day of a site, and read back by the readers."""
+    target = shared_folder(spark, "solar-files")
+    raw = driver.readings(spark, folder).select(SITE, F.date_format("ts", MICROS).alias("datetime"), *SENSORS)
+    raw.write.csv(f"{target}/csv", header=True)
+    days = raw.groupBy(SITE, F.substring("datetime", 1, 10).alias("day")).agg(
+        F.collect_list(F.struct("datetime", *SENSORS)).alias("historical_data"),
+        (F.col(SITE) % 30).cast("double").alias("panel_area_m2"), F.lit(0.2).alias("panel_efficiency"),
+    )
+    days.drop("day").write.json(f"{target}/json")
+    requested, panels = readers.read_solar_json(spark, f"{target}/json")
+    from_csv = readers.read_solar_csv(spark, f"{target}/csv").withColumns({"file": F.lit("csv"), "area_m2": F.lit(None).cast("double")})
+    from_json = requested.join(panels.select(SITE, "area_m2"), SITE).withColumn("file", F.lit("json"))
+    return shown(from_csv.unionByName(from_json))
+
+
+def consumption_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Consumption written as CSV with an untidy header and as JSON rows with another name for power, and read back."""
+    target = shared_folder(spark, "consumption-files")
+    rows = driver.consumption(spark, folder)
+    time = F.when(F.col(SITE) % 7 == 0, "n/a").otherwise(F.date_format("ts", MICROS))
+    rows.select(F.col(SITE).alias("Site ID"), time.alias("DT"), F.col("kw").alias("Global Active Power")).write.csv(f"{target}/csv", header=True)
+    rows.select(SITE, time.alias("datetime"), F.col("kw").alias("Active_Power")).write.json(f"{target}/json")
+    from_csv = readers.read_consumption_csv(spark, f"{target}/csv")
+    from_json = readers.read_consumption_json(spark, f"{target}/json")
+    return shown(from_csv.withColumn("file", F.lit("csv")).unionByName(from_json.withColumn("file", F.lit("json"))))
+
+
+def tariff_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Conditions written as CSV files in site and time order; the reader takes the last row of each site."""
+    target = shared_folder(spark, "tariff-files")
+    conditions = driver.tariff_conditions(spark, folder)
+    conditions.orderBy(SITE, "ts").drop("ts").write.csv(target, header=True)
+    return shown(readers.read_tariff_csv(spark, target))
+
+
+def written_forecasts(spark: SparkSession, folder: str) -> DataFrame:
+    """The three forecasts written as a run, written again, and read back beside an attempt that broke off."""
+    target = shared_folder(spark, "forecasts")
+    tables = dict(zip(("solar", "consumption", "tariff"), standins.all_three(spark, folder)))
+    day = dt.date(2024, 6, 1)
+    first = writers.write_forecasts(tables, target, day)
+    written = {
+        name: writers.read_forecasts(spark, target, name, day).withColumn("run_date", F.lit(day + dt.timedelta(days=1))) for name in tables
+    }
+    for name, table in written.items():  # the next day's attempt ends before its note
+        table.withColumn("attempt", F.lit("broken")).write.mode("append").partitionBy(*writers.KEYS).parquet(f"{target}/{name}")
+    again = writers.write_forecasts(tables, target, day)
+    assert first != again
+    value = {"solar": "energy_kwh", "consumption": "kwh", "tariff": "tariff"}
+    parts = [
+        writers.read_forecasts(spark, target, name).select(SITE, F.lit(name).alias("forecast"), "step", F.col(v).alias("y"))
+        for name, v in value.items()
+    ]
+    return shown(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
 def forecast_rejections(spark: SparkSession, folder: str) -> DataFrame:
     """Sites that get no solar, consumption or tariff forecast, with the reason. A quarter of a household's days is a site."""
     def part(df: DataFrame) -> DataFrame:
@@ -418,18 +480,7 @@ def best_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 def chart_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The tables behind the solar, consumption, tariff and next-hour charts, in one long table."""
-    solar, consumption, tariff = standins.all_three(spark, folder)
-    both = decisions.join_next_hour(solar, consumption).select(SITE, "solar_kwh", F.col("kwh").alias("use_kwh"))
-    parts = [
-        decisions.solar_chart(solar).unpivot([SITE, "hour"], ["ghi_wm2", "energy_kwh"], "chart", "y"),
-        decisions.consumption_chart(consumption).withColumn("chart", F.lit("consumption")).withColumnRenamed("kwh", "y"),
-        decisions.tariff_chart(tariff).toDF(SITE, "hour", "y").withColumn("chart", F.lit("tariff")),
-        decisions.next_hour_chart(both).toDF(SITE, "hour", "y").withColumn("chart", F.lit("next_hour")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return shown(out.withColumnRenamed("hour", "label"))
+    return shown(decisions.chart_tables(*standins.all_three(spark, folder)))
 
 
 def ml_solar_3h(spark: SparkSession, folder: str) -> DataFrame:
@@ -462,6 +513,10 @@ QUERIES: dict[str, Query] = {
     "ingest_csv": ingest_csv,
     "ingest_json": ingest_json,
     "ingest_requests": ingest_requests,
+    "solar_files": solar_files,
+    "consumption_files": consumption_files,
+    "tariff_files": tariff_files,
+    "written_forecasts": written_forecasts,
     "forecast_rejections": forecast_rejections,
     "hourly_resample": hourly_resample,
     "hourly_series": hourly_series,

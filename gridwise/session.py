@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,3 +37,25 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="gridwise-checkpoint-")
     context.setCheckpointDir(folder)
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """The name of a new folder next to the checkpoints, which every executor can reach."""
+    use_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
+
+
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def list_folder(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it doesn't exist."""
+    path, files = _path(spark, folder)
+    return sorted(x.getPath().getName() for x in files.listStatus(path)) if files.exists(path) else []
+
+
+def delete_folder(spark: SparkSession, folder: str) -> bool:
+    path, files = _path(spark, folder)
+    return files.delete(path, True)
