@@ -30,13 +30,17 @@ LANGUAGES = 256
 TEXTS_PER_LANGUAGE = 64
 BYTES_PER_LANGUAGE = 1 << 15
 BLOCK = 2048
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LATIN = re.compile("[A-Za-z]")
 # Letters of ASCII are kept, its other characters become spaces, bytes of longer characters stay.
 PLAIN = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+def has_letter(text: str) -> bool:
+    return LATIN.search(text) is not None or any(map(str.isalpha, text))
+
+
 def plain(text: str) -> bytes:
     return text.lower().encode().translate(PLAIN)
 
@@ -71,34 +75,34 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Samples:
     return Samples(tuple(sorted(joined)), tuple(joined[name] for name in sorted(joined)))
 
 
-def suffix_automaton(data: bytes) -> list[dict[int, int]]:
-    """Transitions by state, from state 0, of the automaton that reads exactly the substrings of `data`."""
-    moves: list[dict[int, int]] = [{}]
+def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
+    """Next states by state, from state 0, and symbol, of the automaton that reads exactly the substrings of `symbols`; -1 for
+    none."""
+    moves = np.full((2 * len(symbols) + 1, width), -1, np.int32)
     link, length, last = [-1], [0], 0
-    for byte in data:
-        state = len(moves)
-        moves.append({})
+    for symbol in symbols:
+        state = len(length)
         length.append(length[last] + 1)
         link.append(0)
         at = last
-        while at >= 0 and byte not in moves[at]:
-            moves[at][byte] = state
+        while at >= 0 and moves[at, symbol] < 0:
+            moves[at, symbol] = state
             at = link[at]
         if at >= 0:
-            to = moves[at][byte]
+            to = int(moves[at, symbol])
             if length[to] == length[at] + 1:
                 link[state] = to
             else:
-                copy = len(moves)
-                moves.append(dict(moves[to]))
+                copy = len(length)
+                moves[copy] = moves[to]
                 length.append(length[at] + 1)
                 link.append(link[to])
                 link[to] = link[state] = copy
-                while at >= 0 and moves[at].get(byte) == to:
-                    moves[at][byte] = copy
+                while at >= 0 and moves[at, symbol] == to:
+                    moves[at, symbol] = copy
                     at = link[at]
         last = state
-    return moves
+    return moves[: len(length)]
 
 
 class Parser:
@@ -111,21 +115,18 @@ class Parser:
         width = len(used) + 1
         tables, roots, at = [], [], 0
         for sample in samples.texts:
-            moves = suffix_automaton(sample)
+            # The line breaks between samples are symbol 0 here, which no text has in its samples.
+            table = suffix_automaton(self.symbol[np.frombuffer(sample, np.uint8)].tolist(), width)
+            table[:, 0] = -1
             # An entry is four times the next state's place, plus the phrases that end: one where the byte starts the next
             # phrase, two where no phrase can hold it, so that it is one by itself.
-            table = np.full((len(moves), width), -1, np.int64)
-            for state, row in enumerate(moves):
-                for byte, to in row.items():
-                    if byte != 10:
-                        table[state, self.symbol[byte]] = to
             start = np.where(table[0] < 0, 0, table[0])
-            ends = (table < 0).astype(np.int64)
+            ends = (table < 0).astype(np.int8)
             ends[1:, table[0] < 0] = 2
-            table = np.where(ends > 0, start[None, :], table)
-            tables.append((((table + at) * width) << 2 | ends).astype(np.int32 if (at + len(moves)) * width < 1 << 28 else np.int64))
+            table = np.where(ends > 0, start[None, :], table).astype(np.int32 if (at + len(table)) * width < 1 << 28 else np.int64)
+            tables.append(((table + at) * width) << 2 | ends)
             roots.append(at * width)
-            at += len(moves)
+            at += len(table)
         self.table = np.concatenate(tables).ravel()
         self.roots = np.array(roots, self.table.dtype)
         self.weight = np.array([math.log2(max(len(x), 2)) for x in samples.texts])
@@ -153,7 +154,7 @@ class Parser:
 
 
 def predictions(parser: Parser | None, names: tuple[str, ...], texts: list[str | None]) -> tuple[list[str], list[float]]:
-    usable = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if parser else []
+    usable = [i for i, t in enumerate(texts) if t and has_letter(t)] if parser else []
     language, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
     if not usable:
         return language, score
