@@ -7,18 +7,20 @@ values; where more than `REGION` nodes share them, the region goes deeper, each
 
 1. In the first trees, nodes next to each other in a region's order have the longest common prefix; these pairs are
    candidates if enough of their values are equal. Candidates are confirmed on the full sets and give components.
-2. In all trees, regions that still hold several components are looked at again, at four values: each node's most similar
+2. In some trees, regions that still hold several components are looked at again, at four values: each node's most similar
    partner of another component is a candidate. Crowded regions are dealt into cells, so that each node outside of the
    region's largest component meets every other node of the region in some cell; none is left out for being crowded.
-3. The same again with all remaining pairs of different components whose signatures are near enough. A pair is looked at
-   in the first tree that it shares a region of.
+3. The same in all trees, now with all remaining pairs of different components whose signatures are near enough.
+
+In steps 2 and 3 a pair is looked at in the first tree that it shares a region of.
 
 In all steps, shingles that a node shares with no other node of the regions bound its similarity to any of them; pairs that
 this bound keeps below 0.8 are no candidates. Texts with changes of their own, of which crowds are made, mostly go this way.
 
 So a link is missed only if its signatures share four values in none of the trees, or have fewer than `LEAST_EQUAL` values
 equal: with a similarity of 0.8, 5e-8 and less than 1e-7 of all links, and less with any higher one. What is confirmed is
-exact. A pair is confirmed in one cell, which gets each text once, however many pairs and trees it has.
+exact. It is confirmed in its cell, which gets each text of its candidates once; pairs that others of the cell connect by then
+are left out. Only links leave a cell, fewer than it has nodes.
 
 Null texts and texts without words have an empty set and are linked with nothing. Rows without an id take part; the
 component id is the smallest id of a component, null if none of its rows has one. Repeated rows share a component.
@@ -40,6 +42,7 @@ from gridwise.llm.simhash import row_key, shingle_hashes
 VALUES = 128
 TREES = 32
 FIRST_TREES = 3
+SECOND_TREES = 8
 SHALLOW = 4
 DEPTHS = (6, 9, 13, 19, 28, 42, 63, 95, VALUES)
 #: Most nodes of a region that is not split, and of one side of a cell.
@@ -198,8 +201,8 @@ def within_reach(i: np.ndarray, j: np.ndarray, size: np.ndarray, alone: np.ndarr
 def across(
     t: int, signatures: np.ndarray, comp: np.ndarray, size: np.ndarray, alone: np.ndarray, best: bool
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components with enough equal values; with `best` only the most similar one of each node, else
-    those that share no region of an earlier tree."""
+    """Pairs of different components with enough equal values that share no region of an earlier tree; with `best` only the
+    most similar one of each node."""
     starts = signatures.view("<i8")[:, :t]
     first, second = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for i in range(len(signatures) - 1 + best):
@@ -207,57 +210,75 @@ def across(
         others = others if best else others[others > i]
         others = others[within_reach(np.full(len(others), i), others, size, alone)]
         equal = (signatures[others] == signatures[i]).sum(axis=1)
-        if best:
-            at = others[[equal.argmax()]] if len(equal) and equal.max() >= LEAST_EQUAL else others[:0]
-        else:
-            at = others[equal >= LEAST_EQUAL]
-            at = at[~(starts[at] == starts[i]).any(axis=1)]
+        near = (equal >= LEAST_EQUAL) & ~(starts[others] == starts[i]).any(axis=1)
+        at, equal = others[near], equal[near]
+        at = at[[equal.argmax()]] if best and len(at) else at
         first.append(np.full(len(at), i))
         second.append(at)
     return np.concatenate(first), np.concatenate(second)
 
 
-def candidates(rows: DataFrame, nodes: DataFrame, how: str) -> DataFrame:
-    """Rows (u, v, cell): candidates among the rows of each cell, each pair with one of the cells that it is in."""
+def pairs_of(table: pa.Table, how: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The candidates among a cell's rows (t, comp, n_shingles, alone, signature), the most similar first."""
+    trees, comp, size, alone = (table.column(c).to_numpy() for c in ("t", "comp", "n_shingles", "alone"))
+    signatures, t = signatures_of(table.column("signature")), int(trees[0])
+    if how == "neighbours":
+        i, j = neighbours(t, signatures, size, alone)
+    else:
+        i, j = across(t, signatures, comp, size, alone, how == "best")
+    order = np.argsort(-(signatures[i] == signatures[j]).sum(axis=1), kind="stable")
+    return i[order], j[order], comp
+
+
+def by_cells(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select("cell", *columns).repartition("cell").sortWithinPartitions("cell")
+
+
+def candidates(rows: DataFrame, marked: DataFrame, how: str) -> DataFrame:
+    """Rows (cell, t, node, comp): those of `rows` that are in a candidate pair of their cell. No pairs leave a cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_cell(batches):
-            table = table.combine_chunks()
-            cell, trees, node, comp, size, alone = (table.column(c).to_numpy() for c in range(6))
-            signatures, t = signatures_of(table.column(6)), int(trees[0])
-            if how == "neighbours":
-                i, j = neighbours(t, signatures, size, alone)
-            else:
-                i, j = across(t, signatures, comp, size, alone, how == "best")
-            u, v = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-            if len(u):
-                yield pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v), "cell": pa.array(np.full(len(u), cell[0]))})
-
-    full = rows.join(nodes, "node").select("cell", "t", "node", "comp", "n_shingles", "alone", "signature")
-    found = full.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long, cell long")
-    return found.groupBy("u", "v").agg(F.min("cell").alias("cell"))
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, words_per_shingle: int) -> DataFrame:
-    """The pairs whose full sets have a similarity of 0.8 or more: rows (u, v). A cell gets each of its texts once."""
-    ends = pairs.select("cell", F.explode(F.array("u", "v")).alias("u")).distinct()
-    held = ends.join(texts.withColumnRenamed("node", "u"), "u").select("cell", "u", F.lit(None).cast("long").alias("v"), "text")
-    asked = pairs.select("cell", "u", "v", F.lit(None).cast("string").alias("text"))
+            i, j, _ = pairs_of(table.combine_chunks(), how)
+            if len(i):
+                yield from table.select(["cell", "t", "node", "comp"]).take(np.unique(np.concatenate([i, j]))).to_batches()
+
+    full = by_cells(rows.join(marked, "node"), "t", "node", "comp", "n_shingles", "alone", "signature")
+    return full.mapInArrow(run, "cell long, t int, node long, comp long")
+
+
+def confirmed(rows: DataFrame, marked: DataFrame, texts: DataFrame, how: str, words_per_shingle: int) -> DataFrame:
+    """Links (u, v) that connect what the full sets of each cell's candidates connect. A cell gets each of its texts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_cell(batches):
-            text, pairs = {}, []
-            for u, v, value in zip(*(table.column(c).to_pylist() for c in (1, 2, 3))):
-                if v is None:
-                    text[u] = value
-                else:
-                    pairs.append((u, v))
-            sets = {u: shingle_set(value, words_per_shingle) for u, value in text.items()}
-            found = [(u, v) for u, v in pairs if linked(sets[u], sets[v])]
+            table = table.combine_chunks()
+            node, text = table.column("node").to_numpy(), table.column("text")
+            first, second, comp = pairs_of(table, how)
+            label = {c: c for c in comp.tolist()}
+            sets: dict[int, np.ndarray] = {}
+            found = []
+            for i, j in zip(first.tolist(), second.tolist()):
+                a, b = top(label, int(comp[i])), top(label, int(comp[j]))
+                if a != b:
+                    for k in (i, j):
+                        if k not in sets:
+                            sets[k] = shingle_set(text[k].as_py(), words_per_shingle)
+                    if linked(sets[i], sets[j]):
+                        label[max(a, b)] = min(a, b)
+                        found.append((int(node[i]), int(node[j])))
             if found:
                 yield pa.RecordBatch.from_pydict({"u": pa.array([x[0] for x in found]), "v": pa.array([x[1] for x in found])})
 
-    return held.unionByName(asked).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
+    full = by_cells(rows.join(marked, "node").join(texts, "node"), "t", "node", "comp", "n_shingles", "alone", "signature", "text")
+    return full.mapInArrow(run, "u long, v long").distinct()
+
+
+def top(label: dict[int, int], x: int) -> int:
+    while label[x] != x:
+        label[x] = label[label[x]]
+        x = label[x]
+    return x
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -293,18 +314,15 @@ def links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words_pe
     alone = F.coalesce("alone", F.lit(0)).cast("long").alias("alone")
     marked = nodes.join(wanted, "node").join(shingles_alone(texts, words_per_shingle), "node", "left")
     marked = stored(marked.select("node", "n_shingles", "signature", alone), "marked")
-    asked, known, roots = None, None, None
+    known, roots = None, None
     for how in ("neighbours", "best", "all"):
         if how == "neighbours":
             rows = leaves(labelled(regions.where(F.col("t") < FIRST_TREES), None), marked)
         else:
-            rows = cells(open_regions(labelled(regions, roots)))
-        pairs = candidates(rows, marked, how)
-        if asked is not None:
-            pairs = pairs.join(asked, ["u", "v"], "left_anti").select("u", "v", "cell")
-        pairs = stored(pairs, "candidates")
-        asked = pairs.select("u", "v") if asked is None else asked.union(pairs.select("u", "v"))
-        new = stored(confirmed(pairs, texts, words_per_shingle), "links")
+            used = regions.where(F.col("t") < SECOND_TREES) if how == "best" else regions
+            rows = cells(open_regions(labelled(used, roots)))
+        some = stored(candidates(rows, marked, how), "candidates")
+        new = stored(confirmed(some, marked, texts, how, words_per_shingle), "links")
         known = new if known is None else known.union(new)
         roots = stored(components(known), "roots")
     return roots
