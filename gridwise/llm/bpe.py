@@ -30,7 +30,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from gridwise.llm.common import by_bytes, fresh, once
+from gridwise.llm.common import fresh, once
 
 BLOCK_BYTES = 4 << 20
 MOST_BUCKETS = 4096
@@ -131,10 +131,30 @@ class Block:
         self.sequences = [rank[s] for s in sequences]
 
 
+def in_blocks(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in blocks of about `most` bytes of `column`. Blocks depend on the rows alone, not on the batches they come
+    in, which other columns change."""
+    held, size = [], 0
+    for batch in batches:
+        start = 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if size and size + n > most:
+                yield from joined([*held, batch.slice(start, i - start)])
+                held, size, start = [], 0, i
+            size += n
+        held.append(batch.slice(start))
+    yield from joined(held)
+
+
+def joined(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    parts = [p for p in parts if p.num_rows]
+    return [pa.concat_batches(parts)] if parts else []
+
+
 def blocks_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[int], pa.RecordBatch]]:
     """Blocks with their keys: two numbers of the task, the place in it and the texts."""
     place = TaskContext.get().partitionId()
-    for i, batch in enumerate(by_bytes(batches, column, BLOCK_BYTES)):
+    for i, batch in enumerate(in_blocks(batches, column, BLOCK_BYTES)):
         digest = xxhash.xxh3_64()
         for text in batch.column(column).to_pylist():
             digest.update(b"\xff" if text is None else text.encode() + b"\xfe")

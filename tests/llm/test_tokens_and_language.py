@@ -168,3 +168,15 @@ def test_pipeline(spark, tmp_path):
         docs = stage(spark, docs, folder)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "fp"]
     assert SHARED in {r.text for r in docs.collect()} or docs.count()
+
+
+@pytest.mark.parametrize("rows", [1, 2, 7, 100])
+def test_blocks_do_not_depend_on_batches(rows):
+    import pyarrow as pa
+
+    texts = ["x" * (i * 37 % 90) if i % 9 else None for i in range(100)]
+    whole = pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string())})
+    batches = [whole.slice(i, rows) for i in range(0, 100, rows)]
+    got = [b.column(0).to_pylist() for b in bpe.in_blocks(iter(batches), 0, 200)]
+    assert got == [b.column(0).to_pylist() for b in bpe.in_blocks(iter([whole]), 0, 200)] and sum(got, []) == texts
+    assert all(sum(len(t or "") for t in g) <= 200 for g in got) and list(bpe.in_blocks(iter([]), 0, 5)) == []
