@@ -122,15 +122,27 @@ def last_lookback(rows: DataFrame, lookback: int = LOOKBACK, bounded: bool = Fal
     )
 
 
-def all_lookbacks(rows: DataFrame, horizon: int, lookback: int = LOOKBACK, bounded: bool = False) -> DataFrame:
-    """For every row with a full past and future: `lookback` and the irradiance of the next hours as `y1`, `y2`, ..."""
+def all_lookbacks(
+    rows: DataFrame, horizon: int, lookback: int = LOOKBACK, bounded: bool = False, elements: list[int] | None = None
+) -> DataFrame:
+    """For every row with a full past and future: `lookback` and the irradiance of the next hours as `y1`, `y2`, ...
+
+    `lookback` has the given `elements` of the whole vector only, each taken from its row, or all without them.
+    """
 
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
-        past = F.collect_list("x").over(w.rowsBetween(-(lookback - 1), 0))
         ahead = {f"y{h}": F.lead("GHI", h).over(w) for h in range(1, horizon + 1)}
-        return df.withColumns({"past": past, **ahead})
+        if elements is None:
+            past = F.flatten(F.collect_list("x").over(w.rowsBetween(-(lookback - 1), 0)))
+        else:
+            past = F.array(*[element(p, w) for p in elements]).cast("array<double>")
+        return df.withColumns({"lookback": past, "oldest": F.lag("ts", lookback - 1).over(w), **ahead})
+
+    def element(place: int, w: WindowSpec) -> Column:
+        row, column = divmod(place, width)
+        return F.lag(F.col("x")[column], lookback - 1 - row).over(w)
 
+    width = len(FEATURES)
     built = over_series(rows.select(SITE, "ts", "GHI", "x"), build, lookback - 1, horizon, bounded)
-    full = built.where((F.size("past") == lookback) & F.col(f"y{horizon}").isNotNull())
-    targets = [f"y{h}" for h in range(1, horizon + 1)]
-    return full.select(SITE, "ts", F.flatten("past").alias("lookback"), *targets)
+    full = built.where(F.col("oldest").isNotNull() & F.col(f"y{horizon}").isNotNull())
+    return full.select(SITE, "ts", "lookback", *[f"y{h}" for h in range(1, horizon + 1)])

@@ -3,11 +3,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Model
-from pyspark.ml.feature import RobustScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -19,6 +20,7 @@ from gridwise.operators.forecasts import (
 )
 from gridwise.operators.resample import hourly_profile
 from gridwise.operators.series import site_window
+from gridwise.operators.statistics import Scale, fit_linear, fit_scale
 from gridwise.operators.validate import fill_missing_features
 from gridwise.schemas import CONSUMPTION_FEATURES, SITE
 from gridwise.session import use_checkpoint_dir
@@ -35,27 +37,23 @@ SEED = 7
 class ConsumptionModels:
     base: Model
     # Without these two the base prediction stands alone.
-    scaler: Model | None = None
+    scale: Scale | None = None
     correction: Model | None = None
     sequence: int = SEQUENCE
     # Names in the order in which the base model was fitted.
     features: list[str] = field(default_factory=lambda: list(CONSUMPTION_FEATURES))
 
     def save(self, spark: SparkSession, folder: str) -> None:
-        parts = {"base": self.base}
+        parts, values = {"base": self.base}, {"sequence": self.sequence, "features": self.features}
         if self.correction is not None:
-            parts.update({"scaler": self.scaler, "correction": self.correction})
-        save_models(spark, folder, parts, {"sequence": self.sequence, "features": self.features})
-
-    def middle_and_width(self) -> tuple[float, float]:
-        return float(self.scaler.median[0]), float(self.scaler.range[0]) or 1.0
+            parts["correction"], values["scale"] = self.correction, asdict(self.scale)
+        save_models(spark, folder, parts, values)
 
 
 def load_consumption_models(spark: SparkSession, folder: str) -> ConsumptionModels:
     parts, values = load_models(spark, folder)
-    return ConsumptionModels(
-        parts["base"], parts.get("scaler"), parts.get("correction"), values.get("sequence", SEQUENCE), values["features"]
-    )
+    scale = Scale(**values["scale"]) if "scale" in values else None
+    return ConsumptionModels(parts["base"], scale, parts.get("correction"), values.get("sequence", SEQUENCE), values["features"])
 
 
 def base_consumption(rows: DataFrame, base: Model, names: list[str] = CONSUMPTION_FEATURES) -> DataFrame:
@@ -71,25 +69,28 @@ def fit_consumption(features: DataFrame) -> ConsumptionModels:
     base = GBTRegressor(
         featuresCol="features", labelCol="kw", predictionCol="base", maxIter=8, maxDepth=4, maxBins=32, seed=SEED
     ).fit(assembled)
-    errors = base_consumption(features, base).select(SITE, "ts", "kw", (F.col("kw") - F.col("base")).alias("error"))
-    vectors = VectorAssembler(inputCols=["error"], outputCol="e").transform(errors)
-    scaler = RobustScaler(inputCol="e", outputCol="e_scaled", withCentering=True).fit(vectors)
-    models = ConsumptionModels(base, scaler)
+    return with_correction(features, base, lambda train: LinearRegression(
+        featuresCol="errors", labelCol="error", predictionCol="next_error", solver="normal", regParam=0.1
+    ).fit(train))
 
-    scaled = errors.withColumn("error", _scaled(models))
+
+def with_correction(features: DataFrame, base: Model, fit: Callable[[DataFrame], Model]) -> ConsumptionModels:
+    """The base model with a correction that is fitted on (`errors`, the scaled errors before; `error`, the next one)."""
+    errors = base_consumption(features, base).select(SITE, "ts", "kw", (F.col("kw") - F.col("base")).alias("error"))
+    models = ConsumptionModels(base, fit_scale(errors, ["error"]))
+    scaled = errors.withColumn("error", models.scale.scaled(F.col("error")))
     w = site_window(scaled)
     past = F.collect_list("error").over(w.rowsBetween(-SEQUENCE, -1))
     train = scaled.withColumn("past", past).where(F.size("past") == SEQUENCE)
-    train = train.select("error", array_to_vector("past").alias("errors"))
-    models.correction = LinearRegression(
-        featuresCol="errors", labelCol="error", predictionCol="next_error", solver="normal", regParam=0.1
-    ).fit(train)
+    models.correction = fit(train.select("error", array_to_vector("past").alias("errors")))
     return models
 
 
-def _scaled(models: ConsumptionModels):
-    middle, width = models.middle_and_width()
-    return (F.col("error") - middle) / width
+def fit_linear_consumption(features: DataFrame, inputs: list[str]) -> ConsumptionModels:
+    """The same in closed form: least squares on some features, and a line on the last error."""
+    assembled = VectorAssembler(inputCols=CONSUMPTION_FEATURES, outputCol="features").transform(features)
+    base = fit_linear(assembled, "features", [CONSUMPTION_FEATURES.index(c) for c in inputs], "kw", "base")
+    return with_correction(features, base, lambda train: fit_linear(train, "errors", [SEQUENCE - 1], "error", "next_error"))
 
 
 def residual_sequence(features: DataFrame, models: ConsumptionModels) -> DataFrame:
@@ -99,7 +100,7 @@ def residual_sequence(features: DataFrame, models: ConsumptionModels) -> DataFra
     rank = F.row_number().over(Window.partitionBy(SITE).orderBy(F.col("ts").desc(), F.col("kw").desc()))
     last = features.withColumn("back", rank).where(F.col("back") <= KEEP)
     scored = base_consumption(last, models.base, models.features).withColumn("error", F.col("kw") - F.col("base"))
-    recent = scored.withColumn("error", _scaled(models) if models.correction is not None else F.lit(0.0))
+    recent = scored.withColumn("error", models.scale.scaled(F.col("error")) if models.correction is not None else F.lit(0.0))
     rows = F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("k"), "kw", "error")))
     listed = recent.groupBy(SITE).agg(rows.alias("rows"), F.max("ts").alias("last_ts"))
     return listed.select(
@@ -115,8 +116,7 @@ def residual_correct(models: ConsumptionModels) -> tuple[Column, Column]:
     base, errors = F.col("base"), F.col("errors")
     if models.correction is None:
         return base, errors
-    middle, width = models.middle_and_width()
-    error = F.greatest(F.col("next_error") * width + middle, -base)
+    error = F.greatest(models.scale.restored(F.col("next_error")), -base)
     return base + error, append_value(errors, F.col("next_error"), keep=models.sequence)
 
 

@@ -588,3 +588,128 @@ FROM hours
 UNION ALL SELECT site_id, 5, '💰 Lowest Cost Hour',
   printf('Minimum electricity cost at %s — ₹%.2f for that hour. Ideal for heavy loads.', strftime(ts, {STAMP}), cost), 'recommendation'
 FROM low"""
+
+
+def _quartiles(columns: list[str], source: str) -> str:
+    return "SELECT " + ", ".join(f'quantile_cont("{c}", [0.25, 0.5, 0.75]) AS "q_{c}"' for c in columns) + f" FROM {source}"
+
+
+def _in_units(column: str, of: str | None = None) -> str:
+    q = f'"q_{of or column}"'
+    return f"""(("{column}" - {q}[2]) / CASE WHEN {q}[3] = {q}[1] THEN 1e0 ELSE {q}[3] - {q}[1] END)"""
+
+
+_ALL_FEATURES = list(feature_exprs())
+_FEATURE_ROWS = f"""{features_cte()},
+f AS (
+  SELECT *, row_number() OVER ({W}) AS i, count(*) OVER (PARTITION BY site_id) AS rows,
+    lead("GHI", 1) OVER ({W}) AS y1, lead("GHI", 2) OVER ({W}) AS y2, lead("GHI", 3) OVER ({W}) AS y3
+  FROM features WHERE n > 24),
+quart AS ({_quartiles([*_ALL_FEATURES, "GHI"], "f")})"""
+SQL["scaled_features"] = f"""WITH {_FEATURE_ROWS}
+SELECT site_id, ts, {rounded({c: _in_units(c) for c in _ALL_FEATURES})} FROM f, quart"""
+
+
+def _bin(x: str) -> str:
+    return f"least(greatest(floor({x} * 2e0) + 4, 0), 7)"
+
+
+SQL["feature_ranks"] = f"""WITH {_FEATURE_ROWS},
+s AS (SELECT site_id, i, [{", ".join(_in_units(c) for c in _ALL_FEATURES)}] AS x,
+    CASE WHEN i >= 12 AND y3 IS NOT NULL THEN {_in_units("y1", "GHI")} END AS y FROM f, quart),
+e AS (SELECT site_id, i, unnest(range(77)) AS j, unnest(x) AS v FROM s),
+pairs AS (
+  SELECT l.lag, e.j, e.v, s.y FROM s JOIN (SELECT unnest(range(12)) AS lag) l ON s.y IS NOT NULL
+  JOIN e ON e.site_id = s.site_id AND e.i = s.i - l.lag),
+related AS (SELECT lag, j, CASE WHEN var_pop(v) > 0 THEN corr(v, y) ELSE 0e0 END AS r, count(*) AS n FROM pairs GROUP BY ALL),
+counts AS (SELECT lag, j, {_bin("v")} AS a, {_bin("y")} AS b, count(*) AS c FROM pairs GROUP BY ALL),
+shares AS (
+  SELECT lag, j, c, sum(c) OVER (PARTITION BY lag, j) AS n, sum(c) OVER (PARTITION BY lag, j, a) AS na, sum(c) OVER (PARTITION BY lag, j, b) AS nb
+  FROM counts),
+mutual AS (SELECT lag, j, sum(c / CAST(n AS DOUBLE) * ln(CAST(c AS DOUBLE) * n / (CAST(na AS DOUBLE) * nb))) AS mi FROM shares GROUP BY ALL)
+SELECT CAST(lag AS INTEGER) AS lag, CAST(j AS INTEGER) AS "column", {r6("r * r / (1e0 - r * r) * (n - 2)")} AS f, {r6("mi")} AS mi
+FROM related JOIN mutual USING (lag, j)"""
+
+
+def _lines(columns: dict[str, tuple[str, int]], lines: list[str]) -> str:
+    """Scaled elements by name (feature, rows back), and lines on some of them that the earlier half of the windows gives."""
+    values = ", ".join(
+        f'lag({_in_units(c)}, {back}) OVER ({W}) AS "{name}"' if back else f'{_in_units(c)} AS "{name}"' for name, (c, back) in columns.items()
+    )
+    metas = ", ".join(f'(SELECT a FROM line_{x}) + (SELECT b FROM line_{x}) * "{x}" AS meta_{x}' for x in lines)
+    fits = ", ".join(
+        f'line_{x} AS (SELECT regr_intercept(l1, "{x}") AS a, regr_slope(l1, "{x}") AS b FROM wins, mid WHERE epoch_us(ts) <= m)' for x in lines
+    )
+    return f"""{_FEATURE_ROWS},
+units AS (
+  SELECT site_id, ts, i, rows, {values}, {", ".join(f'{_in_units(f"y{h}", "GHI")} AS l{h}' for h in (1, 2, 3))}, "q_GHI" AS qy FROM f, quart),
+wins AS (SELECT * FROM units WHERE i >= 12 AND l3 IS NOT NULL),
+mid AS (SELECT quantile_cont(CAST(epoch_us(ts) AS DOUBLE), 0.5) AS m FROM wins),
+{fits},
+stacked AS (SELECT *, {metas} FROM units)"""
+
+
+SQL["stacked_vector"] = f"""WITH {_lines({"g": ("GHI_rolling_mean_3", 0), "d": ("DNI", 2), "t": ("T_amb", 1), "k": ("GHI_lag_1", 0)}, ["g", "d"])},
+ends AS (SELECT site_id, ts AS last_ts, unnest(range(4)) AS pos, unnest([t, k, meta_g, meta_d]) AS x FROM stacked WHERE i = rows AND rows >= 12)
+SELECT site_id, last_ts, CAST(pos AS INTEGER) AS pos, {r6("x")} AS x FROM ends"""
+_LINE_GHI = f"""{_lines({"g": ("GHI_rolling_mean_3", 0)}, ["g"])},
+late AS (SELECT stacked.* FROM stacked, mid WHERE i >= 12 AND l3 IS NOT NULL AND epoch_us(ts) > m),
+hours_fit AS ({" UNION ALL ".join(f"SELECT {h} AS step, regr_intercept(l{h}, meta_g) AS a, regr_slope(l{h}, meta_g) AS b FROM late" for h in (1, 2, 3))}),
+lined AS (
+  SELECT site_id, CAST(step AS INTEGER) AS step, ts + to_hours(CAST(step AS INTEGER)) AS ts,
+    greatest((a + b * meta_g) * (qy[3] - qy[1]) + qy[2], 0e0) AS ghi
+  FROM stacked, hours_fit WHERE i = rows AND rows >= 12)"""
+SQL["linear_solar_3h"] = f"WITH {_LINE_GHI} SELECT site_id, step, ts, {r6('ghi')} AS ghi FROM lined"
+_LINE_CON = f"""{history(HOUSES)}, {PROFILE},
+lagged AS (
+  SELECT site_id, ts, kw, coalesce(lag(kw, 1) OVER ({W}), first_value(kw) OVER ({W})) AS x1,
+    coalesce(lag(kw, 24) OVER ({W}), first_value(kw) OVER ({W})) AS x2,
+    row_number() OVER ({W}) AS no, row_number() OVER (PARTITION BY site_id ORDER BY ts DESC) AS back FROM series),
+moments AS (
+  SELECT var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS v12, covar_pop(x1, kw) AS c1, covar_pop(x2, kw) AS c2,
+    avg(x1) AS m1, avg(x2) AS m2, avg(kw) AS my FROM lagged),
+plane AS (
+  SELECT (c1 * v2 - c2 * v12) / (v1 * v2 - v12 * v12) AS b1, (c2 * v1 - c1 * v12) / (v1 * v2 - v12 * v12) AS b2, m1, m2, my FROM moments),
+based AS (SELECT lagged.*, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS base FROM lagged, plane),
+spread AS (SELECT quantile_cont(kw - base, [0.25, 0.5, 0.75]) AS q FROM based),
+errors AS (SELECT based.*, (kw - base - q[2]) / (q[3] - q[1]) AS e FROM based, spread),
+after AS (SELECT *, lag(e) OVER ({W}) AS before FROM errors),
+fix AS (SELECT regr_intercept(e, before) AS a, regr_slope(e, before) AS b FROM after WHERE no > 24),
+day_before AS (SELECT site_id, 25 - back AS step, kw FROM based WHERE back <= 24),
+steps AS (
+  SELECT errors.site_id, last_ts, 0 AS step, errors.kw AS v, e FROM errors JOIN last_seen USING (site_id) WHERE back = 1
+  UNION ALL
+  SELECT n.site_id, n.last_ts, n.step, CASE WHEN greatest(raw, 0.01e0) <= 0.01e0 THEN p.kw ELSE raw END, e
+  FROM (SELECT site_id, last_ts, step, base + greatest(e * (q[3] - q[1]) + q[2], -base) AS raw, e
+    FROM (SELECT s.site_id, s.last_ts, s.step + 1 AS step, my + b1 * (s.v - m1) + b2 * (d.kw - m2) AS base, fix.a + fix.b * s.e AS e
+      FROM steps s JOIN day_before d ON d.site_id = s.site_id AND d.step = s.step + 1, plane, fix), spread) n
+  JOIN profile p ON p.site_id = n.site_id AND p.hour = (hour(n.last_ts) + n.step) % 24),
+con AS (
+  SELECT site_id, CAST(step AS INTEGER) AS step, last_ts + to_hours(CAST(step AS INTEGER)) AS ts, round(v + 1e-9, 4) AS kwh
+  FROM steps WHERE step > 0)"""
+SQL["linear_consumption_24h"] = f"WITH RECURSIVE {_LINE_CON} SELECT site_id, step, ts, {r6('kwh')} AS kwh FROM con"
+_LINE_STATS = STATS.replace("sin(step * (demand + 1e0) + hour) * 2e0", "(SELECT a FROM score) + (SELECT b FROM score) * (hist_avg / 10e0)").replace(
+    "scores AS (", f"""priced AS (SELECT *, row_number() OVER ({W}) AS no FROM conditions WHERE hist_avg IS NOT NULL),
+followed AS (
+  SELECT p.hist_avg, p.demand, q.hist_avg AS price FROM priced p JOIN priced q ON p.site_id = q.site_id AND q.no > p.no AND q.no <= p.no + 12),
+score AS (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM (SELECT ln({_SHARE} / (1e0 - {_SHARE})) AS y, hist_avg / 10e0 AS x FROM followed)),
+scores AS (""", 1)
+SQL["linear_tariff_12h"] = f"WITH {_LINE_STATS} SELECT site_id, step, hour, {r6('tariff')} AS tariff FROM tar"
+SQL["fitted_decisions"] = f"""WITH RECURSIVE {_LINE_GHI}, {PANELS},
+sol AS (
+  SELECT lined.site_id, step, ts, round(ghi + 1e-9, 2) AS ghi_wm2,
+    round(ghi * coalesce(area, 10e0) * coalesce(eff, 0.2e0) / 1000e0 + 1e-9, 4) AS energy_kwh FROM lined LEFT JOIN panels USING (site_id)),
+{_LINE_CON}, {_LINE_STATS}, {DECISION}
+SELECT site_id, {rounded({c: c for c in ("solar_1h", "energy_1h")})}, solar_label, CAST(has_solar + has_energy + has_tariff AS INTEGER) AS inputs_ready,
+  CASE WHEN net > 0 THEN 'surplus' WHEN net <= 0 THEN 'deficit' END AS state,
+  {rounded({"surplus_kwh": "CASE WHEN net > 0 THEN net END", "deficit_kwh": "CASE WHEN net <= 0 THEN -net END"})},
+  CASE WHEN net > 0 THEN {ampm("hi_hour")} END AS sell_hour, {rounded({"max_tariff": "hi", "sell_revenue": "CASE WHEN net > 0 THEN net * hi END",
+    "import_cost": "CASE WHEN net <= 0 THEN -net * next END"})}, CASE WHEN net <= 0 THEN {ampm("lo_hour")} END AS cheap_hour_label
+FROM decided"""
+SQL["ml_solar_3h"] = f"""WITH {READINGS}
+SELECT site_id, step, max(ts) + to_hours(step) AS ts, TRUE AS sound
+FROM readings CROSS JOIN (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS step) s GROUP BY site_id, step HAVING count(*) >= 36"""
+SQL["ml_consumption_24h"] = f"""WITH {history(HOUSES)}
+SELECT site_id, step, max(ts) + to_hours(step) AS ts, TRUE AS sound
+FROM series CROSS JOIN (SELECT CAST(unnest(range(1, 25)) AS INTEGER) AS step) s GROUP BY site_id, step"""
+SQL["ml_tariff_12h"] = f"WITH {TAR} SELECT site_id, step, hour, TRUE AS sound FROM tar"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gridwise.functions import arrays, scalars
@@ -12,10 +13,12 @@ from gridwise.operators import decisions, forecasts, resample, series, solar_fea
 from gridwise.operators.consumption_features import consumption_features
 from gridwise.operators.scan import Averages, LastKnown
 from gridwise.plans import standins
-from gridwise.plans.consumption_model import consumption_24h, recursive_24h, residual_sequence
-from gridwise.plans.solar_model import solar_3h, solar_rejected
-from gridwise.plans.tariff_model import tariff_12h, training_rows
-from gridwise.schemas import CYCLIC, EMA_FEATURES, SENSORS, SITE
+from gridwise.plans.consumption_model import consumption_24h, fit_linear_consumption, recursive_24h, residual_sequence
+from gridwise.plans.solar_model import (
+    WIDTH, element_ranks, fit_linear_solar, fit_scales, last_chosen, place, scale_features, solar_3h, solar_direct_3h, solar_rejected,
+)
+from gridwise.plans.tariff_model import fit_linear_tariff, tariff_12h, training_rows
+from gridwise.schemas import CYCLIC, EMA_FEATURES, FEATURES, SENSORS, SITE
 from gridwise.session import shared_folder
 from gridwise.sources import columns, driver, readers, writers
 
@@ -483,16 +486,101 @@ def chart_tables(spark: SparkSession, folder: str) -> DataFrame:
     return shown(decisions.chart_tables(*standins.all_three(spark, folder)))
 
 
+def scaled_features(spark: SparkSession, folder: str) -> DataFrame:
+    """The 77 features in units of the distance of their quartiles, from the median."""
+    features = sf.solar_features(driver.readings(spark, folder))
+    rows = scale_features(features, fit_scales(features)[0])
+    return shown(rows.select(SITE, "ts", *[F.col("x")[i].alias(c) for i, c in enumerate(FEATURES)]))
+
+
+def feature_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """F statistic and mutual information with the next hour of all 924 elements of the lookback vectors."""
+    features = sf.solar_features(driver.readings(spark, folder))
+    scale, target = fit_scales(features)
+    return shown(element_ranks(scale_features(features, scale), target))
+
+
+# Places that the closed forms use: a line each on two elements, then least squares on the first line's prediction.
+LINES = [place("GHI_rolling_mean_3"), place("DNI", 2)]
+STACKED = [place("T_amb", 1), place("GHI_lag_1"), WIDTH, WIDTH + 1]
+
+
+def stacked_vector(spark: SparkSession, folder: str) -> DataFrame:
+    """What the models of the hours look at for each site's last row: scaled elements and the lines' predictions."""
+    features = sf.solar_features(driver.readings(spark, folder))
+    vectors = last_chosen(features, fit_linear_solar(features, LINES, STACKED))
+    return shown(vectors.select(SITE, "last_ts", F.posexplode(vector_to_array("chosen")).alias("pos", "x")))
+
+
+def _linear_solar(spark: SparkSession, folder: str) -> DataFrame:
+    features = sf.solar_features(driver.readings(spark, folder))
+    return solar_direct_3h(features, fit_linear_solar(features, LINES[:1], [WIDTH]))
+
+
+def linear_solar_3h(spark: SparkSession, folder: str) -> DataFrame:
+    """The solar forecast with the stack fitted in closed form."""
+    return shown(_linear_solar(spark, folder))
+
+
+def _linear_consumption(spark: SparkSession, folder: str) -> DataFrame:
+    history = forecasts.consumption_history(driver.consumption(spark, folder))
+    features = consumption_features(history)
+    return recursive_24h(features, resample.hourly_profile(history), fit_linear_consumption(features, ["lag_1", "lag_24"]))
+
+
+def linear_consumption_24h(spark: SparkSession, folder: str) -> DataFrame:
+    """The consumption forecast with base model and correction fitted in closed form."""
+    return shown(_linear_consumption(spark, folder))
+
+
+def _linear_tariff(spark: SparkSession, folder: str) -> DataFrame:
+    return tariff_12h(driver.tariff_conditions(spark, folder), lambda c: fit_linear_tariff(c, ["hist_avg_norm"]))
+
+
+def linear_tariff_12h(spark: SparkSession, folder: str) -> DataFrame:
+    """The tariff forecast with the score fitted in closed form."""
+    return shown(_linear_tariff(spark, folder))
+
+
+def fitted_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """From readings to decisions: models fitted, the three forecasts written as a run, read back and decided on."""
+    target, day = shared_folder(spark, "fitted-forecasts"), dt.date(2024, 6, 1)
+    solar = forecasts.solar_energy(_linear_solar(spark, folder), driver.panels(spark, folder))
+    tables = {"solar": solar, "consumption": _linear_consumption(spark, folder), "tariff": _linear_tariff(spark, folder)}
+    writers.write_forecasts(tables, target, day)
+    rows = decisions.next_hour_decision(*[writers.read_forecasts(spark, target, name, day) for name in tables])
+    return shown(rows.select(
+        SITE, "solar_1h", "energy_1h", "solar_label", "inputs_ready", "state", "surplus_kwh", "deficit_kwh", "sell_hour",
+        "max_tariff", "sell_revenue", "import_cost", "cheap_hour_label",
+    ))
+
+
 def ml_solar_3h(spark: SparkSession, folder: str) -> DataFrame:
-    return solar_3h(driver.readings(spark, folder), driver.panels(spark, folder))
+    """Three hours of every site with enough readings from fitted trees. `sound`: energy and category follow from an
+    irradiance that isn't negative."""
+    panels = driver.panels(spark, folder)
+    forecast = validate.default_panels(solar_3h(driver.readings(spark, folder), panels), panels)
+    energy = F.col("ghi_wm2") * F.col("area_m2") * F.col("efficiency") / 1000
+    near = F.abs(F.col("energy_kwh") - energy) <= 0.005 * F.col("area_m2") * F.col("efficiency") / 1000 + 0.0001
+    sound = (F.col("ghi_wm2") >= 0) & (F.col("ghi_wm2") < 3000) & near & (F.col("category") == scalars.irradiance_category("ghi_wm2"))
+    return forecast.select(SITE, "step", "ts", F.coalesce(sound, F.lit(False)).alias("sound"))
 
 
 def ml_consumption_24h(spark: SparkSession, folder: str) -> DataFrame:
-    return consumption_24h(driver.consumption(spark, folder))
+    """24 hours of every household from fitted trees. `sound`: at or above the floor, and no more than twice what was seen."""
+    readings = driver.consumption(spark, folder)
+    most = readings.agg(F.max("kw")).first()[0]
+    sound = (F.col("kwh") >= resample.PROFILE_FLOOR) & (F.col("kwh") <= 2 * (most or 0.0))
+    return consumption_24h(readings).select(SITE, "step", "ts", F.coalesce(sound, F.lit(False)).alias("sound"))
 
 
 def ml_tariff_12h(spark: SparkSession, folder: str) -> DataFrame:
-    return tariff_12h(driver.tariff_conditions(spark, folder))
+    """12 hours of every priced site from a fitted score. `sound`: within the band around the site's average price."""
+    conditions = driver.tariff_conditions(spark, folder)
+    current = validate.priced(tf.tariff_bounds(series.last_row(conditions)))[0].select(SITE, "hist_avg", "demand")
+    low, high = (F.greatest(F.lit(1.0), F.least(F.lit(25.0), scalars.tariff_band(F.lit(x), "hist_avg", "demand"))) for x in (-1e3, 1e3))
+    rows = tariff_12h(conditions).join(current, SITE)
+    return rows.select(SITE, "step", "hour", F.coalesce(F.col("tariff").between(low - 1e-9, high + 1e-9), F.lit(False)).alias("sound"))
 
 
 QUERIES: dict[str, Query] = {
@@ -550,6 +638,13 @@ QUERIES: dict[str, Query] = {
     "recommendations": recommendations,
     "best_windows": best_windows,
     "chart_tables": chart_tables,
+    "scaled_features": scaled_features,
+    "feature_ranks": feature_ranks,
+    "stacked_vector": stacked_vector,
+    "linear_solar_3h": linear_solar_3h,
+    "linear_consumption_24h": linear_consumption_24h,
+    "linear_tariff_12h": linear_tariff_12h,
+    "fitted_decisions": fitted_decisions,
     "ml_solar_3h": ml_solar_3h,
     "ml_consumption_24h": ml_consumption_24h,
     "ml_tariff_12h": ml_tariff_12h,

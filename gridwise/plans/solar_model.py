@@ -1,48 +1,53 @@
 """Solar forecast with fitted models: scale, look back 12 rows, stack base models, select, one model per hour.
 
-Everything is fitted on all sites together. The feature table is kept once and read by each fit.
+Everything is fitted on all sites together. The feature table is kept once and read by each fit. A lookback vector has 924
+elements; which of them count is found from lagged columns, so vectors are only built of the chosen ones.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Model
-from pyspark.ml.feature import RobustScaler, UnivariateFeatureSelector, VectorAssembler, VectorSlicer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, WindowSpec, functions as F
 
 from gridwise.functions.scalars import add_hours
 from gridwise.operators.forecasts import SOLAR_HORIZON, solar_energy
-from gridwise.operators.series import last_n_rows, micros
+from gridwise.operators.series import last_n_rows, micros, over_series
 from gridwise.operators.solar_features import all_lookbacks, last_lookback, solar_features
+from gridwise.operators.statistics import Scale, exact_quantiles, fit_linear, fit_scale, lagged_ranks
 from gridwise.operators.validate import LOOKBACK, fill_missing_features, MIN_READINGS_EFFECTIVE, min_rows, missing_sensor, require_complete
 from gridwise.schemas import FEATURES, SITE
 from gridwise.sources.models import load_models, save_models
 
-# Features kept by each of the three selection tests.
+# Elements kept by each of the three selection tests; the trees choose among twice as many of each of the others.
 TOP_PER_TEST = 32
-BINS = 8
 SEED = 7
+WIDTH = LOOKBACK * len(FEATURES)
 
 
 @dataclass
 class SolarModels:
-    scaler: Model
-    target: Model
+    scale: Scale
+    target: Scale
     horizons: list[Model]
     bases: list[Model] = field(default_factory=list)
+    # Places in the lookback vector with one prediction per base model appended that the horizons use; None for all.
     selected: list[int] | None = None
+    # Places in the lookback vector that the base models were fitted on, in order; None for all.
+    elements: list[int] | None = None
     # Names in the order in which the models were fitted.
     features: list[str] = field(default_factory=lambda: list(FEATURES))
 
     def save(self, spark: SparkSession, folder: str) -> None:
-        parts = {"scaler": self.scaler, "target": self.target}
-        parts.update({f"base_{i}": m for i, m in enumerate(self.bases)})
+        parts = {f"base_{i}": m for i, m in enumerate(self.bases)}
         parts.update({f"hour_{h}": m for h, m in enumerate(self.horizons, 1)})
-        save_models(spark, folder, parts, {"selected": self.selected, "features": self.features})
+        values = {"selected": self.selected, "elements": self.elements, "features": self.features}
+        save_models(spark, folder, parts, {**values, "scale": asdict(self.scale), "target": asdict(self.target)})
 
 
 def load_solar_models(spark: SparkSession, folder: str) -> SolarModels:
@@ -50,32 +55,33 @@ def load_solar_models(spark: SparkSession, folder: str) -> SolarModels:
     parts, values = load_models(spark, folder)
     bases = [parts[k] for k in sorted(k for k in parts if k.startswith("base_"))]
     horizons = [parts[f"hour_{h}"] for h in range(1, SOLAR_HORIZON + 1)]
-    return SolarModels(parts["scaler"], parts["target"], horizons, bases, values["selected"], values["features"])
+    scale, target = Scale(**values["scale"]), Scale(**values["target"])
+    return SolarModels(scale, target, horizons, bases, values["selected"], values["elements"], values["features"])
 
 
-def assemble(features: DataFrame, names: list[str] = FEATURES) -> DataFrame:
-    return VectorAssembler(inputCols=names, outputCol="raw_features").transform(features)
+def place(feature: str, lag: int = 0, names: list[str] = FEATURES) -> int:
+    """The place of a feature `lag` rows back in a lookback vector, whose oldest row comes first."""
+    return (LOOKBACK - 1 - lag) * len(names) + names.index(feature)
 
 
-def scale_features(features: DataFrame, scaler: Model, names: list[str] = FEATURES) -> DataFrame:
+def scale_features(features: DataFrame, scale: Scale, names: list[str] = FEATURES) -> DataFrame:
     """(site_id, ts, GHI, x) with x the scaled features as an array."""
-    scaled = scaler.transform(assemble(features, names))
-    return scaled.select(SITE, "ts", "GHI", vector_to_array("x_scaled").alias("x"))
+    return features.select(SITE, "ts", "GHI", F.array(*[scale.scaled(F.col(c), i) for i, c in enumerate(names)]).alias("x"))
 
 
-def scale_target(windows: DataFrame, target: Model) -> DataFrame:
-    """`label_h` for each hour, in the scale the models are fitted on."""
-    middle, width = _middle_and_width(target)
-    labels = {f"label_{h}": (F.col(f"y{h}") - middle) / width for h in range(1, SOLAR_HORIZON + 1)}
-    return windows.withColumns(labels)
+def fit_scales(features: DataFrame) -> tuple[Scale, Scale]:
+    """The scales of the features and of the irradiance."""
+    both = fit_scale(features, [*FEATURES, "GHI"])
+    return Scale(both.middle[:-1], both.width[:-1]), Scale(both.middle[-1:], both.width[-1:])
 
 
-def _middle_and_width(scaler: Model) -> tuple[float, float]:
-    return float(scaler.median[0]), float(scaler.range[0]) or 1.0
+def scale_target(windows: DataFrame, target: Scale) -> DataFrame:
+    """`label_h` for each hour, in the scale the models are fitted on."""
+    return windows.withColumns({f"label_{h}": target.scaled(F.col(f"y{h}")) for h in range(1, SOLAR_HORIZON + 1)})
 
 
 def stack_meta(df: DataFrame, bases: list[Model]) -> DataFrame:
-    """`stacked`: the lookback vector with one prediction per base model appended."""
+    """`stacked`: the vector `features` with one prediction per base model appended."""
     if not bases:
         return df.withColumnRenamed("features", "stacked")
     for model in bases:
@@ -85,11 +91,16 @@ def stack_meta(df: DataFrame, bases: list[Model]) -> DataFrame:
     return stacked.drop("features", *meta)
 
 
-def hstack_select(df: DataFrame, selected: list[int] | None) -> DataFrame:
+def hstack_select(df: DataFrame, selected: list[int] | None, elements: list[int] | None = None) -> DataFrame:
+    """`chosen`: the `selected` places of the whole stacked vector, of which `stacked` has the `elements` and what was
+    appended."""
     if selected is None:
         return df.withColumnRenamed("stacked", "chosen")
-    sliced = VectorSlicer(inputCol="stacked", outputCol="chosen", indices=selected).transform(df)
-    return sliced.drop("stacked")
+    at = selected
+    if elements is not None:
+        held = {e: i for i, e in enumerate(elements)}
+        at = [held[p] if p < WIDTH else len(elements) + p - WIDTH for p in selected]
+    return VectorSlicer(inputCol="stacked", outputCol="chosen", indices=at).transform(df).drop("stacked")
 
 
 def fit_bases(train: DataFrame) -> list[Model]:
@@ -106,57 +117,54 @@ def fit_bases(train: DataFrame) -> list[Model]:
     return [e.fit(train) for e in estimators]
 
 
-def mutual_information(df: DataFrame, vector: str, label: str) -> DataFrame:
-    """Mutual information of each element with the label, both cut into 8 bins: (pos, mi).
+def element_ranks(rows: DataFrame, target: Scale) -> DataFrame:
+    """(lag, column, f, mi) of every element of the lookback vectors that models are fitted on, for the next hour."""
+
+    def label(df: DataFrame, w: WindowSpec) -> DataFrame:
+        whole = F.lag("ts", LOOKBACK - 1).over(w).isNotNull() & F.lead("GHI", SOLAR_HORIZON).over(w).isNotNull()
+        return df.withColumn("y", F.when(whole, target.scaled(F.lead("GHI", 1).over(w))))
 
-    Counts per (element, bin, label bin) are combined before the shuffle; their number does not depend on the rows.
-    """
+    return lagged_ranks(over_series(rows, label, LOOKBACK - 1, SOLAR_HORIZON), LOOKBACK)
 
-    def binned(x):
-        return F.least(F.greatest(F.floor(x * 2) + BINS // 2, F.lit(0)), F.lit(BINS - 1)).cast("int")
 
-    cells = (
-        df.select(F.posexplode(F.transform(vector_to_array(vector), binned)).alias("pos", "bin"), binned(F.col(label)).alias("y"))
-        .groupBy("pos", "bin", "y").agg(F.count("*").alias("n"))
-    )
-    w = Window.partitionBy("pos")
-    total, in_bin, in_y = F.sum("n").over(w), F.sum("n").over(w.partitionBy("pos", "bin")), F.sum("n").over(w.partitionBy("pos", "y"))
-    terms = cells.withColumn("term", F.col("n") / total * F.log(F.col("n") * total / (in_bin * in_y)))
-    return terms.groupBy("pos").agg(F.sum("term").alias("mi"))
+def best_elements(ranks: DataFrame, test: str, most: int) -> list[int]:
+    """The places of the `most` best elements; ties go to the latest row, then to the first column."""
+    best = ranks.orderBy(F.desc(test), "lag", "column").limit(most).collect()
+    return [(LOOKBACK - 1 - r["lag"]) * len(FEATURES) + r["column"] for r in best]
 
 
-def select_features(train: DataFrame, always: list[int]) -> list[int]:
-    """Union of the best elements by F-test, by mutual information and by boosted-tree importance."""
-    f_test = UnivariateFeatureSelector(
-        featuresCol="stacked", labelCol="label_1", outputCol="by_f", selectionMode="numTopFeatures"
-    ).setFeatureType("continuous").setLabelType("continuous").setSelectionThreshold(TOP_PER_TEST)
-    by_f = f_test.fit(train).selectedFeatures
-    # A fixed number of rows: the best elements only.
-    by_mi = [r["pos"] for r in mutual_information(train, "stacked", "label_1").orderBy(F.desc("mi"), "pos").take(TOP_PER_TEST)]
+def select_features(train: DataFrame, by_f: list[int], by_mi: list[int], elements: list[int], metas: int) -> list[int]:
+    """Union of the best elements by F-test, by mutual information and by boosted-tree importance, and all predictions of
+    base models."""
     trees = GBTRegressor(featuresCol="stacked", labelCol="label_1", maxIter=4, maxDepth=3, maxBins=16, seed=SEED).fit(train)
     weights = trees.featureImportances
-    by_tree = [int(i) for i in weights.indices[weights.values.argsort()[::-1]][:TOP_PER_TEST]]
-    return sorted({*map(int, by_f), *by_mi, *by_tree, *always})
+    whole = [*elements, *range(WIDTH, WIDTH + metas)]
+    by_tree = [whole[int(i)] for i in weights.indices[weights.values.argsort()[::-1]][:TOP_PER_TEST]]
+    return sorted({*by_f, *by_mi, *by_tree, *range(WIDTH, WIDTH + metas)})
+
+
+def training_windows(rows: DataFrame, target: Scale, elements: list[int]) -> tuple[DataFrame, DataFrame]:
+    """The chosen elements of all lookback vectors as `features`, with labels: the earlier half of the times and the later."""
+    windows = scale_target(all_lookbacks(rows, SOLAR_HORIZON, elements=elements), target)
+    windows = windows.withColumn("features", array_to_vector("lookback")).drop("lookback").persist(StorageLevel.MEMORY_AND_DISK)
+    middle = exact_quantiles(windows.select(micros("ts").cast("double").alias("ts")), ["ts"], [0.5])["ts"][0]
+    return windows.where(micros("ts") <= middle), windows.where(micros("ts") > middle)
 
 
 def fit_solar(features: DataFrame) -> SolarModels:
     """Fit on a feature table. Base models see the earlier half of the time range, the rest the later half."""
-    scaler = RobustScaler(inputCol="raw_features", outputCol="x_scaled", withCentering=True).fit(assemble(features))
-    rows = scale_features(features, scaler)
-    target_rows = VectorAssembler(inputCols=["GHI"], outputCol="y").transform(features.select("GHI"))
-    target = RobustScaler(inputCol="y", outputCol="y_scaled", withCentering=True).fit(target_rows)
-
-    windows = scale_target(all_lookbacks(rows, SOLAR_HORIZON), target)
-    windows = windows.withColumn("features", array_to_vector("lookback")).drop("lookback")
-    windows = windows.persist(StorageLevel.MEMORY_AND_DISK)
-    middle = windows.agg(F.percentile_approx(micros("ts"), 0.5)).first()[0]
-    early, late = windows.where(micros("ts") <= middle), windows.where(micros("ts") > middle)
+    scale, target = fit_scales(features)
+    rows = scale_features(features, scale)
+    ranks = element_ranks(rows, target).persist()
+    by_f, by_mi = (best_elements(ranks, test, 2 * TOP_PER_TEST) for test in ("f", "mi"))
+    ranks.unpersist()
+    elements = sorted({*by_f, *by_mi})
+    early, late = training_windows(rows, target, elements)
 
     bases = fit_bases(early)
     stacked = stack_meta(late, bases).persist(StorageLevel.MEMORY_AND_DISK)
-    width = LOOKBACK * len(FEATURES)
-    selected = select_features(stacked, always=list(range(width, width + len(bases))))
-    chosen = hstack_select(stacked, selected)
+    selected = select_features(stacked, by_f[:TOP_PER_TEST], by_mi[:TOP_PER_TEST], elements, len(bases))
+    chosen = hstack_select(stacked, selected, elements)
     horizons = [
         GBTRegressor(
             featuresCol="chosen", labelCol=f"label_{h}", predictionCol=f"hour_{h}", maxIter=8, maxDepth=3, maxBins=16, seed=SEED
@@ -164,23 +172,40 @@ def fit_solar(features: DataFrame) -> SolarModels:
         for h in range(1, SOLAR_HORIZON + 1)
     ]
     stacked.unpersist()
-    windows.unpersist()
-    return SolarModels(scaler, target, horizons, bases, selected)
+    early.unpersist()
+    return SolarModels(scale, target, horizons, bases, selected, elements)
+
+
+def fit_linear_solar(features: DataFrame, bases: list[int], selected: list[int]) -> SolarModels:
+    """The same stack in closed form: a line on each of some elements as base models, least squares on the selected places
+    of the stacked vector for each hour."""
+    scale, target = fit_scales(features)
+    elements = sorted({*bases, *(p for p in selected if p < WIDTH)})
+    early, late = training_windows(scale_features(features, scale), target, elements)
+    lines = [fit_linear(early, "features", [elements.index(p)], "label_1", f"meta_{p}") for p in bases]
+    chosen = hstack_select(stack_meta(late, lines), selected, elements)
+    every = list(range(len(selected)))
+    horizons = [fit_linear(chosen, "chosen", every, f"label_{h}", f"hour_{h}") for h in range(1, SOLAR_HORIZON + 1)]
+    early.unpersist()
+    return SolarModels(scale, target, horizons, lines, selected, elements)
+
+
+def last_chosen(features: DataFrame, models: SolarModels) -> DataFrame:
+    """(site_id, last_ts, chosen): what the horizons look at for the last row of each site with a full lookback."""
+    # The few rows that are scored are cut out before they are scaled. They have the columns that the models know.
+    recent = last_n_rows(fill_missing_features(features, models.features, [SITE, "ts", "GHI"]), LOOKBACK)
+    last = last_lookback(scale_features(recent, models.scale, models.features), bounded=True)
+    held = F.col("lookback") if models.elements is None else F.array(*[F.col("lookback")[p] for p in models.elements])
+    vectors = last.withColumn("features", array_to_vector(held)).drop("lookback")
+    return hstack_select(stack_meta(vectors, models.bases), models.selected, models.elements)
 
 
 def solar_direct_3h(features: DataFrame, models: SolarModels) -> DataFrame:
     """(site_id, step, ts, ghi) for the three hours after the last row of each site."""
-    # The few rows that are scored are cut out before they are scaled. They have the columns that the models know.
-    recent = last_n_rows(fill_missing_features(features, models.features, [SITE, "ts", "GHI"]), LOOKBACK)
-    scaled = scale_features(recent, models.scaler, models.features)
-    last = last_lookback(scaled, bounded=True).withColumn("features", array_to_vector("lookback")).drop("lookback")
-    scored = hstack_select(stack_meta(last, models.bases), models.selected)
+    scored = last_chosen(features, models)
     for model in models.horizons:
         scored = model.transform(scored)
-    middle, width = _middle_and_width(models.target)
-    predicted = F.array(*[
-        F.greatest(F.col(model.getPredictionCol()) * width + middle, F.lit(0.0)) for model in models.horizons
-    ])
+    predicted = F.array(*[F.greatest(models.target.restored(F.col(model.getPredictionCol())), F.lit(0.0)) for model in models.horizons])
     steps = scored.select(SITE, "last_ts", F.posexplode(predicted).alias("pos", "ghi"))
     step = (F.col("pos") + 1).cast("int")
     return steps.select(SITE, step.alias("step"), add_hours("last_ts", step).alias("ts"), "ghi")
@@ -197,5 +222,4 @@ def solar_3h(readings: DataFrame, panels: DataFrame) -> DataFrame:
     """Fit on all readings and forecast every site with enough of them; `solar_rejected` has the others."""
     accepted, _ = min_rows(require_complete(readings), MIN_READINGS_EFFECTIVE)
     features = solar_features(accepted).persist(StorageLevel.MEMORY_AND_DISK)
-    models = fit_solar(features)
-    return solar_energy(solar_direct_3h(features, models), panels)
+    return solar_energy(solar_direct_3h(features, fit_solar(features)), panels)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridwise.functions.scalars import add_hours, clear_sky_index, solar_elevation
 from gridwise.operators.forecasts import SOLAR_HORIZON, consumption_history, profile_forecast, solar_energy
 from gridwise.operators.series import last_row
+from gridwise.operators.statistics import Scale
 from gridwise.operators.tariff import HORIZON, price_forecast
 from gridwise.operators.validate import priced
 from gridwise.plans.consumption_model import ConsumptionModels
@@ -80,11 +81,5 @@ class HalfOfLastError:
         return state.withColumn("next_error", F.element_at(vector_to_array("sequence"), -1) / 2)
 
 
-class FixedScale:
-    """Middle and width of the errors."""
-
-    median, range = [0.1], [2.0]
-
-
 def consumption_models() -> ConsumptionModels:
-    return ConsumptionModels(MeanOfLags(), FixedScale(), HalfOfLastError())
+    return ConsumptionModels(MeanOfLags(), Scale([0.1], [2.0]), HalfOfLastError())

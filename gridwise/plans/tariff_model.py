@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame, WindowSpec, functions as F
 
 from gridwise.functions.scalars import cyclic_encode, forecast_hour, tariff_score
 from gridwise.operators.series import last_n_rows, last_row, over_series
+from gridwise.operators.statistics import Linear, fit_linear
 from gridwise.operators.tariff import (
     FRAME_COLUMNS, FRAMES, HORIZON, TARIFF_LAGS, price_forecast, tariff_bounds, tariff_sequence,
 )
@@ -62,6 +65,12 @@ def fit_tariff(conditions: DataFrame) -> Model:
     ).fit(train)
 
 
+def fit_linear_tariff(conditions: DataFrame, inputs: list[str]) -> Linear:
+    """The same in closed form: least squares on some of the inputs."""
+    train = VectorAssembler(inputCols=INPUTS, outputCol="inputs").transform(training_rows(conditions))
+    return fit_linear(train, "inputs", [INPUTS.index(c) for c in inputs], "label", "raw")
+
+
 def recent_prices(conditions: DataFrame) -> DataFrame:
     """The last prices of each site, latest first: what the lags of the 24 frames can reach."""
     prices = conditions.where("historical_avg_tariff IS NOT NULL").select(SITE, "ts", "historical_avg_tariff")
@@ -81,8 +90,7 @@ def tariff_scores(current: DataFrame, prices: DataFrame, model: Model) -> DataFr
     return scored.select(SITE, "hour", "hist_avg", "demand", "step", "raw")
 
 
-def tariff_12h(conditions: DataFrame) -> DataFrame:
+def tariff_12h(conditions: DataFrame, fit: Callable[[DataFrame], Model] = fit_tariff) -> DataFrame:
     """Fit on all past conditions and forecast every site whose latest ones name an average price."""
     current, _ = priced(tariff_bounds(last_row(conditions)))
-    model = fit_tariff(conditions)
-    return price_forecast(tariff_scores(current, recent_prices(conditions), model))
+    return price_forecast(tariff_scores(current, recent_prices(conditions), fit(conditions)))

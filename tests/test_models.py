@@ -60,8 +60,8 @@ def test_solar_forecast(spark, readings, solar, tmp_path):
 
 def test_solar_without_bases_and_selection(spark, solar):
     features, models = solar
-    plain = sm.SolarModels(models.scaler, models.target, [])
-    windows = sm.scale_features(features, models.scaler)
+    plain = sm.SolarModels(models.scale, models.target, [])
+    windows = sm.scale_features(features, models.scale)
     from gridwise.operators.solar_features import last_lookback
     from pyspark.ml.functions import array_to_vector
 
@@ -70,14 +70,14 @@ def test_solar_without_bases_and_selection(spark, solar):
     assert chosen.select("chosen").first()[0].size == 12 * len(FEATURES)
 
 
-def test_mutual_information_finds_the_informative_element(spark):
-    df = spark.range(2000).select(
-        F.sin("id").alias("y"), F.array(F.cos(F.col("id") * 7.3), F.sin("id") * 1.1, F.lit(0.5)).alias("a")
-    )
-    from pyspark.ml.functions import array_to_vector
-
-    got = {r["pos"]: r["mi"] for r in sm.mutual_information(df.withColumn("v", array_to_vector("a")), "v", "y").collect()}
-    assert got[1] > 1.0 and got[1] > 5 * got[0] and got[2] == pytest.approx(0, abs=1e-12)
+def test_selection_holds_the_best_of_each_test(solar):
+    features, models = solar
+    scale, target = sm.fit_scales(features)
+    assert (scale, target) == (models.scale, models.target)
+    ranks = sm.element_ranks(sm.scale_features(features, scale), target).cache()
+    for test in ("f", "mi"):
+        assert set(sm.best_elements(ranks, test, sm.TOP_PER_TEST)) <= set(models.selected)
+    assert {p for p in models.selected if p < sm.WIDTH} <= set(models.elements) and len(models.elements) <= 4 * sm.TOP_PER_TEST
 
 
 @pytest.fixture(scope="module")
