@@ -70,9 +70,11 @@ def ranks_at(path: str) -> dict[bytes, int]:
 
 
 def token_bytes(path: str) -> np.ndarray:
-    """Bytes of each token by its id."""
+    """Bytes of each token by its id; the ids of a vocabulary have no gaps."""
     ranks = ranks_at(path)
-    table = np.empty(max(ranks.values(), default=-1) + 1, object)
+    if sorted(ranks.values()) != list(range(len(ranks))):
+        raise ValueError(f"the ids in {path} have gaps")
+    table = np.empty(len(ranks), object)
     for token, rank in ranks.items():
         table[rank] = token
     return table
@@ -248,7 +250,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """`encoded` with the bytes of its ids, null for null ids; a column named `decoded` is replaced."""
+    """`encoded` with the bytes of its ids, null for null ids; a column named `decoded` is replaced.
+
+    An id that the vocabulary doesn't have, or a null among the ids, ends the job.
+    """
     rest = [c for c in encoded.columns if c != decoded]
     at = rest.index(ids)
 
@@ -256,7 +261,11 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", decoded: str = "deco
         tokens = once("bpe tokens", path, lambda: token_bytes(path))
         for batch in batches:
             lists = batch.column(at)
-            each = tokens[lists.flatten().to_numpy(zero_copy_only=False)]
+            flat = lists.flatten()
+            unknown = flat.filter(pc.fill_null(pc.or_(pc.less(flat, 0), pc.greater_equal(flat, len(tokens))), True))
+            if len(unknown):
+                raise ValueError(f"no token has the id {unknown[0]}")
+            each = tokens[flat.to_numpy(zero_copy_only=False)]
             ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).tolist()
             found = [b"".join(each[a:b].tolist()) if valid else None for a, b, valid in zip([0, *ends], ends, lists.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*rest, decoded])

@@ -5,6 +5,9 @@ children's densities have the largest sum is taken; the lowest density between i
 other subtrees on the way must reach to belong to the text. Where an article (or else main) element lies on the way, the
 outermost is taken whole instead of the node; the threshold holds for what lies beside it.
 
+Menus, forms, notices and the like go by tag, role or class name first. A class name alone doesn't decide: an element that
+holds an article, or on a page without one more than half of the text, is a frame around it and stays, also if it is a form.
+
 Null or empty html gives an empty text; so does a page without text outside of menus, forms and the like. Pages are
 independent rows: nothing is shuffled, and the longest page bounds the memory of a task.
 """
@@ -33,11 +36,21 @@ DROPPED = frozenset(
     "aside audio button canvas datalist dialog embed footer form head iframe input label math menu meter nav noembed noframes"
     " noscript object output progress script select style svg template textarea title video xmp".split()
 )
+# Names that say furniture wherever they stand in a class or id, and names that say so only where the whole class is made of
+# such names and of words for parts of a layout.
 FURNITURE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner sidebar"
-    " sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices"
-    " popup modal overlay newsletter subscribe subscription signup share sharing social related recommended comment"
-    " comments commentlist disqus reply replies respond pagination pager toolbar widget copyright login".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors sidebar sidenav menu nav navbar"
+    " navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr newsletter comment comments commentlist"
+    " disqus replies respond pagination pager".split()
+)
+OFTEN = frozenset(
+    "promo promotion banner notice notices popup modal overlay subscribe subscription signup share sharing social related"
+    " recommended reply toolbar widget copyright login".split()
+)
+LAYOUT = frozenset(
+    "area bar block body bottom box btn button buttons card col column container content count feed footer form group header"
+    " heading icon icons inner item items left link links list main message middle module more outer page panel post posts right"
+    " row section side site slot story stories strip text title top unit wrap wrapper x".split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 # What the start of an element ends besides an open paragraph, unless one of `HOLDERS` lies between.
@@ -62,11 +75,11 @@ class Page:
     """Elements in document order. `last[i]` is the last element inside element i; `texts` has (element, text)."""
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.last, self.off = ["#root"], [0], [0], [False]
+        self.tag, self.parent, self.last, self.off = ["#root"], [0], [0], [0]
         self.texts: list[tuple[int, str]] = []
         self._parse(source)
 
-    def _open(self, stack: list[int], name: str, off: bool) -> int:
+    def _open(self, stack: list[int], name: str, off: int) -> int:
         i = len(self.tag)
         self.tag.append(name)
         self.parent.append(stack[-1])
@@ -100,7 +113,7 @@ class Page:
                 continue
             if name in BLOCK:
                 self._imply(stack, name)
-            i = self._open(stack, name, name in DROPPED or furniture(name, found["rest"] or found["rest2"] or ""))
+            i = self._open(stack, name, furniture(name, found["rest"] or found["rest2"] or ""))
             if name in BLOCK or name == "br":
                 self.texts.append((i, " "))
             if name in RAW:
@@ -143,23 +156,54 @@ class Page:
                 return
 
 
-def furniture(name: str, attributes: str) -> bool:
-    """Whether an element's class, id, role or visibility says that it isn't part of the text."""
+NAMED, HIDDEN = 1, 2
+
+
+def furniture(name: str, attributes: str) -> int:
+    """Whether an element's class or id (NAMED) or its role or visibility (HIDDEN) says that it isn't part of the text."""
     if not attributes or name in ("html", "body", "main", "article"):
-        return False
+        return 0
+    named = 0
     for mark, *values in MARKS.findall(attributes):
         mark, value = mark.lower(), "".join(values).lower()
         if mark in ("class", "id"):
-            if FURNITURE.intersection(WORD.findall(NOT_REALLY.sub(" ", value))):
-                return True
+            if any(map(names_furniture, NOT_REALLY.sub(" ", value).split())):
+                named = NAMED
         elif mark == "role":
             if value.strip() in ROLES:
-                return True
+                return HIDDEN
         elif mark == "hidden" or mark == "aria-hidden" and value == "true":
-            return True
+            return HIDDEN
         elif mark == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return HIDDEN
+    return named
+
+
+def names_furniture(token: str) -> bool:
+    """Whether a class says furniture: `comments`, `user-comments`, `share-bar`, but not `share-prices` or `login-guide`."""
+    words = set(WORD.findall(token))
+    return bool(words & FURNITURE) or bool(words & OFTEN) and words <= OFTEN | LAYOUT
+
+
+def frames(page: Page) -> list[bool]:
+    """Elements that stay although their names or tags say furniture: those that hold an article, or, on a page without one,
+    more than half of the text, which isn't mostly links."""
+    n = len(page.tag)
+    holds = [name in ("article", "main") for name in page.tag]
+    chars, linked = [0] * n, [0] * n
+    for i, text in page.texts:
+        chars[i] += len("".join(text.split()))
+    for i in range(n - 1, 0, -1):
+        p = page.parent[i]
+        holds[p] = holds[p] or holds[i]
+        if page.tag[i] == "a":
+            linked[i] = chars[i]
+        if page.tag[i] not in DROPPED - {"form"} and page.off[i] != HIDDEN:
+            chars[p] += chars[i]
+            linked[p] += linked[i]
+    if holds[0]:
+        return holds
+    return [2 * c > chars[0] and 2 * l <= c for c, l in zip(chars, linked)]
 
 
 def densities(page: Page, off: list[bool], body: int) -> tuple[list[float], list[float]]:
@@ -201,7 +245,9 @@ def main_text(source: str | None) -> str:
         return ""
     page = Page(source)
     n = len(page.tag)
-    # Furniture by name that holds an article is a frame around it, so it stays; what lies in dropped elements goes.
+    # Furniture by name that is a frame around the text stays; what lies in dropped elements goes. Of a form only the controls
+    # go where it is a frame.
+    frame = frames(page)
     holds = [name in ("article", "main") for name in page.tag]
     for i in range(n - 1, 0, -1):
         if holds[i]:
@@ -209,10 +255,11 @@ def main_text(source: str | None) -> str:
     inside = [False] * n
     off = [False] * n
     for i in range(1, n):
-        p = page.parent[i]
-        inside[i] = inside[p] or page.tag[i] in ("article", "main")
-        by_name = page.off[i] and (page.tag[i] in DROPPED or not holds[i]) or page.tag[i] == "header" and not inside[i] and not holds[i]
-        off[i] = off[p] or by_name
+        p, tag = page.parent[i], page.tag[i]
+        inside[i] = inside[p] or tag in ("article", "main")
+        gone = tag in DROPPED and (tag != "form" or not frame[i])
+        gone = gone or page.off[i] == HIDDEN and not holds[i] or page.off[i] == NAMED and not frame[i]
+        off[i] = off[p] or gone or tag == "header" and not inside[i] and not holds[i]
     body = next((i for i in range(n) if page.tag[i] == "body" and not off[i]), 0)
     density, total = densities(page, off, body)
     best = max(range(n), key=lambda i: (total[i] if body <= i <= page.last[body] and not off[i] else -1.0, -i))

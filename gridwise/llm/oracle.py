@@ -35,14 +35,14 @@ def _license_sql() -> str:
 
 SQL: dict[str, str] = {
     "op2_exact_top_k": """
-    WITH v AS (
-      SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+    WITH v AS MATERIALIZED (
+      SELECT row_number() OVER () AS r, vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
       WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
         AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
     s AS (
-      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-      FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
-    SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+      SELECT q.r AS query, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+      FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.r <> c.r)
+    SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
                           vec_id, score FROM s) WHERE rank <= 5""",
     "op6_licenses": _license_sql(),
     "op12_hard_negatives": """

@@ -155,12 +155,31 @@ def battery(token: Column, encoding: Column) -> Column:
     return let(F.struct(letters.alias("x"), size.alias("a")), combined)
 
 
+def rests(text: Column, run: Column, base: Column) -> Column:
+    """What lies outside of base spans in a run, without the separators next to them; stretches below 20 characters go."""
+    def cut(inside: Column) -> Column:
+        ends = F.concat(F.array(run.start), F.transform(inside, lambda b: b.end))
+        starts = F.concat(F.transform(inside, lambda b: b.start), F.array(run.end))
+        # Base spans may overlap: a stretch starts after the furthest end so far.
+        gaps = F.transform(starts, lambda end, i: F.struct(F.array_max(F.slice(ends, 1, i + 1)).alias("start"), end.alias("end"), i.alias("i")))
+        bare = F.transform(F.filter(gaps, lambda g: g.end - g.start >= 20), lambda g: let(
+            F.substr(text, g.start + 1, g.end - g.start), lambda t: F.struct(
+                (g.start + F.when(g.i > 0, F.length(t) - F.length(F.regexp_replace(t, "^[+/_=-]+", ""))).otherwise(0)).alias("start"),
+                (g.end - F.when(g.i < F.size(inside), F.length(t) - F.length(F.regexp_replace(t, "[+/_-]+$", ""))).otherwise(0)).alias("end"),
+            )
+        ))
+        spans = F.transform(bare, lambda g: F.struct(
+            g.start.alias("start"), run["rank"].alias("rank"), g.end.alias("end"), run.kind.alias("kind"), (g.end - g.start).alias("size")
+        ))
+        return F.filter(spans, lambda s: s.size >= 20)
+
+    inside = F.filter(base, lambda b: (b.start < run.end) & (run.start < b.end))
+    return F.when(F.exists(base, lambda b: (b.start < run.end) & (run.start < b.end)), let(inside, cut)).otherwise(F.array(run))
+
+
 def candidates(text: Column, base: Column) -> Column:
-    """Runs of token characters with digits and letters, outside of base spans: start, end, stratum, bin, bits."""
-    runs = F.filter(
-        located(text, TOKEN, 0, RANDOM, len(BASE)),
-        lambda s: ~F.exists(base, lambda b: (b.start < s.end) & (s.start < b.end)),
-    )
+    """Runs of token characters with digits and letters, and what base spans leave of them: start, end, stratum, bin, bits."""
+    runs = F.flatten(F.transform(located(text, TOKEN, 0, RANDOM, len(BASE)), lambda s: rests(text, s, base)))
 
     def tested(span: Column) -> Column:
         return let(F.substr(text, span.start + 1, span.end - span.start), lambda token: let(

@@ -5,7 +5,8 @@ lower bound of the distance of two vectors, and so an upper bound of their inner
 candidates in the order of that bound and stops once no bound reaches its k-th best score.
 
 Rows with a null id, a null vector, or null or non-finite components take no part; only vectors of a query's dimension
-are compared with it. Ties go to the smaller id, repeated rows count each, fewer candidates than k give fewer rows. Blocks
+are compared with it. Every row is a row of its own: of two rows with one id, each is a candidate of the other, and each has
+its own ranks if it is a query. Ties go to the smaller id, fewer candidates than k give fewer rows. Blocks
 are dealt by a hash of the row, so equal vectors don't meet in one task, and a block's size is fixed.
 """
 
@@ -17,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gridwise.llm.common import stored
+
 CANDIDATES_PER_BLOCK = 4096
 QUERIES_PER_BLOCK = 4096
 DIMENSIONS = 8
@@ -45,7 +48,7 @@ def with_pivot_distances(rows: DataFrame, pivots: dict[int, np.ndarray]) -> Data
             ]
             yield frame.assign(v=[np.asarray(v, "<f8").tobytes() for v in frame["v"]], d=[x.tobytes() for x in distances])
 
-    return rows.mapInPandas(run, "id long, v binary, d binary")
+    return rows.mapInPandas(run, "id long, v binary, row long, d binary")
 
 
 def stack(column: pd.Series) -> np.ndarray:
@@ -53,9 +56,9 @@ def stack(column: pd.Series) -> np.ndarray:
 
 
 def best_in_block(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> tuple[list[int], list[int], list[int], int]:
-    """Up to k (query, candidate, score) for each query within one block, and how many products that took."""
+    """Up to k (place of the query, candidate, score) for each query within one block, and how many products that took."""
     q, c, dq, dc = stack(queries["v"]), stack(block["v"]), stack(queries["d"]), stack(block["d"])
-    ids = block["id"].to_numpy()
+    ids, rows = block["id"].to_numpy(), block["row"].to_numpy()
     square = (c * c).sum(axis=1)
     out: tuple[list[int], list[int], list[int]] = ([], [], [])
     evaluated = 0
@@ -67,7 +70,7 @@ def best_in_block(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> tuple[l
         bound = np.abs(dc - dq[i]).max(axis=1, initial=0)
         upper = (mine + square - bound * bound) / 2
         upper += 1e-9 * (mine + square) + 0.5  # rounding; scores are integers
-        upper[ids == queries["id"].iat[i]] = -np.inf
+        upper[rows == queries["row"].iat[i]] = -np.inf
         order = np.argsort(-upper, kind="stable")
         order = order[: np.count_nonzero(upper > -np.inf)]
         scores, found, at, worst, step = [], [], 0, -np.inf, 4 * k
@@ -84,7 +87,7 @@ def best_in_block(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> tuple[l
                 scores, found = [x[0] for x in ranked], [x[1] for x in ranked]
                 worst = scores[-1]
         ranked = sorted(zip(scores, found), key=lambda x: (-x[0], x[1]))[:k]
-        out[0].extend([int(queries["id"].iat[i])] * len(ranked))
+        out[0].extend([i] * len(ranked))
         out[1].extend(x[1] for x in ranked)
         out[2].extend(x[0] for x in ranked)
     return *out, evaluated
@@ -99,8 +102,10 @@ def exact_top_k(
     The `pivots` rows with the lowest hashes of each dimension are pivots, for the `DIMENSIONS` most frequent dimensions;
     rows of other dimensions are compared without bounds.
     """
-    usable = quantised(vectors, id, vector, scale)
-    queries = quantised(vectors.where(is_query), id, vector, scale)
+    given = vectors.select(F.col(f"`{id}`").alias("id"), F.col(f"`{vector}`").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    numbered = quantised(given, "id", "vector", scale, ["asks"]).withColumn("row", F.monotonically_increasing_id())
+    usable = stored(numbered, "vectors")
+    queries, usable = usable.where("asks").drop("asks"), usable.drop("asks")
     sizes = usable.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").limit(DIMENSIONS)
     first = Window.partitionBy(F.size("v")).orderBy(F.xxhash64("v"), "id")
     chosen = usable.where(F.size("v").isin([r["n"] for r in sizes.collect()]))
@@ -112,7 +117,7 @@ def exact_top_k(
     left, right = with_pivot_distances(queries, table), with_pivot_distances(usable, table)
     blocks = max(1, -(-usable.count() // CANDIDATES_PER_BLOCK))
     query_blocks = max(1, -(-queries.count() // QUERIES_PER_BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n))
+    block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n))
     left = left.withColumn("qb", block(query_blocks)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
     right = right.withColumn("cb", block(blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")))
     left, right = (x.withColumn("dim", F.length("v")) for x in (left, right))
@@ -121,8 +126,11 @@ def exact_top_k(
         found: tuple = ([], [], [])
         if len(queries) and len(block):
             found = best_in_block(queries, block, k)[:3]
-        return pd.DataFrame({"query_id": found[0], "vec_id": found[1], "score": found[2]}).astype("int64")
+        asked = queries.iloc[found[0]]
+        return pd.DataFrame({
+            "query": asked["row"].to_numpy(), "query_id": asked["id"].to_numpy(), "vec_id": found[1], "score": found[2],
+        }).astype("int64")
 
-    pairs = left.groupBy("qb", "cb", "dim").cogroup(right.groupBy("qb", "cb", "dim")).applyInPandas(run, "query_id long, vec_id long, score long")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    pairs = left.groupBy("qb", "cb", "dim").cogroup(right.groupBy("qb", "cb", "dim")).applyInPandas(run, "query long, query_id long, vec_id long, score long")
+    ranked = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -53,7 +53,7 @@ def test_bounds_spare_products():
     points = np.floor(np.repeat(centre, 100, axis=0) + rng.normal(size=(2000, 8)) * 20)
     pivots = points[::100]
     frame = lambda x, first: pd.DataFrame({
-        "id": range(first, first + len(x)), "v": [r.tobytes() for r in x],
+        "id": range(first, first + len(x)), "row": range(first, first + len(x)), "v": [r.tobytes() for r in x],
         "d": [np.sqrt(((pivots - r) ** 2).sum(axis=1)).tobytes() for r in x],
     })
     *_, evaluated = topk.best_in_block(frame(points[:10], 5000), frame(points, 0), 5)
