@@ -342,7 +342,8 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, id: str = "doc_
     nodes = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        rows = nodes.join(wanted, "node", "left_semi").select("node", "row.k1", "row.k2")
+        # Stored, so that its size is known when the join with all texts is planned.
+        rows = stored(nodes.join(wanted, "node", "left_semi").select("node", "row.k1", "row.k2"), "representatives")
         keyed = docs.select(F.col(f"`{text}`").cast("string").alias("text"), *row_key(docs, id, text))
         return stored(keyed.join(rows, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
