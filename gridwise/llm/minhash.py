@@ -29,11 +29,12 @@ component id is the smallest id of a component, null if none of its rows has one
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridwise.llm.common import by_bytes, stored
 from gridwise.llm.components import components
@@ -51,6 +52,8 @@ REGION = 512
 LEAST_EQUAL = 76
 SEED = 42
 BATCH_BYTES = 2 << 20
+#: Rows of open regions, some of which carry a text, in a partition.
+ROWS_PER_PARTITION = 20_000
 FACTORS = np.array([xxhash.xxh64_intdigest(b"%d" % i, SEED) | 1 for i in range(VALUES)], np.uint64)[:, None]
 
 
@@ -314,20 +317,35 @@ def links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words_pe
     alone = F.coalesce("alone", F.lit(0)).cast("long").alias("alone")
     marked = nodes.join(wanted, "node").join(shingles_alone(texts, words_per_shingle), "node", "left")
     marked = stored(marked.select("node", "n_shingles", "signature", alone), "marked")
-    known, roots = None, None
-    for how in ("neighbours", "best", "all"):
-        if how == "neighbours":
-            rows = leaves(labelled(regions.where(F.col("t") < FIRST_TREES), None), marked)
-        else:
-            used = regions.where(F.col("t") < SECOND_TREES) if how == "best" else regions
-            rows = cells(open_regions(labelled(used, roots)))
-        some = stored(candidates(rows, marked, how), "candidates")
-        new = stored(confirmed(some, marked, texts, how, words_per_shingle), "links")
-        known = new if known is None else known.union(new)
-        roots = stored(components(known), "roots")
+    roots = None
+    with partitions_for(nodes.sparkSession, regions.count()):
+        for how in ("neighbours", "best", "all"):
+            if how == "neighbours":
+                rows = leaves(labelled(regions.where(F.col("t") < FIRST_TREES), None), marked)
+            else:
+                used = regions.where(F.col("t") < SECOND_TREES) if how == "best" else regions
+                rows = cells(open_regions(labelled(used, roots)))
+            some = stored(candidates(rows, marked, how), "candidates")
+            new = stored(confirmed(some, marked, texts, how, words_per_shingle), "links")
+            # The components so far are links to their roots, so that only what is new has to be followed.
+            known = new if roots is None else new.union(roots.where("node <> root").toDF("u", "v"))
+            roots = stored(components(known), "roots")
     return roots
 
 
+@contextmanager
+def partitions_for(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Shuffles of the jobs that run inside take as many partitions as the open regions' rows ask for, at most as many as the
+    session has: what is left of a large corpus is often little, and is gone through many times."""
+    setting = "spark.sql.shuffle.partitions"
+    given = spark.conf.get(setting)
+    spark.conf.set(setting, str(max(1, min(int(given), -(-rows // ROWS_PER_PARTITION)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, given)
+
+
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of `docs`: id, n_shingles (the size of its set), component_id and kept.
 
