@@ -30,10 +30,12 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from gridwise.llm.common import fresh, once
+from gridwise.llm.common import fresh, hand_back, once, tidied
 
 BLOCK_BYTES = 4 << 20
 MOST_BUCKETS = 4096
+#: Rows that are decoded at once.
+DECODED_ROWS = 256
 #: An encoder forgets its words beyond this number, which costs time only.
 MOST_WORDS = 200_000
 # Characters whose classes have been settled since long: Latin letters, dashes and quotation marks.
@@ -124,6 +126,7 @@ class Block:
         for text in texts:
             words = split(text) if text else []
             sequences.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
+        number.default_factory = None  # it holds the table, which would wait for the collector of cycles
         distinct = list(number)
         counts = np.bincount(np.concatenate([np.empty(0, np.uint32), *sequences]), minlength=len(distinct))
         order = np.argsort(-counts, kind="stable")
@@ -234,6 +237,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
             shift = starts[order] - (np.cumsum(many) - many)
             out.append(flat[np.repeat(shift, many) + np.arange(many.sum())])
             ends.append(ends[-1] + len(out[-1]))
+        hand_back()
         values = pa.array(np.concatenate(out).astype(np.int32))
         kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, type=kind)
@@ -241,34 +245,45 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     columns = [f"`{c}`" for c in rest]
     chosen = docs.select(F.col(f"`{text}`").cast("string").alias(fresh(rest, "text")), *columns)
-    dictionary = chosen.select(f"`{chosen.columns[0]}`").mapInArrow(words, WORD_ROWS).repartition("bucket").mapInArrow(encoded, ID_ROWS)
+    dictionary = chosen.select(f"`{chosen.columns[0]}`").mapInArrow(tidied(words), WORD_ROWS).repartition("bucket").mapInArrow(tidied(encoded), ID_ROWS)
     long, binary = F.lit(0).cast("long"), F.lit(b"")
     shape = docs.select(long.alias(b1), long.alias(b2), binary.alias(sequence), *columns).schema
-    left = chosen.mapInArrow(sequences, shape)
+    left = chosen.mapInArrow(tidied(sequences), shape)
     result = docs.select(*columns, F.array(F.lit(0)).alias(ids)).schema
     return left.groupBy(b1, b2).cogroup(dictionary.groupBy("b1", "b2")).applyInArrow(reassembled, result)
 
 
-def decode(encoded: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def decode(
+    encoded: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded", finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None,
+    schema: str = "",
+) -> DataFrame:
     """`encoded` with the bytes of its ids, null for null ids; a column named `decoded` is replaced.
 
-    An id that the vocabulary doesn't have, or a null among the ids, ends the job.
+    An id that the vocabulary doesn't have, or a null among the ids, ends the job. `finish` makes other columns, of the given
+    schema, of each batch in the same pass, where the bytes themselves aren't wanted.
     """
     rest = [c for c in encoded.columns if c != decoded]
     at = rest.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = once("bpe tokens", path, lambda: token_bytes(path))
-        for batch in batches:
-            lists = batch.column(at)
-            flat = lists.flatten()
-            unknown = flat.filter(pc.fill_null(pc.or_(pc.less(flat, 0), pc.greater_equal(flat, len(tokens))), True))
-            if len(unknown):
-                raise ValueError(f"no token has the id {unknown[0]}")
-            each = tokens[flat.to_numpy(zero_copy_only=False)]
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).tolist()
-            found = [b"".join(each[a:b].tolist()) if valid else None for a, b, valid in zip([0, *ends], ends, lists.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*rest, decoded])
+        for whole in batches:
+            for start in range(0, whole.num_rows, DECODED_ROWS):
+                batch = whole.slice(start, DECODED_ROWS)
+                found = pa.RecordBatch.from_arrays([*batch.columns, texts_of(tokens, batch.column(at))], names=[*rest, decoded])
+                yield finish(found) if finish else found
 
     columns = [f"`{c}`" for c in rest]
-    return encoded.select(*columns).mapInArrow(run, encoded.select(*columns, F.lit(b"").alias(decoded)).schema)
+    shape = schema if finish else encoded.select(*columns, F.lit(b"").alias(decoded)).schema
+    return encoded.select(*columns).mapInArrow(tidied(run), shape)
+
+
+def texts_of(tokens: np.ndarray, lists: pa.ListArray) -> pa.Array:
+    """The bytes that each list of ids stands for."""
+    flat = lists.flatten()
+    unknown = flat.filter(pc.fill_null(pc.or_(pc.less(flat, 0), pc.greater_equal(flat, len(tokens))), True))
+    if len(unknown):
+        raise ValueError(f"no token has the id {unknown[0]}")
+    each = tokens[flat.to_numpy(zero_copy_only=False)]
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).tolist()
+    return pa.array([b"".join(each[a:b].tolist()) if v else None for a, b, v in zip([0, *ends], ends, lists.is_valid().to_pylist())], pa.binary())

@@ -89,6 +89,18 @@ def hand_back() -> None:
         pass
 
 
+def tidied(run: Callable[[Iterator[Any]], Iterator[Any]]) -> Callable[[Iterator[Any]], Iterator[Any]]:
+    """`run`, after which a worker hands back what a task has freed; it waits for its next task with what it keeps only."""
+
+    def tidy(batches: Iterator[Any]) -> Iterator[Any]:
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return tidy
+
+
 def by_bytes(batches: Iterable[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that `column` holds about `most` bytes in each; a longer single row stays whole."""
     for batch in batches:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import public_tokenizers
 import pyarrow as pa
@@ -94,21 +94,20 @@ def token_digests(docs: DataFrame) -> DataFrame:
     """Encode the texts, decode the ids again, and give digests of both."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded, path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            flat, at = lists.flatten().to_numpy().astype("<u4"), 0
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
-            digests = []
-            for n in sizes:
-                digests.append(hashlib.sha256(flat[at : at + n].tobytes()).hexdigest())
-                at += n
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests), batch.column(2)], names=["doc_id", "n_tokens", "ids_sha256", "decoded"])
-
-    found = decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded binary")
-    return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+    def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists, decoded = batch.column(1), batch.column(2).to_pylist()
+        flat, at = lists.flatten().to_numpy().astype("<u4"), 0
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+        ids = []
+        for n in sizes:
+            ids.append(hashlib.sha256(flat[at : at + n].tobytes()).hexdigest())
+            at += n
+        texts = [hashlib.sha256(x).hexdigest() for x in decoded]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids), pa.array(texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    # Digests are taken where the ids are decoded, so that neither the bytes nor one more worker per task are needed.
+    return bpe.decode(encoded, path, finish=digests, schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
