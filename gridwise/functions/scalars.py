@@ -171,3 +171,10 @@ def tariff_badge(price: Column, low: Column, high: Column, mean: Column) -> Colu
 
 def bar_pct(price: Column, low: Column, high: Column) -> Column:
     return ((price - low) / F.greatest(high - low, F.lit(0.01)) * 100).cast("int")
+
+
+def full_time(ts: Column | str) -> Column:
+    """Date and time with seconds, and with microseconds where there are any."""
+    ts = _col(ts)
+    whole = F.date_trunc("second", ts).cast("timestamp_ntz") == ts
+    return F.when(whole, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS"))

@@ -9,6 +9,7 @@ from gridwise.functions.scalars import calendar_parts, null_to_zero
 from gridwise.operators.series import site_window
 from gridwise.operators.validate import fill_missing_features
 from gridwise.schemas import CONSUMPTION_FEATURES, CONSUMPTION_LAGS, SITE
+from gridwise.sources.columns import match_target_column
 
 # The longest lag; no feature looks further back.
 KEEP = max(CONSUMPTION_LAGS)
@@ -42,9 +43,11 @@ def calendar_columns(ts: Column) -> dict[str, Column]:
 def consumption_features(series: DataFrame, names: list[str] = CONSUMPTION_FEATURES) -> DataFrame:
     """site_id, ts, kw and the features in the given order.
 
-    Expects the series after the resampling rule: at most 1.5 rows per hour and site, which bounds each window.
+    Expects the series after the resampling rule: at most 1.5 rows per hour and site, which bounds each window. The values
+    are those of the column whose name says power or consumption, or else of the first one.
     """
-    series = series.select(SITE, "ts", null_to_zero("kw").alias("kw"))
+    value = match_target_column(series.drop(SITE, "ts"))
+    series = series.select(SITE, "ts", null_to_zero(value).alias("kw"))
     w = site_window(series)
     built = series.withColumns({**lags_first_default(w), **shifted_rolling(w), **calendar_columns(F.col("ts"))})
     return fill_missing_features(built, names, keep=[SITE, "ts", "kw"])

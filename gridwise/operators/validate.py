@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridwise.functions.scalars import nan_to_null
+from gridwise.functions.scalars import clip, nan_to_null
 from gridwise.schemas import FEATURES, SENSORS, SITE
 
 # Smallest series each forecast accepts. 24 of the 36 readings are lost to the longest lag.
@@ -113,11 +113,11 @@ def default_panels(sites: DataFrame, panels: DataFrame) -> DataFrame:
 def default_tariff_input(sites: DataFrame, settings: DataFrame) -> DataFrame:
     """Tariff conditions from shared settings (`shared_ts`, `shared_temp`, and optionally the rest) with defaults.
 
-    The hour comes from the shared time and the temperature is the shared one, rounded to whole degrees.
+    The hour comes from the shared time and the temperature is the shared one within its range, rounded to whole degrees.
     """
     have = set(settings.columns)
     joined = sites.join(settings, SITE, "left")
-    temp = F.bround(F.coalesce("shared_temp", F.lit(SHARED_TEMP_DEFAULT)), 0)
+    temp = F.bround(clip(F.coalesce("shared_temp", F.lit(SHARED_TEMP_DEFAULT)), *SETTING_RANGES["shared_temp"]), 0)
     wanted = {
         "hour": F.hour("shared_ts"), "dow": F.weekday("shared_ts"), "month": F.month("shared_ts"), "temperature": temp,
     }

@@ -167,4 +167,6 @@ def consumption_24h(raw: DataFrame) -> DataFrame:
     series = consumption_history(raw)
     features = consumption_features(series).persist(StorageLevel.MEMORY_AND_DISK)
     models = fit_consumption(features)
-    return recursive_24h(features, hourly_profile(series), models)
+    forecast = recursive_24h(features, hourly_profile(series), models)
+    features.unpersist()  # the last steps go on from a checkpoint
+    return forecast

@@ -706,6 +706,29 @@ SELECT site_id, {rounded({c: c for c in ("solar_1h", "energy_1h")})}, solar_labe
   CASE WHEN net > 0 THEN {ampm("hi_hour")} END AS sell_hour, {rounded({"max_tariff": "hi", "sell_revenue": "CASE WHEN net > 0 THEN net * hi END",
     "import_cost": "CASE WHEN net <= 0 THEN -net * next END"})}, CASE WHEN net <= 0 THEN {ampm("lo_hour")} END AS cheap_hour_label
 FROM decided"""
+_FULL = "CASE WHEN microsecond({0}) % 1000000 = 0 THEN strftime({0}, '%Y-%m-%d %H:%M:%S') ELSE strftime({0}, '%Y-%m-%d %H:%M:%S.%f') END"
+SQL["solar_responses"] = f"""WITH {SOL}
+SELECT site_id, '(12,3)' AS "window", {r6("round(sum(energy_kwh) OVER (PARTITION BY site_id) + 1e-9, 4)")} AS total_energy_kwh,
+  {_FULL.format("(ts - to_hours(step))")} AS last_timestamp, coalesce(area, 10e0) AS panel_area_m2, {r6("coalesce(eff, 0.2e0)")} AS panel_efficiency,
+  step, strftime(ts, {STAMP}) AS hour_label, {r6("ghi_wm2")} AS ghi_wm2, {r6("energy_kwh")} AS energy_kwh, category AS irradiance_category
+FROM sol LEFT JOIN panels USING (site_id)"""
+SQL["consumption_responses"] = f"""WITH {CON}
+SELECT site_id, {r6("round(sum(kwh) OVER (PARTITION BY site_id) + 1e-9, 4)")} AS total_consumption_kwh,
+  {_FULL.format("(ts - to_hours(step))")} AS last_timestamp, step, strftime(ts, {STAMP}) AS hour_label, {r6("kwh")} AS consumption_kwh FROM con"""
+SQL["holdout_consumption"] = f"""WITH {HOUSES}, {hourly("raw", "full_hours")},
+ends AS (SELECT *, max(ts) OVER (PARTITION BY site_id) - INTERVAL 24 HOUR AS cut FROM full_hours),
+series AS (SELECT site_id, ts, kw FROM ends WHERE ts <= cut), {FORECAST},
+before AS (SELECT site_id, arg_max(kw, ts) AS last FROM series GROUP BY site_id)
+SELECT e.site_id, count(*) AS hours, {rounded({"error": "avg(abs(e.kw - con.kwh))", "error_last": "avg(abs(e.kw - before.last))",
+  "error_yesterday": "avg(abs(e.kw - d.kw))"})}
+FROM ends e JOIN con USING (site_id, ts) JOIN series d ON d.site_id = e.site_id AND d.ts = e.ts - INTERVAL 1 DAY
+JOIN before ON before.site_id = e.site_id WHERE e.ts > e.cut GROUP BY e.site_id"""
+SQL["tariff_defaults"] = f"""WITH {_PRICED},
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts DESC) AS back FROM conditions) WHERE back = 1)
+SELECT c_custkey AS site_id, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS dow, CAST(month(ts) AS INTEGER) AS month,
+  {rounded({"temperature": "round_even(least(55e0, greatest(-10e0, coalesce(CASE WHEN site_id % 3 > 0 THEN temperature * 3e0 - 30e0 END, 28e0))), 0)",
+    "hist_avg": "coalesce(hist_avg, 6.5e0)", "demand": "0.5e0"})}
+FROM customer LEFT JOIN last ON site_id = c_custkey"""
 SQL["ml_solar_3h"] = f"""WITH {READINGS}
 SELECT site_id, step, max(ts) + to_hours(step) AS ts, TRUE AS sound
 FROM readings CROSS JOIN (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS step) s GROUP BY site_id, step HAVING count(*) >= 36"""

@@ -555,6 +555,35 @@ def fitted_decisions(spark: SparkSession, folder: str) -> DataFrame:
     ))
 
 
+def solar_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """The answers to solar requests, one row for each forecast in them."""
+    answers = forecasts.solar_response(standins.solar(spark, folder), driver.panels(spark, folder))
+    rows = answers.select("*", F.explode("forecasts").alias("f")).drop("forecasts")
+    return shown(rows.select(*[c for c in rows.columns if c != "f"], "f.*"))
+
+
+def consumption_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """The answers to consumption requests, one row for each forecast in them."""
+    answers = forecasts.consumption_response(standins.consumption(spark, folder))
+    rows = answers.select("*", F.explode("forecasts").alias("f")).drop("forecasts")
+    return shown(rows.select(*[c for c in rows.columns if c != "f"], "f.*"))
+
+
+def holdout_consumption(spark: SparkSession, folder: str) -> DataFrame:
+    """Error of the profile forecast over each household's last day, next to the last value and the day before."""
+    hourly = resample.resample_hourly(driver.consumption(spark, folder))
+    return shown(forecasts.holdout_errors(hourly, forecasts.profile_forecast))
+
+
+def tariff_defaults(spark: SparkSession, folder: str) -> DataFrame:
+    """Tariff conditions of all customers from shared settings: the last event's time and, for some, its temperature."""
+    last = series.last_row(driver.tariff_conditions(spark, folder))
+    temp = F.when(F.col(SITE) % 3 > 0, F.col("temperature") * 3 - 30)
+    settings = last.select(SITE, F.col("ts").alias("shared_ts"), temp.alias("shared_temp"), F.col("historical_avg_tariff").alias("hist_avg"))
+    sites = driver.table(spark, folder, "customer").select(F.col("c_custkey").cast("long").alias(SITE))
+    return shown(validate.default_tariff_input(sites, settings))
+
+
 def ml_solar_3h(spark: SparkSession, folder: str) -> DataFrame:
     """Three hours of every site with enough readings from fitted trees. `sound`: energy and category follow from an
     irradiance that isn't negative."""
@@ -645,6 +674,10 @@ QUERIES: dict[str, Query] = {
     "linear_consumption_24h": linear_consumption_24h,
     "linear_tariff_12h": linear_tariff_12h,
     "fitted_decisions": fitted_decisions,
+    "solar_responses": solar_responses,
+    "consumption_responses": consumption_responses,
+    "holdout_consumption": holdout_consumption,
+    "tariff_defaults": tariff_defaults,
     "ml_solar_3h": ml_solar_3h,
     "ml_consumption_24h": ml_consumption_24h,
     "ml_tariff_12h": ml_tariff_12h,

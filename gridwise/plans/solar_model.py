@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, WindowSpec, functions as F
 from gridwise.functions.scalars import add_hours
 from gridwise.operators.forecasts import SOLAR_HORIZON, solar_energy
 from gridwise.operators.series import last_n_rows, micros, over_series
-from gridwise.operators.solar_features import all_lookbacks, last_lookback, solar_features
+from gridwise.operators.solar_features import all_lookbacks, last_lookback, scoring_readings, solar_features
 from gridwise.operators.statistics import Scale, exact_quantiles, fit_linear, fit_scale, lagged_ranks
 from gridwise.operators.validate import LOOKBACK, fill_missing_features, MIN_READINGS_EFFECTIVE, min_rows, missing_sensor, require_complete
 from gridwise.schemas import FEATURES, SITE
@@ -143,12 +143,13 @@ def select_features(train: DataFrame, by_f: list[int], by_mi: list[int], element
     return sorted({*by_f, *by_mi, *by_tree, *range(WIDTH, WIDTH + metas)})
 
 
-def training_windows(rows: DataFrame, target: Scale, elements: list[int]) -> tuple[DataFrame, DataFrame]:
-    """The chosen elements of all lookback vectors as `features`, with labels: the earlier half of the times and the later."""
+def training_windows(rows: DataFrame, target: Scale, elements: list[int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The chosen elements of all lookback vectors as `features`, with labels: all of them, kept until they are unpersisted,
+    the earlier half of the times and the later."""
     windows = scale_target(all_lookbacks(rows, SOLAR_HORIZON, elements=elements), target)
     windows = windows.withColumn("features", array_to_vector("lookback")).drop("lookback").persist(StorageLevel.MEMORY_AND_DISK)
     middle = exact_quantiles(windows.select(micros("ts").cast("double").alias("ts")), ["ts"], [0.5])["ts"][0]
-    return windows.where(micros("ts") <= middle), windows.where(micros("ts") > middle)
+    return windows, windows.where(micros("ts") <= middle), windows.where(micros("ts") > middle)
 
 
 def fit_solar(features: DataFrame) -> SolarModels:
@@ -159,7 +160,7 @@ def fit_solar(features: DataFrame) -> SolarModels:
     by_f, by_mi = (best_elements(ranks, test, 2 * TOP_PER_TEST) for test in ("f", "mi"))
     ranks.unpersist()
     elements = sorted({*by_f, *by_mi})
-    early, late = training_windows(rows, target, elements)
+    windows, early, late = training_windows(rows, target, elements)
 
     bases = fit_bases(early)
     stacked = stack_meta(late, bases).persist(StorageLevel.MEMORY_AND_DISK)
@@ -172,7 +173,7 @@ def fit_solar(features: DataFrame) -> SolarModels:
         for h in range(1, SOLAR_HORIZON + 1)
     ]
     stacked.unpersist()
-    early.unpersist()
+    windows.unpersist()
     return SolarModels(scale, target, horizons, bases, selected, elements)
 
 
@@ -181,12 +182,12 @@ def fit_linear_solar(features: DataFrame, bases: list[int], selected: list[int])
     of the stacked vector for each hour."""
     scale, target = fit_scales(features)
     elements = sorted({*bases, *(p for p in selected if p < WIDTH)})
-    early, late = training_windows(scale_features(features, scale), target, elements)
+    windows, early, late = training_windows(scale_features(features, scale), target, elements)
     lines = [fit_linear(early, "features", [elements.index(p)], "label_1", f"meta_{p}") for p in bases]
     chosen = hstack_select(stack_meta(late, lines), selected, elements)
     every = list(range(len(selected)))
     horizons = [fit_linear(chosen, "chosen", every, f"label_{h}", f"hour_{h}") for h in range(1, SOLAR_HORIZON + 1)]
-    early.unpersist()
+    windows.unpersist()
     return SolarModels(scale, target, horizons, lines, selected, elements)
 
 
@@ -219,7 +220,13 @@ def solar_rejected(readings: DataFrame) -> DataFrame:
 
 
 def solar_3h(readings: DataFrame, panels: DataFrame) -> DataFrame:
-    """Fit on all readings and forecast every site with enough of them; `solar_rejected` has the others."""
+    """Fit on all readings and forecast every site with enough of them; `solar_rejected` has the others.
+
+    The feature table is kept while models are fitted; scoring builds the few rows that it needs anew.
+    """
     accepted, _ = min_rows(require_complete(readings), MIN_READINGS_EFFECTIVE)
     features = solar_features(accepted).persist(StorageLevel.MEMORY_AND_DISK)
-    return solar_energy(solar_direct_3h(features, fit_solar(features)), panels)
+    models = fit_solar(features)
+    features.unpersist()
+    recent = solar_features(scoring_readings(accepted), bounded=True)
+    return solar_energy(solar_direct_3h(recent, models), panels)

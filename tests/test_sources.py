@@ -128,3 +128,47 @@ def test_overlapping_solar_requests(spark, tmp_path):
     got = [(r[SITE], r["ts"], r["GHI"]) for r in readings.orderBy(SITE, "ts").collect()]
     assert got == [(1, T0 + dt.timedelta(hours=i), 20.0 if i else 10.0) for i in range(6)] + [(2, T0, 2.0)]
     assert [tuple(r) for r in panels.orderBy(SITE).collect()] == [(1, None, None), (2, 4.0, 1.0), (3, None, None)]
+
+
+def forecast_table(spark, value, sites=(1, 2)):
+    return spark.createDataFrame([(s, 1, value) for s in sites], "site_id long, step int, kwh double")
+
+
+def test_repeated_and_broken_runs(spark, tmp_path):
+    """A repeated run replaces the first; one that breaks off between its tables, or before its note, is never seen."""
+    folder, day, next_day = str(tmp_path), dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    good = {"consumption": forecast_table(spark, 1.0), "solar": forecast_table(spark, 2.0)}
+    seen = lambda name, date=None: sorted(r["kwh"] for r in writers.read_forecasts(spark, folder, name, date).collect())
+    first = writers.write_forecasts(good, folder, day)
+    again = writers.write_forecasts(good, folder, day)
+    assert first != again and seen("consumption") == [1.0, 1.0] and seen("solar", day) == [2.0, 2.0]
+
+    fails = forecast_table(spark, 9.0).withColumn("kwh", F.raise_error(F.lit("broke off")).cast("double"))
+    for date in (day, next_day):
+        with pytest.raises(Exception, match="broke off"):
+            writers.write_forecasts({"consumption": forecast_table(spark, 7.0), "solar": fails}, folder, date)
+    assert seen("consumption") == [1.0, 1.0] and seen("solar") == [2.0, 2.0] and seen("consumption", next_day) == []
+
+    # The files of attempts that don't count can go; what is read stays.
+    assert writers.drop_other_attempts(spark, folder, day) >= 3
+    assert seen("consumption") == [1.0, 1.0] and seen("solar") == [2.0, 2.0]
+    assert [p.name for p in (tmp_path / "consumption" / "run_date=2024-01-01").glob("attempt=*")] == [f"attempt={again}"]
+    assert {(r["name"], r["attempt"]) for r in writers.complete_runs(spark, folder).collect()} == {("consumption", again), ("solar", again)}
+    with pytest.raises(ValueError):
+        writers.write_forecasts({}, folder, day)
+
+
+def test_text_formats_are_read_with_a_schema(spark, tmp_path):
+    table = forecast_table(spark, 1.5)
+    writers.write_forecasts({"consumption": table}, str(tmp_path), dt.date(2024, 1, 1), "csv")
+    got = writers.read_forecasts(spark, str(tmp_path), "consumption", file_format="csv", schema=table.schema)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1.5), (2, 1, 1.5)]
+
+
+def test_power_column_is_found_by_name(spark):
+    from gridwise.operators.consumption_features import consumption_features
+
+    rows = [(1, T0 + dt.timedelta(hours=i), 100.0 + i, float(i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "site_id long, ts timestamp_ntz, voltage double, Total_Consumption double")
+    assert [r["kw"] for r in consumption_features(df).orderBy("ts").collect()] == [0.0, 1.0, 2.0]
+    assert [r["kw"] for r in consumption_features(df.drop("Total_Consumption")).orderBy("ts").collect()] == [100.0, 101.0, 102.0]
