@@ -167,7 +167,21 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, folder)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "fp"]
-    assert SHARED in {r.text for r in docs.collect()} or docs.count()
+    rows_left = docs.collect()
+    assert {r.doc_id for r in rows_left} == set(want) and len(rows_left) == len(want)
+    assert all(r.n_chars == len(r.text) for r in rows_left) and not any("abcdefgh12345" in r.text for r in rows_left)
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    items = "item_id long, text string"
+    for name, docs, benchmark in (("a", [], [(1, "one two three four five six")]), ("b", [], []), ("c", labelled(3, 6), [])):
+        documents(spark, docs).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(benchmark, items).write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        assert (got.count() > 0) == bool(docs)
 
 
 @pytest.mark.parametrize("rows", [1, 2, 7, 100])
