@@ -39,13 +39,16 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     range to the driver, whatever the number of rows. A column without values gives NaN.
     """
     values = {c: nan_to_null(F.col(f"`{c}`").cast("double")) for c in columns}
-    ends = df.agg(*[f(x).alias(f"{k}{i}") for i, x in enumerate(values.values()) for k, f in (("n", F.count), ("a", F.min), ("b", F.max))]).first()
+    # By column and not as columns: three aggregates in place of three for each of them.
+    each = _cells(df, values).groupBy("column").agg(F.count("x").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"))
+    ends = {columns[r["column"]]: r for r in each.collect()}
+    number = {c: ends[c]["n"] if c in ends else 0 for c in columns}
     places: dict[tuple[str, int], _Place] = {}
-    for i, c in enumerate(columns):
-        for p in probabilities if ends[f"n{i}"] else ():
-            at = p * (ends[f"n{i}"] - 1)
+    for c in columns:
+        for p in probabilities if number[c] else ():
+            at = p * (number[c] - 1)
             for rank in (math.floor(at), math.ceil(at)):
-                places[c, rank] = _Place(rank, ends[f"a{i}"], ends[f"b{i}"])
+                places[c, rank] = _Place(rank, ends[c]["a"], ends[c]["b"])
     while ranges := sorted({(c, p.low, p.high) for (c, _), p in places.items() if p.low < p.high}):
         counts = _counted(df, values, ranges)
         for (c, _), place in places.items():
@@ -57,10 +60,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
                     break
                 place.before += n
     out = {}
-    for i, c in enumerate(columns):
+    for c in columns:
         out[c] = []
         for p in probabilities:
-            at = p * (ends[f"n{i}"] - 1)
+            at = p * (number[c] - 1)
             if at < 0:
                 out[c].append(math.nan)
                 continue
@@ -69,13 +72,18 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     return out
 
 
+def _cells(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Rows (column, x): the values of each column by its number."""
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("column"), x.alias("x")) for i, x in enumerate(values.values())]))
+    return df.select(cells.alias("cell")).select("cell.*")
+
+
 def _counted(df: DataFrame, values: dict[str, Column], ranges: list[tuple[str, float, float]]) -> dict:
     """For each range its parts that hold values, in order: number, lowest and highest value."""
     used = sorted({c for c, _, _ in ranges})
     numbered = [(i, used.index(c), low, high) for i, (c, low, high) in enumerate(ranges)]
     table = df.sparkSession.createDataFrame(numbered, "range int, column int, low double, high double")
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("column"), values[c].alias("x")) for i, c in enumerate(used)]))
-    rows = df.select(cells.alias("cell")).select("cell.*").join(F.broadcast(table), "column")  # at most two for each quantile
+    rows = _cells(df, {c: values[c] for c in used}).join(F.broadcast(table), "column")  # at most two for each quantile
     inside = rows.where((F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high")))
     half = lambda c: F.col(c) / 2  # noqa: E731  the width of a range may not fit into a double
     share = (half("x") - half("low")) / (half("high") - half("low"))

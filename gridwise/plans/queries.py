@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -486,20 +488,35 @@ def chart_tables(spark: SparkSession, folder: str) -> DataFrame:
     return shown(decisions.chart_tables(*standins.all_three(spark, folder)))
 
 
+@contextmanager
+def _feature_table(spark: SparkSession, folder: str) -> Iterator[DataFrame]:
+    """The solar features, kept while something is fitted on them."""
+    features = sf.solar_features(driver.readings(spark, folder)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield features
+    finally:
+        features.unpersist()
+
+
 def scaled_features(spark: SparkSession, folder: str) -> DataFrame:
     """The 77 features in units of the distance of their quartiles, from the median."""
-    features = sf.solar_features(driver.readings(spark, folder))
-    rows = scale_features(features, fit_scales(features)[0])
+    with _feature_table(spark, folder) as features:
+        rows = scale_features(features, fit_scales(features)[0])
     return shown(rows.select(SITE, "ts", *[F.col("x")[i].alias(c) for i, c in enumerate(FEATURES)]))
 
 
 def feature_ranks(spark: SparkSession, folder: str) -> DataFrame:
     """F statistic and mutual information with the next hour of all 924 elements of the lookback vectors."""
-    features = sf.solar_features(driver.readings(spark, folder))
-    scale, target = fit_scales(features)
+    with _feature_table(spark, folder) as features:
+        scale, target = fit_scales(features)
     return shown(element_ranks(scale_features(features, scale), target))
 
 
+def _recent_features(spark: SparkSession, folder: str) -> DataFrame:
+    """The features of the last rows only, which is what forecasts look at."""
+    return sf.solar_features(sf.scoring_readings(driver.readings(spark, folder)), bounded=True)
+
+
 # Places that the closed forms use: a line each on two elements, then least squares on the first line's prediction.
 LINES = [place("GHI_rolling_mean_3"), place("DNI", 2)]
 STACKED = [place("T_amb", 1), place("GHI_lag_1"), WIDTH, WIDTH + 1]
@@ -507,14 +524,16 @@ STACKED = [place("T_amb", 1), place("GHI_lag_1"), WIDTH, WIDTH + 1]
 
 def stacked_vector(spark: SparkSession, folder: str) -> DataFrame:
     """What the models of the hours look at for each site's last row: scaled elements and the lines' predictions."""
-    features = sf.solar_features(driver.readings(spark, folder))
-    vectors = last_chosen(features, fit_linear_solar(features, LINES, STACKED))
+    with _feature_table(spark, folder) as features:
+        models = fit_linear_solar(features, LINES, STACKED)
+    vectors = last_chosen(_recent_features(spark, folder), models)
     return shown(vectors.select(SITE, "last_ts", F.posexplode(vector_to_array("chosen")).alias("pos", "x")))
 
 
 def _linear_solar(spark: SparkSession, folder: str) -> DataFrame:
-    features = sf.solar_features(driver.readings(spark, folder))
-    return solar_direct_3h(features, fit_linear_solar(features, LINES[:1], [WIDTH]))
+    with _feature_table(spark, folder) as features:
+        models = fit_linear_solar(features, LINES[:1], [WIDTH])
+    return solar_direct_3h(_recent_features(spark, folder), models)
 
 
 def linear_solar_3h(spark: SparkSession, folder: str) -> DataFrame:
@@ -524,8 +543,11 @@ def linear_solar_3h(spark: SparkSession, folder: str) -> DataFrame:
 
 def _linear_consumption(spark: SparkSession, folder: str) -> DataFrame:
     history = forecasts.consumption_history(driver.consumption(spark, folder))
-    features = consumption_features(history)
-    return recursive_24h(features, resample.hourly_profile(history), fit_linear_consumption(features, ["lag_1", "lag_24"]))
+    features = consumption_features(history).persist(StorageLevel.MEMORY_AND_DISK)
+    models = fit_linear_consumption(features, ["lag_1", "lag_24"])
+    forecast = recursive_24h(features, resample.hourly_profile(history), models)
+    features.unpersist()  # the last steps go on from a checkpoint
+    return forecast
 
 
 def linear_consumption_24h(spark: SparkSession, folder: str) -> DataFrame:
