@@ -526,14 +526,14 @@ def stacked_vector(spark: SparkSession, folder: str) -> DataFrame:
     """What the models of the hours look at for each site's last row: scaled elements and the lines' predictions."""
     with _feature_table(spark, folder) as features:
         models = fit_linear_solar(features, LINES, STACKED)
-    vectors = last_chosen(_recent_features(spark, folder), models)
+    vectors = last_chosen(_recent_features(spark, folder), models, bounded=True)
     return shown(vectors.select(SITE, "last_ts", F.posexplode(vector_to_array("chosen")).alias("pos", "x")))
 
 
 def _linear_solar(spark: SparkSession, folder: str) -> DataFrame:
     with _feature_table(spark, folder) as features:
         models = fit_linear_solar(features, LINES[:1], [WIDTH])
-    return solar_direct_3h(_recent_features(spark, folder), models)
+    return solar_direct_3h(_recent_features(spark, folder), models, bounded=True)
 
 
 def linear_solar_3h(spark: SparkSession, folder: str) -> DataFrame:

@@ -191,19 +191,20 @@ def fit_linear_solar(features: DataFrame, bases: list[int], selected: list[int])
     return SolarModels(scale, target, horizons, lines, selected, elements)
 
 
-def last_chosen(features: DataFrame, models: SolarModels) -> DataFrame:
-    """(site_id, last_ts, chosen): what the horizons look at for the last row of each site with a full lookback."""
+def last_chosen(features: DataFrame, models: SolarModels, bounded: bool = False) -> DataFrame:
+    """(site_id, last_ts, chosen): what the horizons look at for the last row of each site with a full lookback. `bounded` says
+    that sites are known to be short, as those of `scoring_readings`."""
     # The few rows that are scored are cut out before they are scaled. They have the columns that the models know.
-    recent = last_n_rows(fill_missing_features(features, models.features, [SITE, "ts", "GHI"]), LOOKBACK)
+    recent = last_n_rows(fill_missing_features(features, models.features, [SITE, "ts", "GHI"]), LOOKBACK, bounded)
     last = last_lookback(scale_features(recent, models.scale, models.features), bounded=True)
     held = F.col("lookback") if models.elements is None else F.array(*[F.col("lookback")[p] for p in models.elements])
     vectors = last.withColumn("features", array_to_vector(held)).drop("lookback")
     return hstack_select(stack_meta(vectors, models.bases), models.selected, models.elements)
 
 
-def solar_direct_3h(features: DataFrame, models: SolarModels) -> DataFrame:
+def solar_direct_3h(features: DataFrame, models: SolarModels, bounded: bool = False) -> DataFrame:
     """(site_id, step, ts, ghi) for the three hours after the last row of each site."""
-    scored = last_chosen(features, models)
+    scored = last_chosen(features, models, bounded)
     for model in models.horizons:
         scored = model.transform(scored)
     predicted = F.array(*[F.greatest(models.target.restored(F.col(model.getPredictionCol())), F.lit(0.0)) for model in models.horizons])
@@ -229,4 +230,4 @@ def solar_3h(readings: DataFrame, panels: DataFrame) -> DataFrame:
     models = fit_solar(features)
     features.unpersist()
     recent = solar_features(scoring_readings(accepted), bounded=True)
-    return solar_energy(solar_direct_3h(recent, models), panels)
+    return solar_energy(solar_direct_3h(recent, models, bounded=True), panels)
