@@ -23,7 +23,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows are whole texts, so a batch is bounded by its bytes.
-BYTES_PER_BATCH = 8 << 20
+BYTES_PER_BATCH = 2 << 20
 DEFAULT_BYTES = "67108864b"
 
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
-from gridwise.llm.common import by_bytes, once
+from gridwise.llm.common import by_bytes, once, tidied
 
 #: Bounds of what is learned from: the languages with the most different texts, so many different texts of each, so many
 #: bytes of them together.
@@ -186,4 +186,4 @@ def identify(docs: DataFrame, samples: Samples, text: str = "text", label: str =
 
     columns = [f"`{c}`" for c in rest]
     schema = docs.select(*columns, F.lit("").alias(label), F.lit(0.0).alias(score)).schema
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(tidied(run), schema)

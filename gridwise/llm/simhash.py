@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from gridwise.llm.common import by_bytes, fresh, stored
+from gridwise.llm.common import by_bytes, fresh, stored, tidied
 from gridwise.llm.components import components
 
 BITS = 64
@@ -82,7 +82,7 @@ def with_fingerprint(docs: DataFrame, words_per_shingle: int = 4, seed: int = 42
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found)], names=[*rest, name])
 
     chosen = docs.select(F.col(f"`{text}`").cast("string").alias(text), *[f"`{c}`" for c in rest])
-    return chosen.mapInArrow(run, docs.select(*[f"`{c}`" for c in rest], F.lit(0).cast("long").alias(name)).schema)
+    return chosen.mapInArrow(tidied(run), docs.select(*[f"`{c}`" for c in rest], F.lit(0).cast("long").alias(name)).schema)
 
 
 def ball(bits: int, radius: int) -> int:
@@ -259,7 +259,7 @@ def bucket_rows(nodes: DataFrame, plan: Plan) -> DataFrame:
                         "kind": pa.array(np.concatenate(kinds).astype(np.int32)),
                     })
 
-    return nodes.select("fp").mapInArrow(run, "g int, key long, fp long, kind int")
+    return nodes.select("fp").mapInArrow(tidied(run), "g int, key long, fp long, kind int")
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -329,7 +329,7 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
         u, v = forest(number, rows[4], rows[5], distance)
         return pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
 
-    return dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "u long, v long").distinct()
+    return dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(tidied(run), "u long, v long").distinct()
 
 
 def near_duplicates(
