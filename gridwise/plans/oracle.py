@@ -348,7 +348,7 @@ UNION ALL SELECT site_id, ts, {_SENSORS}, 'json', CASE WHEN site_id % 30 > 0 THE
 SQL["consumption_files"] = f"""WITH {HOUSES}
 SELECT site_id, ts, {r6("kw")} AS kw, file FROM raw CROSS JOIN (SELECT unnest(['csv', 'json']) AS file) f WHERE site_id % 7 <> 0"""
 SQL["tariff_files"] = f"""WITH {CONDITIONS}
-SELECT site_id, hour, dow, month, {rounded({c: c for c in ("temperature", "hist_avg", "demand")})}
+SELECT site_id, CAST(hour AS INTEGER) AS hour, CAST(dow AS INTEGER) AS dow, CAST(month AS INTEGER) AS month, {rounded({c: c for c in ("temperature", "hist_avg", "demand")})}
 FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts DESC) AS back FROM conditions) WHERE back = 1"""
 SQL["written_forecasts"] = f"""WITH {ALL}
 SELECT site_id, 'solar' AS forecast, step, {r6("energy_kwh")} AS y FROM sol
