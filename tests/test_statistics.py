@@ -47,6 +47,25 @@ def test_quantiles_of_nothing(spark):
     assert st.fit_scale(df.limit(0), ["x"]) == st.Scale([0.0], [1.0])
 
 
+def test_counting_does_not_multiply_rows(spark):
+    """What a task hands on for quantiles and ranks are counts; its rows aren't multiplied by columns."""
+    df = spark.createDataFrame([(float(i), float(-i)) for i in range(100)], "a double, b double")
+    plans, collect = [], type(df).collect
+
+    def seen(self):
+        plans.append(self._jdf.queryExecution().optimizedPlan().toString())
+        return collect(self)
+
+    type(df).collect = seen
+    try:
+        assert st.exact_quantiles(df, ["a", "b"], [0.5]) == {"a": [49.5], "b": [-49.5]}
+    finally:
+        type(df).collect = collect
+    rows = spark.createDataFrame([(1, START + dt.timedelta(hours=i), [1.0, float(i)], float(i)) for i in range(20)], "site_id long, ts timestamp_ntz, x array<double>, y double")
+    plans.append(st.lagged_ranks(rows, 3)._jdf.queryExecution().optimizedPlan().toString())
+    assert len(plans) > 1 and not any("Generate" in p for p in plans)
+
+
 def test_scales(spark):
     df = spark.createDataFrame([(float(i), 7.0) for i in range(1, 10)], "x double, same double")
     scale = st.fit_scale(df, ["x", "same"])
