@@ -219,3 +219,16 @@ def test_blocks_of_a_scan_are_bounded(spark):
     _, df = with_outages(spark)
     assert series.scanned(df, Seen("GHI"), rows_per_block=100).count() == df.count()
     assert sizes == [(100, 24)]
+
+
+def test_wide_rows_are_dealt_by_number(spark, monkeypatch):
+    """However few bytes the readings have, no task builds features of many more rows than it is meant to."""
+    monkeypatch.setattr(series, "ROWS_PER_TASK", 100)
+    rows = [r for site in range(40) for r in reading_rows(site, 30, site)]
+    df = spark.createDataFrame(rows, READINGS).repartition(3)
+    largest = lambda d: d.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    recent = sf.scoring_readings(df)
+    assert recent.count() == df.count() and largest(recent) <= 300
+    features = sf.solar_features(df)
+    assert features.count() == 40 * 6 and largest(features) <= 60
+    assert largest(sf.lookback_matrix(sf.solar_features(sf.scoring_readings(df, 6), bounded=True), lookback=6, bounded=True)) <= 10
