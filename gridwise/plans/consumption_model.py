@@ -77,12 +77,14 @@ def fit_consumption(features: DataFrame) -> ConsumptionModels:
 def with_correction(features: DataFrame, base: Model, fit: Callable[[DataFrame], Model]) -> ConsumptionModels:
     """The base model with a correction that is fitted on (`errors`, the scaled errors before; `error`, the next one)."""
     errors = base_consumption(features, base).select(SITE, "ts", "kw", (F.col("kw") - F.col("base")).alias("error"))
+    errors = errors.persist(StorageLevel.MEMORY_AND_DISK)  # each pass of the scale reads them
     models = ConsumptionModels(base, fit_scale(errors, ["error"]))
     scaled = errors.withColumn("error", models.scale.scaled(F.col("error")))
     w = site_window(scaled)
     past = F.collect_list("error").over(w.rowsBetween(-SEQUENCE, -1))
     train = scaled.withColumn("past", past).where(F.size("past") == SEQUENCE)
     models.correction = fit(train.select("error", array_to_vector("past").alias("errors")))
+    errors.unpersist()
     return models
 
 
