@@ -1,8 +1,8 @@
 """Exact top-k inner products with a pivot table.
 
 Distances of every vector to some pivots are computed once. By the triangle inequality their largest difference is a
-lower bound of the distance of two vectors, and so an upper bound of their inner product. Each query evaluates a block's
-candidates in the order of that bound and stops once no bound reaches its k-th best score.
+lower bound of the distance of two vectors, and so an upper bound of their inner product. Each query evaluates the few
+candidates of a block with the highest bounds, and then, at once, those whose bound reaches the k-th best score found.
 
 Rows with a null id, a null vector, or null or non-finite components take no part; only vectors of a query's dimension
 are compared with it. Every row is a row of its own: of two rows with one id, each is a candidate of the other, and each has
@@ -65,28 +65,28 @@ def best_in_block(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> tuple[l
     largest = max(np.abs(q).max(initial=0), np.abs(c).max(initial=0))
     exact = largest * largest * max(1, q.shape[1]) < EXACT
     whole = None if exact else c.astype(object)
+    products = lambda at, i: c[at] @ q[i] if exact else whole[at] @ q[i].astype(object)
     for i in range(len(q)):
         mine = float(q[i] @ q[i])
         bound = np.abs(dc - dq[i]).max(axis=1, initial=0)
         upper = (mine + square - bound * bound) / 2
         upper += 1e-9 * (mine + square) + 0.5  # rounding; scores are integers
         upper[rows == queries["row"].iat[i]] = -np.inf
-        order = np.argsort(-upper, kind="stable")
-        order = order[: np.count_nonzero(upper > -np.inf)]
-        scores, found, at, worst, step = [], [], 0, -np.inf, 4 * k
-        while at < len(order) and upper[order[at]] >= worst:
-            part = order[at : at + step]
-            part = part[upper[part] >= worst]
-            at, step = at + step, min(4 * step, 1024)
-            score = (c[part] @ q[i]).astype(np.int64) if exact else np.array([int(x) for x in whole[part] @ q[i].astype(object)], object)
-            evaluated += len(part)
-            scores.extend(score.tolist())
-            found.extend(ids[part].tolist())
-            if len(scores) >= k:
-                ranked = sorted(zip(scores, found), key=lambda x: (-x[0], x[1]))[:k]
-                scores, found = [x[0] for x in ranked], [x[1] for x in ranked]
-                worst = scores[-1]
-        ranked = sorted(zip(scores, found), key=lambda x: (-x[0], x[1]))[:k]
+        # The candidates with the highest bounds give a score that the k best reach; then all whose bound reaches it.
+        some = min(4 * k, len(upper))
+        first = np.argpartition(-upper, some - 1)[:some]
+        first = first[upper[first] > -np.inf]
+        score = products(first, i)
+        evaluated += len(first)
+        if len(first) >= k:
+            more = upper >= np.sort(score)[-k]
+            more[first] = False
+            more = np.flatnonzero(more)
+            first, score = np.concatenate([first, more]), np.concatenate([score, products(more, i)])
+            evaluated += len(more)
+            high = score >= np.sort(score)[-k]
+            first, score = first[high], score[high]
+        ranked = sorted(zip(map(int, score), ids[first].tolist()), key=lambda x: (-x[0], x[1]))[:k]
         out[0].extend([i] * len(ranked))
         out[1].extend(x[1] for x in ranked)
         out[2].extend(x[0] for x in ranked)

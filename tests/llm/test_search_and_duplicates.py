@@ -234,3 +234,24 @@ def test_decontaminate_against_nothing(spark):
 def test_index_finds_all_within_the_distance():
     """Radii and blocks: two fingerprints that miss each other in every block differ in more bits than the distance."""
     assert sum(r + 1 for _, r in decontaminate.BLOCKS) >= decontaminate.DISTANCE + 1 and sum(w for w, _ in decontaminate.BLOCKS) == 64
+
+
+def test_a_block_is_scored_in_two_rounds(monkeypatch):
+    """However many candidates the bounds leave, a query multiplies the block at most twice, not once for each few of them."""
+    rounds = []
+
+    class Counted(np.ndarray):
+        def __matmul__(self, other):
+            rounds.append(len(self))
+            return np.asarray(self) @ np.asarray(other)
+
+    rng = np.random.default_rng(8)
+    v = rng.integers(-256, 257, (3000, 24)).astype("<f8")
+    table = pd.DataFrame({"id": range(3000), "row": range(3000), "v": [x.tobytes() for x in v], "d": [b""] * 3000})
+    plain = topk.stack
+    monkeypatch.setattr(topk, "stack", lambda column: plain(column).view(Counted))
+    asked, ids, scores, _ = topk.best_in_block(table[:5], table, 5)
+    assert len(rounds) <= 3 * 5  # with the length of the query
+    for i in range(5):
+        want = sorted(((-int(x), j) for j, x in enumerate(v @ v[i]) if j != i))[:5]
+        assert [(-s, j) for a, j, s in zip(asked, ids, scores) if a == i] == want
